@@ -65,7 +65,7 @@ def _points(batches: Iterator[pa.RecordBatch], edges: np.ndarray) -> Iterator[pa
         yield pa.record_batch([b.column(0), pa.array(np.minimum(s, len(edges) - 1).astype(np.int32))], ["i", "s"])
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = 64, most_sources: int = 100_000, size_sql: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = 64, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, pieces, slots) of the mix.
 
     rows: s, doc_id, size, h, copy, start and the source's source_size and target.
@@ -73,8 +73,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: f
     slots: the schedule (i, s, rank, block, words).
     """
     spark = docs.sparkSession
-    size_sql = size_sql or f"coalesce(regexp_count(text, '{WORD}'), 0)"
-    small = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.expr(size_sql).cast("long").alias("size"))
+    small = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     small = cut(small.withColumn("h", F.expr(_shuffle_key("doc_id", "size"))), "mix")
     # count is at most one row a source
     per = small.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last())
@@ -143,7 +142,7 @@ WITH RECURSIVE d AS (
          sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_w
   FROM w WINDOW before AS (ORDER BY source_size / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), level AS (
-  SELECT min(rest / open_w) FILTER (WHERE rest / open_w * w < 2.0 * source_size) AS l FROM o
+  SELECT max(rest / open_w) FILTER (WHERE rest / open_w * w < 2.0 * source_size) AS l FROM o
 ), t AS (
   SELECT source, source_size, s, least(coalesce(l, 1e300) * w, 2.0 * source_size) AS target FROM o, level
 ), e AS (

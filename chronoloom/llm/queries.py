@@ -17,6 +17,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe
+
+    return bpe.report(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=100)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
@@ -30,7 +44,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op9_line_dedup, op10_hash_tree_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op5_byte_bpe, op6_warc_index, op9_line_dedup, op10_hash_tree_shards)}
 
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -48,6 +62,6 @@ FROM l LEFT JOIN bad ON l.k = bad.k GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import mixing, warc
 
-    return {"op1_mix_sources": mixing.SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_mix_sources": mixing.SQL, "op6_warc_index": warc.SQL, "op9_line_dedup": OP9_SQL}
