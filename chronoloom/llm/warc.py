@@ -261,6 +261,26 @@ def lookup(urls: DataFrame, url_col: str, folder: str, files: list[tuple[str, st
     return blocks.mapInArrow(lambda it: _scan(it, folder, files), CAPTURES)
 
 
+def _records(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    system, root = _place(folder)
+    name, f = None, None
+    for b in batches:
+        rows = []
+        for file, at, length in zip(*[b.column(k).to_pylist() for k in ("file", "offset", "length")]):
+            if file != name:
+                if f:
+                    f.close()
+                name, f = file, system.open_input_file(f"{root}/{file}")
+            head, payload = parse(zlib.decompress(f.read_at(length, at), 31))
+            refers = head.get("warc-refers-to")
+            page = head["warc-record-id"][10:-1]
+            rows.append((int(page) if page else None, head["warc-type"], head["warc-target-uri"], payload, head["warc-payload-digest"][7:], int(refers[10:-1]) if refers else None, hashlib.sha256(payload).hexdigest()))
+        types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], ["page_id", "record_type", "url", "payload", "declared", "refers_to", "found"])
+    if f:
+        f.close()
+
+
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
     """The records of captures by range reads: page_id, record_type, url, payload, declared and found digest, refers_to."""
     rows = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
