@@ -17,6 +17,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +50,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_byte_bpe, op6_warc_index, op9_line_dedup, op10_hash_tree_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_quality_ftrl, op5_byte_bpe, op6_warc_index, op9_line_dedup, op10_hash_tree_shards)}
 
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
