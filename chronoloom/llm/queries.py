@@ -17,6 +17,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.report(_read(spark, sf_dir, "documents"), percent=70, width=5)
+
+
 def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -50,7 +56,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_quality_ftrl, op5_byte_bpe, op6_warc_index, op9_line_dedup, op10_hash_tree_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_minhash_dedup, op3_quality_ftrl, op5_byte_bpe, op6_warc_index, op9_line_dedup, op10_hash_tree_shards)}
 
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -68,6 +74,6 @@ FROM l LEFT JOIN bad ON l.k = bad.k GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing, warc
+    from . import minhash, mixing, warc
 
-    return {"op1_mix_sources": mixing.SQL, "op6_warc_index": warc.SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_minhash_dedup": minhash.SQL, "op6_warc_index": warc.SQL, "op9_line_dedup": OP9_SQL}
