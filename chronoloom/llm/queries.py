@@ -29,6 +29,12 @@ def op3_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.search(_read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +49,12 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=100)
 
 
+def op8_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import itq
+
+    return itq.links(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
@@ -56,7 +68,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_minhash_dedup, op3_quality_ftrl, op5_byte_bpe, op6_warc_index, op9_line_dedup, op10_hash_tree_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_minhash_dedup, op3_quality_ftrl, op4_adaptive_scan, op5_byte_bpe, op6_warc_index, op8_itq_dedup, op9_line_dedup, op10_hash_tree_shards)}
 
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -74,6 +86,6 @@ FROM l LEFT JOIN bad ON l.k = bad.k GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import minhash, mixing, warc
+    from . import itq, minhash, mixing, warc
 
-    return {"op1_mix_sources": mixing.SQL, "op2_minhash_dedup": minhash.SQL, "op6_warc_index": warc.SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_minhash_dedup": minhash.SQL, "op6_warc_index": warc.SQL, "op8_itq_dedup": itq.SQL, "op9_line_dedup": OP9_SQL}
