@@ -49,6 +49,12 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=100)
 
 
+def op7_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hmm
+
+    return hmm.score(_read(spark, sf_dir, "documents"))
+
+
 def op8_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import itq
 
@@ -68,7 +74,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_minhash_dedup, op3_quality_ftrl, op4_adaptive_scan, op5_byte_bpe, op6_warc_index, op8_itq_dedup, op9_line_dedup, op10_hash_tree_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_minhash_dedup, op3_quality_ftrl, op4_adaptive_scan, op5_byte_bpe, op6_warc_index, op7_hidden_markov_lm, op8_itq_dedup, op9_line_dedup, op10_hash_tree_shards)}
 
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
