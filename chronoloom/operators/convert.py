@@ -1,0 +1,80 @@
+"""From other annotation formats to the tag table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .tags import within
+
+TIMEML = ("EVENT", "TIMEX3", "SIGNAL", "ALINK", "SLINK", "TLINK", "MAKEINSTANCE")
+
+
+def from_timebank(source: DataFrame) -> DataFrame:
+    """TimeML source tags as own tags, each EVENT with the attributes of one of its instances (the first).
+
+    Instances themselves are dropped, and so are link ends' instances that don't exist.
+    """
+    t = source.filter(F.col("name").isin(*TIMEML))
+    instance = t.filter(F.col("name") == "MAKEINSTANCE").groupBy("doc_id", F.col("attrs")["eventID"].alias("eid")).agg(F.min_by("attrs", "seq").alias("more"))
+    events = t.filter(F.col("name") == "EVENT").withColumn("eid", F.col("attrs")["eid"]).join(instance, ["doc_id", "eid"], "left")
+    own = F.map_filter(F.coalesce("more", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys("attrs"), k) & (k != "eventID"))
+    events = events.withColumn("attrs", F.map_concat("attrs", own)).select(*source.columns)
+    return events.unionByName(t.filter(~F.col("name").isin("EVENT", "MAKEINSTANCE")))
+
+
+def from_thyme(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events and times, links) from entities (doc_id, id, span, type, properties) and relations (doc_id, id, type, properties).
+
+    Spans of several parts are left out; DOCTIME gives the creation time as time t0, and every event is linked to it
+    as its DocTimeRel says.
+    """
+    e = entities.filter(~F.col("span").contains(";")).withColumn("begin", F.split("span", ",")[0].cast("int")).withColumn("end", F.split("span", ",")[1].cast("int"))
+    tags = e.filter(F.col("type").isin("EVENT", "TIMEX3", "SECTIONTIME", "DOCTIME")).select("doc_id", F.when(F.col("type") == "EVENT", "EVENT").otherwise("TIMEX3").alias("name"), "begin", "end", F.col("id"), "properties")
+    p = F.col("properties")
+    links = relations.filter(F.col("type").isin("TLINK", "ALINK")).select("doc_id", F.col("type").alias("kind"), p["Source"].alias("src"), p["Target"].alias("tgt"), F.upper(p["Type"]).alias("relation"))
+    known = tags.select("doc_id", "id")
+    links = links.join(known.withColumnRenamed("id", "src"), ["doc_id", "src"], "left_semi").join(known.withColumnRenamed("id", "tgt"), ["doc_id", "tgt"], "left_semi")
+    to_doc = e.filter((F.col("type") == "EVENT") & p["DocTimeRel"].isNotNull()).select("doc_id", F.lit("TLINK").alias("kind"), F.col("id").alias("src"), F.lit("t0").alias("tgt"), F.regexp_replace(F.upper(p["DocTimeRel"]), "/", "_").alias("relation"))
+    return tags, links.unionByName(to_doc)
+
+
+def from_knowtator(annotations: DataFrame, classes: DataFrame, slots: DataFrame) -> DataFrame:
+    """Tags from annotation (doc_id, mention, begin, end), classMention (doc_id, mention, name, slot ids) and slotMention (doc_id, slot, key, value)."""
+    values = classes.select("doc_id", "mention", F.explode_outer("slots").alias("slot")).join(slots, ["doc_id", "slot"], "left")
+    values = values.filter("key is not null").groupBy("doc_id", "mention").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("attrs"))
+    return annotations.join(classes.drop("slots"), ["doc_id", "mention"]).join(values, ["doc_id", "mention"], "left").select("doc_id", "name", "begin", "end", F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"))
+
+
+def from_ecb(documents: DataFrame) -> DataFrame:
+    """Documents of ECB files: the topic is the folder's name and becomes metadata (and a partition when written)."""
+    parts = F.split("path", "/")
+    return documents.withColumn("topic", F.element_at(parts, -2)).withColumn("file", F.element_at(parts, -1)).withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("topic"), F.col("topic"))))
+
+
+def import_events(chunks: DataFrame, events: DataFrame) -> DataFrame:
+    """Known events laid over chunks: an event counts for the chunk that it ends with, if it covers at least the head.
+
+    chunks: doc_id, begin, end, head_begin; events: doc_id, begin, end, class. Where several fit the last one counts.
+    """
+    found = within(chunks.select("doc_id", "begin", "end", "head_begin"), events.withColumnRenamed("class", "event_class"), ["event_class", "begin", "end"], ["begin", "end", "head_begin"])
+    found = found.filter((F.col("end") == F.col("o_end")) & (F.col("begin") <= F.col("o_head_begin")))
+    return found.groupBy("doc_id", F.col("o_begin").alias("begin"), F.col("o_end").alias("end")).agg(F.max_by("event_class", F.struct("begin", "end")).alias("class"))
+
+
+def nominal_model(counts: DataFrame) -> DataFrame:
+    """Smoothed probabilities that a noun is an event from labelled rows (lemma, feature, event 0 or 1), a row a (lemma, feature)."""
+    return counts.groupBy("lemma", "feature").agg(F.count("*").alias("n"), ((F.sum("event") + 0.25) / (F.count("*") + 0.5)).alias("p"))
+
+
+def classify_nominals(candidates: DataFrame, model: DataFrame, least: int = 2) -> DataFrame:
+    """Naive Bayes over the features of each candidate (id, lemma, features array); null where the lemma was seen too rarely.
+
+    The prior is the row of the feature `*`. A prior of (nearly) 0 or 1 decides alone.
+    """
+    prior = model.filter("feature = '*'").select("lemma", F.col("p").alias("prior"), F.col("n").alias("seen"))
+    f = candidates.select("id", "lemma", F.explode_outer("features").alias("feature")).join(model.filter("feature <> '*'").select("lemma", "feature", "p"), ["lemma", "feature"], "left")
+    odds = f.groupBy("id", "lemma").agg(F.sum(F.coalesce(F.log("p"), F.lit(0.0))).alias("yes"), F.sum(F.coalesce(F.log(1 - F.col("p")), F.lit(0.0))).alias("no"))
+    out = odds.join(prior, "lemma", "left")
+    score = (F.log("prior") + F.col("yes")) > (F.log(1 - F.col("prior")) + F.col("no"))
+    return out.select("id", F.when(F.col("seen").isNull() | (F.col("seen") < least), None).when(F.col("prior") > 0.99, True).when(F.col("prior") < 0.01, False).otherwise(score).alias("event"))
