@@ -122,7 +122,7 @@ def lemma(word: str, pos: str) -> str:
     if w in _IRREGULAR and pos[:1] in ("V", "M"):
         return _IRREGULAR[w]
     if pos[:2] in ("VB", "NN"):
-        for end, back in (("ies", "y"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("es", ""), ("s", "")):
+        for end, back in (("ies", "y"), ("ied", "y"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("es", ""), ("s", "")):
             if w.endswith(end) and len(w) > len(end) + 1 and not (end == "s" and w.endswith("ss")) and (end in ("ies", "s", "es", "sses") or pos in ("VBG", "VBD", "VBN")):
                 stem = w[: -len(end)] + back
                 for guess in (stem, stem + "e", stem[:-1] if len(stem) > 2 and stem[-1:] == stem[-2:-1] else stem):

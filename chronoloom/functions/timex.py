@@ -352,7 +352,7 @@ def _resolve(name: str, m: re.Match, ref: date, way) -> tuple[str | None, dict[s
     return g["y"], attrs
 
 
-_ANY = re.compile("|".join(["\\d", *MONTHS, *DAYS, *SEASONS, *PARTS, "day", "ly\\b", "second", "minute", "hour", "week", "month", "quarter", "year", "decade", "centur", "noon", "midnight", "now", "future", "past", "current", "christmas", "easter", "thanksgiving", "eve\\b", "halloween", "tonite", "medieval", "once", "formerly", "o'clock", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "ties"]), re.I)
+_ANY = re.compile("|".join(["\\d", *MONTHS, *DAYS, *SEASONS, *PARTS, "day", "morrow", "ly\\b", "second", "minute", "hour", "week", "month", "quarter", "year", "decade", "centur", "noon", "midnight", "now", "future", "past", "current", "christmas", "easter", "thanksgiving", "eve\\b", "halloween", "tonite", "medieval", "once", "formerly", "o'clock", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "ties"]), re.I)
 _LOWER_MONTHS = re.compile(r"^(may|march|mar|august)$")
 _AFTER_COUNT = re.compile(r"\s+(?:since|after|following|later|earlier|before|prior to)\b", re.I)
 

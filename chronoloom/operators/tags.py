@@ -128,7 +128,7 @@ def tree(tags: DataFrame) -> DataFrame:
     o = t.select("doc_id", F.col("node").alias("p"), F.col("begin").alias("pb"), F.col("end").alias("pe"), F.col("level").alias("pl"))
     o = o.filter("pl > 1").withColumn("bin", F.explode(F.sequence(F.floor(F.col("pb") / BIN), F.floor(F.col("pe") / BIN))))
     i = t.withColumn("bin", F.floor(F.col("begin") / BIN))
-    up = i.join(o, ["doc_id", "bin"]).filter("p <> node and pl > level")
+    up = i.join(o, ["doc_id", "bin"]).filter("p <> node and pl > level and pb <= begin and pe >= begin")
     inside = (F.col("pb") <= F.col("begin")) & (F.col("pe") >= F.col("end"))
     cross = (F.col("pb") < F.col("end")) & (F.col("pe") > F.col("begin")) & ~inside
     best = up.groupBy("doc_id", "node").agg(F.min_by(F.when(inside, F.col("p")), F.when(inside, F.struct(F.col("pe") - F.col("pb"), F.col("pl"), F.col("p")))).alias("parent"), F.max(cross.cast("int")).alias("x"))
