@@ -156,7 +156,7 @@ class Decoder:
 
 
 #: Pieces that an encoder remembers before it starts afresh.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 250_000
 
 
 @lru_cache(2)
@@ -243,7 +243,7 @@ def _report(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
     bpe = load(path, pattern)
     for b in batches:
         data_all, at_all = T.bytes_of(b.column(1))
-        for lo, hi in T.slices(at_all, 4 * T.SLICE_BYTES):
+        for lo, hi in T.slices(at_all):
             data, at = data_all[at_all[lo] : at_all[hi]], at_all[lo : hi + 1] - at_all[lo]
             row, begin, size, place = bpe.encode_slice(data, at)
             shown = bpe.shown
