@@ -37,7 +37,17 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read again, so that what follows doesn't recompute it and survives lost executors."""
     path = shared(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by `cut` that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(t._written)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: A key is hot from this share of all rows; at most 1/HOT keys are.

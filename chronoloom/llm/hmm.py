@@ -8,10 +8,11 @@ p(word in its class), where a class keeps the mass V/(N + V) for words never see
 (V its distinct words, N its tokens) and shares the rest by counts; words never seen
 count as one event a class, as in the base model.
 
-1. One pass cuts the corpus in chunks of a few MB: a packed row holds a chunk's texts as
-   numbers of its own small dictionary, whose words are rows of their own. Counts of the
-   training texts are summed by word, and joined back to the dictionaries, never
-   to the tokens and never broadcast.
+1. One pass cuts the corpus in chunks of a few MB. A chunk is one packed row of its texts,
+   as numbers of its own small dictionary, and one packed row for each hash bucket of that
+   dictionary. Buckets are brought together to sum the counts of the training texts by word,
+   and answer each chunk's bucket with the totals; neither tokens nor single words are rows,
+   and the vocabulary is never broadcast.
 2. Baum-Welch: every task turns its share of the packed texts into expected counts of
    starts, transitions and emissions, which are summed across tasks; the driver gets one
    table of fixed size a round.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import cut
+from ._spark import cut, drop
 
 U64 = T.U64
 STATES, OWN, HASHED, ROUNDS = 6, 32_768, 32_768, 4
@@ -42,25 +43,56 @@ CHUNK_BYTES = 8 << 20
 END = -7_046_029_254_386_353_131  # the end token's hash
 SEGMENT = 192  # training looks at stretches of this many tokens
 
-PACKED = "chunk long, texts binary, words binary, held binary, ids array<long>, w int, h long, c long, tail int"
+PACKED = "kind int, chunk long, bucket int, a binary, b binary, c binary, ids array<long>"
+_PACKED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("ids", pa.list_(pa.int64()))])
+TEXTS, WORDS, TOTALS, TOP, STRIP = range(5)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of packed chunks (with `texts`) and of their dictionaries (with `w`)."""
-    schema = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("words", pa.binary()), ("held", pa.binary()), ("ids", pa.list_(pa.int64())), ("w", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("tail", pa.int32())])
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers in few bytes: all first bytes, then all second ones and so on, compressed."""
+    import zstandard
+
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def unsqueeze(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).reshape(-1).view(kind)
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    blank = dict.fromkeys(_PACKED.names)
+    return pa.RecordBatch.from_pylist([blank | r for r in rows], schema=_PACKED)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A TEXTS row a chunk (ids, held out, counts and words of its texts) and a WORDS row a bucket (hashes, counts to learn from, tails)."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
 
     def pack(ids: list[int | None], held: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray], tails: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, count = np.concatenate(hashes), np.concatenate(counts)
-        value, first, which = np.unique(h, return_index=True, return_inverse=True)
-        row = np.repeat(np.arange(len(count)), count)
-        learnt = np.bincount(which[~held[row]], minlength=len(value))
-        yield pa.record_batch([[number], [count.astype(np.int32).tobytes()], [which.astype(np.int32).tobytes()], [held.tobytes()], [ids], [None], [None], [None], [None]], schema=schema)
-        n = len(value)
-        none = pa.nulls(n, pa.binary())
-        yield pa.record_batch([pa.array(np.full(n, number)), none, none, none, pa.nulls(n, pa.list_(pa.int64())), pa.array(np.arange(n, dtype=np.int32)), pa.array(value.view(np.int64)), pa.array(learnt), pa.array(np.concatenate(tails)[first])], schema=schema)
+        value, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        tail = np.concatenate(tails)[first].astype(np.uint16)
+        learnt = np.bincount(which[~np.repeat(held, count)], minlength=len(value)).astype(np.uint32)
+        # by bucket, and within one by falling frequency, so that numbers of frequent words are small and alike
+        bucket = (value >> U64(40)) % U64(buckets)
+        order = np.lexsort((-n, bucket))
+        by_use = np.argsort(-n, kind="stable")
+        rank = np.empty(len(n), np.uint32)
+        rank[by_use] = np.arange(len(n), dtype=np.uint32)
+        rows = [{"kind": TEXTS, "chunk": number, "bucket": -1, "a": squeeze(count.astype(np.uint32)), "b": squeeze(rank[which]), "c": held.tobytes(), "ids": ids}]
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
+        for k in range(buckets):
+            o = order[edge[k] : edge[k + 1]]
+            if len(o):
+                rows.append({"kind": WORDS, "chunk": number, "bucket": k, "a": value[o].tobytes(), "b": squeeze(learnt[o]), "c": squeeze(np.stack([rank[o], tail[o].astype(np.uint32)]).ravel())})
+        yield _rows(rows)
 
     ids, held, hashes, counts, tails, size = [], [], [], [], [], 0
     for b in batches:
@@ -70,7 +102,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at = T.LOWER[data_all[at_all[lo] : at_all[hi]]], at_all[lo : hi + 1] - at_all[lo]
             start, end, row = T.words(data, at)
             h = T.hashes(data, start, end)
-            tail = (T.hashes(data, np.maximum(start, end - 3), end) % U64(HASHED)).astype(np.int32)
+            tail = (T.hashes(data, np.maximum(start, end - 3), end) % U64(HASHED)).astype(np.uint16)
             n = np.bincount(row, minlength=hi - lo)
             place = np.cumsum(n)  # the end token after each text
             hashes.append(np.insert(h, place, np.array([END], np.int64).view(U64)[0]))
@@ -87,42 +119,79 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pack(ids, np.concatenate(held), hashes, counts, tails)
 
 
+def _total(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of all chunks' words in a bucket: TOTALS rows back to the chunks, TOP rows with its most frequent words, STRIP rows with its masses by tail.
+
+    A TOTALS row has each word's total, tail and number in its chunk, and the hashes of those among the most frequent ones.
+    """
+    for t in T.whole_runs(batches, ["bucket"]):
+        bucket = t["bucket"].combine_chunks().to_numpy()
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            x = t.slice(s, e - s)
+            h = [np.frombuffer(v, U64) for v in x["a"].to_pylist()]
+            learnt = [unsqueeze(v, np.uint32) for v in x["b"].to_pylist()]
+            more = [unsqueeze(v, np.uint32).reshape(2, -1) for v in x["c"].to_pylist()]
+            value, first, which = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
+            total = np.bincount(which, np.concatenate(learnt).astype(np.float64), len(value)).astype(np.int64)
+            tail = np.concatenate([m[1] for m in more])[first].astype(np.int64)
+            best = np.lexsort((value, -total))[:most]
+            best = best[total[best] > 0]
+            frequent = np.zeros(len(value), bool)
+            frequent[best] = True
+            at = 0
+            for chunk, m, mine in zip(x["chunk"].to_pylist(), more, h):
+                w = which[at : at + len(mine)]
+                at += len(mine)
+                f = np.flatnonzero(frequent[w]).astype(np.uint32)
+                c = np.minimum(total[w], (1 << 32) - 1).astype(np.uint32)
+                wide = np.flatnonzero(total[w] >= 1 << 32).astype(np.uint32)
+                assert not len(wide) or set(wide) <= set(f)
+                yield _rows([{"kind": TOTALS, "chunk": chunk, "bucket": int(bucket[s]), "a": squeeze(np.concatenate([m.ravel(), c])), "b": squeeze(f), "c": mine[f].tobytes() + total[w][f].tobytes()}])
+            yield _rows([{"kind": TOP, "bucket": int(bucket[s]), "a": value[best].tobytes(), "b": total[best].tobytes(), "c": tail[best].tobytes()}])
+            seen = total > 0
+            masses = np.concatenate([np.bincount(tail[seen], total[seen].astype(np.float64), HASHED), np.bincount(tail[seen], minlength=HASHED).astype(np.float64)])
+            yield _rows([{"kind": STRIP, "bucket": k, "a": v.tobytes()} for k, v in enumerate(masses.reshape(-1, 4096)) if v.any()])
+
+
 READY = "ids array<long>, held binary, counts binary, known binary, base binary, static binary, classes binary"
 
 
-def _ready(tables: Iterator[pa.RecordBatch], n: int, v: int, own: dict[int, int], mass: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packed chunks with their dictionaries, by chunk, as sequences of classes and what each word adds for itself."""
+def _ready(tables: Iterator[pa.RecordBatch], n: int, v: int, keys: np.ndarray, places: np.ndarray, mass: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed chunks with their words' totals, by chunk, as sequences of classes and what each word adds for itself."""
     schema = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.binary()), ("counts", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("static", pa.binary()), ("classes", pa.binary())])
-    keys = np.array(sorted(own), np.int64)
-    places = np.array([own[int(k)] for k in keys], np.int64)
     for t in T.whole_runs(tables, ["chunk"]):
         chunk = t["chunk"].combine_chunks().to_numpy()
         cuts = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk))
         for s, e in zip(cuts[:-1], cuts[1:]):
-            x = t.slice(s, e - s)
-            text = np.flatnonzero(x["texts"].combine_chunks().is_valid().to_numpy(zero_copy_only=False))
-            assert len(text) == 1
-            p = x.slice(int(text[0]), 1)
-            is_word = x["w"].combine_chunks().is_valid()
-            words = x.filter(is_word)
-            w = words["w"].combine_chunks().to_numpy()
-            h, c, tail = (np.empty(len(w), np.int64) for _ in range(3))
-            for a, k in ((h, "h"), (c, "total"), (tail, "tail")):
-                a[w] = words[k].combine_chunks().to_numpy()
-            at = np.searchsorted(keys, h) if len(keys) else np.zeros(len(h), np.int64)
-            at = np.minimum(at, max(len(keys) - 1, 0))
-            mine = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            cls = np.where(mine, places[at] if len(keys) else 0, OWN + tail)
+            rows = t.slice(s, e - s).to_pylist()
+            p = next(r for r in rows if r["kind"] == TEXTS)
+            parts = []
+            for r in rows:
+                if r["kind"] == TOTALS:
+                    w, tail, c = unsqueeze(r["a"], np.uint32).reshape(3, -1)
+                    f = unsqueeze(r["b"], np.uint32)
+                    h, exact = np.frombuffer(r["c"], np.int64).reshape(2, -1)
+                    c, cls = c.astype(np.int64), OWN + tail.astype(np.int64)
+                    c[f] = exact
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    hit = keys[at] == h
+                    cls[f[hit]] = places[at[hit]]
+                    parts.append((w, c, cls))
+            size = sum(len(w) for w, _, _ in parts)
+            c, cls = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for w, cc, kk in parts:
+                c[w], cls[w] = cc, kk
             base = np.log10((c + 1) / (n + v + 1))
             # words with a class of their own add nothing; others their share of their class
-            whole = mass[cls] + kinds[cls]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                static = np.where(mine, 0.0, np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(whole, 1)), np.where(kinds[cls] > 0, np.log10(np.maximum(kinds[cls], 1) / np.maximum(whole, 1)), 0.0)))
-            count = np.frombuffer(p["texts"][0].as_py(), np.int32)
-            seq = np.frombuffer(p["words"][0].as_py(), np.int32)
+            whole, mine = mass[cls] + kinds[cls], cls < OWN
+            share = np.where(c > 0, c, kinds[cls])
+            static = np.where(mine | (share <= 0), 0.0, np.log10(np.maximum(share, 1) / np.maximum(whole, 1)))
+            count, seq = unsqueeze(p["a"], np.uint32).astype(np.int64), unsqueeze(p["b"], np.uint32)
             row = np.repeat(np.arange(len(count)), count)
-            add = lambda y: np.bincount(row, y[seq], len(count))
-            yield pa.record_batch([p["ids"].combine_chunks(), p["held"].combine_chunks(), [count.tobytes()], [add(c > 0).astype(np.int64).tobytes()], [add(base).tobytes()], [add(static).tobytes()], [cls[seq].astype(np.uint16).tobytes()]], schema=schema)
+            add = lambda y: np.bincount(row, y[seq], len(count))  # noqa: B023, E731
+            out = [[p["ids"]], [p["c"]], [squeeze(count.astype(np.uint32))], [squeeze(add(c > 0).astype(np.int64))], [add(base).tobytes()], [add(static).tobytes()], [squeeze(cls[seq].astype(np.uint16))]]
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
 
 class Model:
@@ -206,7 +275,7 @@ def expected(seq: np.ndarray, count: np.ndarray, m: Model, head: np.ndarray, cla
 
 
 def _unpack(t: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(t.column("counts")[k].as_py(), np.int32).astype(np.int64), np.frombuffer(t.column("held")[k].as_py(), bool), np.frombuffer(t.column("classes")[k].as_py(), np.uint16).astype(np.int64)
+    return unsqueeze(t.column("counts")[k].as_py(), np.uint32).astype(np.int64), np.frombuffer(t.column("held")[k].as_py(), bool), unsqueeze(t.column("classes")[k].as_py(), np.uint16)
 
 
 def _learn(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
@@ -262,13 +331,20 @@ def baum_welch(ready: DataFrame, m: Model, unigram: np.ndarray, rounds: int = RO
     return m
 
 
+def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns]):
+            h, total, tail = (np.frombuffer(x, np.int64) for x in row)
+            yield pa.record_batch([pa.array(h), pa.array(total), pa.array(tail.astype(np.int32))], ["h", "total", "tail"])
+
+
 def _score(batches: Iterator[pa.RecordBatch], m: Model, train_tokens: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(b.num_rows):
             count, held, seq = _unpack(b, k)
             read = lambda c, kind: np.frombuffer(b.column(c)[k].as_py(), kind)  # noqa: B023, E731
             score = forward(seq, count, m) + read("static", np.float64)
-            yield pa.record_batch([b.column("ids")[k].values, pa.array(held), pa.array(count), pa.array(read("known", np.int64)), pa.array(np.full(len(count), train_tokens)), pa.array(read("base", np.float64)), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.record_batch([b.column("ids")[k].values, pa.array(held), pa.array(count), pa.array(unsqueeze(b.column("known")[k].as_py(), np.int64)), pa.array(np.full(len(count), train_tokens)), pa.array(read("base", np.float64)), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score(docs: DataFrame, held_out=None, rounds: int = ROUNDS) -> DataFrame:  # noqa: ANN001
@@ -276,32 +352,35 @@ def score(docs: DataFrame, held_out=None, rounds: int = ROUNDS) -> DataFrame:  #
     if held_out is None:
         held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col("text").cast("string").alias("text"))
-    packed = cut(slim.mapInArrow(_pack, PACKED), "packed")
-    entries = packed.filter("w is not null").select("chunk", "w", "h", "c", "tail")
-    counts = cut(entries.groupBy("h").agg(F.sum("c").alias("total"), F.first("tail").alias("tail")), "counts")
-    n, v = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum((F.col("total") > 0).cast("long")), F.lit(0))).first()
-    # words with a class of their own: at most OWN rows
-    top = counts.filter((F.col("total") > 0) & (F.col("h") != END)).orderBy(F.desc("total"), "h").limit(OWN - 1).collect()
-    own = {END: 0} | {r["h"]: k + 1 for k, r in enumerate(top)}
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = cut(slim.mapInArrow(lambda it: _pack(it, buckets), PACKED), "packed")
+    most = 4 * OWN // buckets + 64
+    words = packed.filter(F.col("kind") == WORDS).repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
+    totals = cut(words.mapInArrow(lambda it: _total(it, most), PACKED), "totals")
+    # masses of the tails: sums of strips, HASHED numbers twice
+    strips = totals.filter(F.col("kind") == STRIP).select(F.col("bucket").alias("strip"), F.col("a").alias("x")).repartition("strip").mapInArrow(_sum, "strip int, x binary").collect()
+    masses = np.zeros((2 * HASHED // 4096, 4096))
+    for r in strips:
+        masses[r["strip"]] = np.frombuffer(bytes(r["x"]), np.float64)
+    by_tail, kinds_of_tail = masses.reshape(2, HASHED)
+    n, v = int(by_tail.sum()), int(kinds_of_tail.sum())
+    # words with a class of their own: at most OWN, the most frequent of all buckets' most frequent ones
+    top = totals.filter(F.col("kind") == TOP).select("a", "b", "c").mapInArrow(_top, "h long, total long, tail int")
+    top = top.orderBy((F.col("h") == END).desc(), F.desc("total"), "h").limit(OWN).collect()
+    own = {END: 0}
     mass, kinds = np.zeros(OWN + HASHED), np.zeros(OWN + HASHED)
+    mass[OWN:], kinds[OWN:] = by_tail, kinds_of_tail
     for r in top:
-        mass[own[r["h"]]] = r["total"]
-    end = counts.filter(F.col("h") == END).first()
-    mass[0] = end["total"] if end else 0
-    frequent = counts.sparkSession.createDataFrame([(h,) for h in own], "h long")
-    rest = counts.filter("total > 0").join(F.broadcast(frequent), "h", "left_anti").groupBy("tail").agg(F.sum("total").alias("n"), F.count("*").alias("v")).collect()  # at most HASHED rows
-    for r in rest:
-        mass[OWN + r["tail"]], kinds[OWN + r["tail"]] = r["n"], r["v"]
+        mass[own.setdefault(r["h"], len(own))] = r["total"]
+        mass[OWN + r["tail"]] -= r["total"]
+        kinds[OWN + r["tail"]] -= 1
     unigram = (mass + 0.5) / (mass + 0.5).sum()
+    keys = np.array(sorted(own), np.int64)
+    places = np.array([own[int(k)] for k in keys], np.int64)
 
-    # counts return to the dictionaries; a word is at most once in a chunk's
-    known = entries.join(counts.select(F.col("h").alias("_h"), "total"), F.col("h") == F.col("_h")).select("chunk", "w", "h", "total", "tail")
-    texts = packed.filter("texts is not null").select("chunk", "texts", "words", "held", "ids")
-    none = [F.lit(None).cast(k).alias(c) for c, k in (("w", "int"), ("h", "long"), ("total", "long"), ("tail", "int"))]
-    blank = [F.lit(None).cast(k).alias(c) for c, k in (("texts", "binary"), ("words", "binary"), ("held", "binary"), ("ids", "array<long>"))]
-    both = texts.select("chunk", "texts", "words", "held", "ids", *none).union(known.select("chunk", *blank, "w", "h", "total", "tail"))
-    both = both.repartition("chunk").sortWithinPartitions("chunk")
-    ready = cut(both.mapInArrow(lambda it: _ready(it, n, v, own, mass, kinds), READY), "ready")
+    both = packed.filter(F.col("kind") == TEXTS).union(totals.filter(F.col("kind") == TOTALS)).repartition("chunk").sortWithinPartitions("chunk")
+    ready = cut(both.mapInArrow(lambda it: _ready(it, n, v, keys, places, mass, kinds), READY), "ready")
+    drop(packed, totals)
     m = baum_welch(ready, Model.first(unigram), unigram, rounds)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return ready.mapInArrow(lambda it: _score(it, m, n), out)
