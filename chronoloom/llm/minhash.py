@@ -64,7 +64,7 @@ def shingles(data: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarr
     n = len(word)
     for k in range(1, width):
         more = np.zeros(n, U64)
-        more[: n - k] = word[k:]
+        more[: max(n - k, 0)] = word[k:]
         inside = size[row] > k
         h = np.where(inside, T.mix(h * U64(0x9E3779B97F4A7C15) + more), h)
     h = T.mix(h + size[row].astype(U64))[begin]
