@@ -1,8 +1,7 @@
 """Language model scoring with a hidden Markov model over words.
 
 Words are lower-cased runs of visible bytes; a text is its words and an end token.
-A word belongs to a class: each of the OWN most frequent ones (and the end) to its
-own, any other to one of HASHED classes by its last characters, so the tables of
+A word belongs to a class: each of the OWN most frequent ones (seen OFTEN times at least, and the end) to its own, any other to one of HASHED classes by its last characters, so the tables of
 the hidden states have a fixed size. p(word) = p(class, by the hidden Markov model) *
 p(word in its class), where a class keeps the mass V/(N + V) for words never seen
 (V its distinct words, N its tokens) and shares the rest by counts; words never seen
@@ -39,6 +38,7 @@ from ._spark import cut, drop
 
 U64 = T.U64
 STATES, OWN, HASHED, ROUNDS = 6, 32_768, 32_768, 4
+OFTEN = 10  # a word seen less often has no class of its own
 CHUNK_BYTES = 8 << 20
 END = -7_046_029_254_386_353_131  # the end token's hash
 SEGMENT = 192  # training looks at stretches of this many tokens
@@ -69,6 +69,7 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([blank | r for r in rows], schema=_PACKED)
 
 
+@T.tidy
 def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """A TEXTS row a chunk (ids, held out, counts and words of its texts) and a WORDS row a bucket (hashes, counts to learn from, tails)."""
     from pyspark import TaskContext
@@ -119,6 +120,7 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield from pack(ids, np.concatenate(held), hashes, counts, tails)
 
 
+@T.tidy
 def _total(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of all chunks' words in a bucket: TOTALS rows back to the chunks, TOP rows with its most frequent words, STRIP rows with its masses by tail.
 
@@ -157,6 +159,7 @@ def _total(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 READY = "ids array<long>, held binary, counts binary, known binary, base binary, static binary, classes binary"
 
 
+@T.tidy
 def _ready(tables: Iterator[pa.RecordBatch], n: int, v: int, keys: np.ndarray, places: np.ndarray, mass: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed chunks with their words' totals, by chunk, as sequences of classes and what each word adds for itself."""
     schema = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.binary()), ("counts", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("static", pa.binary()), ("classes", pa.binary())])
@@ -278,6 +281,7 @@ def _unpack(t: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return unsqueeze(t.column("counts")[k].as_py(), np.uint32).astype(np.int64), np.frombuffer(t.column("held")[k].as_py(), bool), unsqueeze(t.column("classes")[k].as_py(), np.uint16)
 
 
+@T.tidy
 def _learn(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
     classes = len(m.emit)
     total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((classes, STATES))]
@@ -338,6 +342,7 @@ def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(h), pa.array(total), pa.array(tail.astype(np.int32))], ["h", "total", "tail"])
 
 
+@T.tidy
 def _score(batches: Iterator[pa.RecordBatch], m: Model, train_tokens: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(b.num_rows):
@@ -366,7 +371,7 @@ def score(docs: DataFrame, held_out=None, rounds: int = ROUNDS) -> DataFrame:  #
     n, v = int(by_tail.sum()), int(kinds_of_tail.sum())
     # words with a class of their own: at most OWN, the most frequent of all buckets' most frequent ones
     top = totals.filter(F.col("kind") == TOP).select("a", "b", "c").mapInArrow(_top, "h long, total long, tail int")
-    top = top.orderBy((F.col("h") == END).desc(), F.desc("total"), "h").limit(OWN).collect()
+    top = top.filter((F.col("total") >= OFTEN) | (F.col("h") == END)).orderBy((F.col("h") == END).desc(), F.desc("total"), "h").limit(OWN).collect()
     own = {END: 0}
     mass, kinds = np.zeros(OWN + HASHED), np.zeros(OWN + HASHED)
     mass[OWN:], kinds[OWN:] = by_tail, kinds_of_tail
