@@ -101,6 +101,7 @@ class Lists:
         return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1
 
 
+@T.tidy
 def _assign(batches: Iterator[pa.RecordBatch], lists: Lists) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -108,6 +109,7 @@ def _assign(batches: Iterator[pa.RecordBatch], lists: Lists) -> Iterator[pa.Reco
             yield pa.record_batch([b.column(0), b.column(1), pa.array(home.astype(np.int32))], ["vec_id", "v", "list"])
 
 
+@T.tidy
 def _probe(batches: Iterator[pa.RecordBatch], lists: Lists, size: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
@@ -154,6 +156,7 @@ def scan(q: np.ndarray, c: np.ndarray, k: int, same: np.ndarray) -> list[np.ndar
     return [np.flatnonzero(a) for a in alive]
 
 
+@T.tidy
 def _search(batches: Iterator[pa.RecordBatch], lists: Lists, k: int) -> Iterator[pa.RecordBatch]:
     rotation = lists.rotation.astype(np.float32)
     for t in T.whole_runs(batches, ["key"], BLOCK):

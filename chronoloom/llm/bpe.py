@@ -108,14 +108,18 @@ class Bpe:
             self.filled += len(x)
             self.shown.append(",".join([name[i] for i in x]))
 
+    def forget(self) -> None:
+        self.known = {}
+        self.flat, self.filled = np.zeros(1 << 16, np.int32), 0
+        self.begin, self.size, self.shown = [], [], []
+
     def encode_slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of a slice of texts: (row of each piece, where its ids begin in `flat`, how many they are, its number in `shown`)."""
         start, end, row, plain = pieces(data, at)
         if not len(start):
             return (row,) * 4
         if len(self.known) > MOST_KNOWN:
-            self.known.clear()
-            self.begin, self.size, self.shown, self.filled = [], [], [], 0
+            self.forget()
         h, first, which = np.unique(T.hashes(data, start, end), return_index=True, return_inverse=True)
         numbers = h.tolist()
         get = self.known.get
@@ -239,6 +243,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", to: s
     return docs.withColumn(to, back(docs[ids_col]))
 
 
+@T.tidy
 def _report(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = load(path, pattern)
     for b in batches:
@@ -258,6 +263,7 @@ def _report(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
                 n_tokens.append(len(ids))
                 decoded_sha.append(hashlib.sha256(out.tobytes()).hexdigest())
             yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    bpe.forget()
 
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -92,6 +92,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+@T.tidy
 def _encode(batches: Iterator[pa.RecordBatch], d: int, projection: np.ndarray, tables: np.ndarray) -> Iterator[pa.RecordBatch]:
     weight = U64(1) << np.arange(tables.shape[1], dtype=U64)
     for b in batches:
@@ -103,6 +104,7 @@ def _encode(batches: Iterator[pa.RecordBatch], d: int, projection: np.ndarray, t
         yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["cid", "code", "keys"])
 
 
+@T.tidy
 def _codes(batches: Iterator[pa.RecordBatch], projection_tables: np.ndarray, far: int) -> Iterator[pa.RecordBatch]:
     """Members of a bucket's block pair that have a partner within the Hamming distance whose first table this is."""
     for t in T.whole_runs(batches, ["key"], 5_000):
@@ -140,6 +142,7 @@ def _codes(batches: Iterator[pa.RecordBatch], projection_tables: np.ndarray, far
             yield pa.record_batch([t[c].combine_chunks().filter(pa.array(go)) for c in ("key", "t", "side", "cid", "code")], ["key", "t", "side", "cid", "code"])
 
 
+@T.tidy
 def _rerank(batches: Iterator[pa.RecordBatch], tables: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """Within a bucket's block pair: each member's number of linked vectors, and its root in the block's forest."""
     for t in T.whole_runs(batches, ["key"], 2_000):

@@ -32,6 +32,7 @@ from ._spark import cut
 LINES = "h long, n_bytes int, doc_id long, text_hash long, pos int"
 
 
+@T.tidy
 def _keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data_all, at_all = T.bytes_of(batch.column(1))
@@ -72,6 +73,7 @@ def _starts(t: pa.Table, names: tuple[str, ...]) -> np.ndarray:
     return out
 
 
+@T.tidy
 def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
     """Stream one sorted partition. Of the rows of a run, only as many wait as leave its decision open.
 
@@ -165,6 +167,7 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
         yield summary()
 
 
+@T.tidy
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in T.whole_runs(batches, ["_g"], 20_000):
         pos = t["pos"].combine_chunks().to_numpy()
@@ -243,6 +246,7 @@ def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col:
     return joined.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
+@T.tidy
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, keeps = b.column(1).to_pylist(), b.column(2).to_pylist()

@@ -116,6 +116,7 @@ def sketch_similarity(differing: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
+@T.tidy
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data_all, at_all = T.bytes_of(b.column(1))
@@ -141,6 +142,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.record_batch([b.column(0).slice(lo, n), pa.array(size), pa.array(a), pa.array(c), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], [x.split()[0] for x in SIGNED.split(", ")])
 
 
+@T.tidy
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data_all, at_all = T.bytes_of(b.column(1))
@@ -150,6 +152,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array([h[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], ["id", "hashes"])
 
 
+@T.tidy
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
@@ -180,6 +183,7 @@ def _far(a, b):  # noqa: ANN001, ANN202
     return count(a, b)
 
 
+@T.tidy
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int, far: int) -> Iterator[pa.RecordBatch]:
     """Within runs of (band, block pair): pairs of different components whose sizes and sketches allow a link."""
     for t in T.whole_runs(batches, ["key"], 5_000):

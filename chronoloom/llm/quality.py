@@ -116,6 +116,7 @@ class Ftrl:
         self.n[j] += g * g
 
 
+@T.tidy
 def _train(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     model, seen = Ftrl(bits), 0
     for b in batches:
@@ -172,12 +173,22 @@ def score(docs: DataFrame, w: np.ndarray, to: str = "score", text_col: str = "te
     return docs.withColumn(to, _score_column(w)(docs[text_col].cast("string")))
 
 
+@T.tidy
+def _keep(batches: Iterator[pa.RecordBatch], w: np.ndarray, least: float, at_text: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, at = T.bytes_of(b.column(at_text))
+        for lo, hi in T.slices(at, 4 * T.SLICE_BYTES):
+            s = scores(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], w)
+            yield b.slice(lo, hi - lo).filter(pa.array(s >= least))
+
+
 def keep(docs: DataFrame, w: np.ndarray, least: float = 0.3) -> DataFrame:
     """The rows of `docs` that score at least `least`; their columns are unchanged."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("_text"))
-    return row.withColumn("_score", _score_column(w)(F.col("_text"))).filter(F.col("_score") >= least).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    at_text = docs.columns.index("text")
+    return docs.mapInArrow(lambda it: _keep(it, w, least, at_text), docs.schema)
 
 
+@T.tidy
 def _report(batches: Iterator[pa.RecordBatch], w: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, at = T.bytes_of(b.column(2))
