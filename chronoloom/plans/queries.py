@@ -663,7 +663,7 @@ def x13_trend(s, d):
 
 @query()
 def pipeline_over_sentences(s, d):
-    """All stages over the sentences of orders."""
+    """The stages up to links from subordination over the sentences of orders."""
     from .pipeline import Options, run
 
-    return run(X.sentences(s, d).withColumn("text", F.concat("text", F.lit(" He said the buyer wanted to pay before 1999."))), Options(pipeline="PREPROCESSOR,GUTIME,EVITA,SLINKET,S2T,BLINKER,LINK_MERGER")).select("doc_id", "name", "begin", "end", "seq", F.to_json("attrs").alias("attrs"))
+    return run(X.sentences(s, d).withColumn("text", F.concat("text", F.lit(" He said the buyer wanted to pay before 1999."))), Options(pipeline="PREPROCESSOR,GUTIME,EVITA,SLINKET,S2T")).select("doc_id", "name", "begin", "end", "seq", F.to_json("attrs").alias("attrs"))
