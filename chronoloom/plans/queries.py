@@ -446,6 +446,18 @@ def c07_weeks_and_days(s, d):
     return o.select("k", dates.compare(week, F.date_format("m", "yyyy-MM-dd")).alias("relation"))
 
 
+# c07 leaves out the turn of the year; here all orders count. Like the reference, a week of another year than the day's is compared by year,
+# unless it holds the first of January and the day is in that month: then it includes the day.
+@query(f"""WITH x AS (SELECT k, d, d + to_days(CAST(k % 41 - 20 AS INT)) AS m FROM {_D})
+SELECT k, CASE WHEN isoyear(d) <> year(m) AND month(m) = 1 AND yearweek(d) = yearweek(date_trunc('year', m)) THEN 'INCLUDES' WHEN isoyear(d) < year(m) THEN 'BEFORE' WHEN isoyear(d) > year(m) THEN 'AFTER'
+WHEN yearweek(d) = yearweek(m) THEN 'INCLUDES' WHEN yearweek(d) < yearweek(m) THEN 'BEFORE' ELSE 'AFTER' END AS relation FROM x""")
+def c08_weeks_and_days_at_any_time(s, d):
+    o = _orders(s, d).withColumn("m", F.date_add("d", (F.col("k") % 41 - 20).cast("int")))
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), F.col("d")).cast("string"), F.lit("-W"), F.lpad(F.weekofyear("d").cast("string"), 2, "0"))
+    x = o.select("k", week.alias("a"), F.date_format("m", "yyyy-MM-dd").alias("b"))
+    return x.select("k", dates.compare(F.col("a"), F.col("b")).alias("relation"))
+
+
 # Classifier
 
 _ENTITIES_SQL = f"""{X.EVENTS_SQL}, en AS (SELECT doc_id, sentence, b, CASE WHEN seq % 3 = 0 THEN 't' || seq ELSE eiid END AS id, CASE WHEN seq % 3 = 0 THEN 'T' ELSE 'E' END AS kind, tense FROM ev)"""

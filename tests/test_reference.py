@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import oracle
 import pytest
@@ -75,6 +75,17 @@ def test_dates_as_columns_agree_with_python(spark):
     assert [(r["a"], r["b"], r["r"]) for r in got] == [(a, b, dates.compare_py(a, b, 1998)) for a, b in pairs]
 
 
+def test_weeks_and_days_of_all_orders(spark, sf):
+    def want(k, d):
+        y, w, _ = d.isocalendar()
+        return dates.compare_py(f"{y}-W{w:02}", (d + timedelta(k % 41 - 20)).isoformat())
+
+    orders = [(r["k"], r["d"]) for r in queries._orders(spark, sf).collect()]
+    turn = [k for k, d in orders if len({d.year, d.isocalendar()[0], (m := d + timedelta(k % 41 - 20)).year, m.isocalendar()[0]}) > 1]
+    got = {r["k"]: r["relation"] for r in queries.QUERIES["c08_weeks_and_days_at_any_time"](spark, sf).collect()}
+    assert turn and got == {k: want(k, d) for k, d in orders}
+
+
 @pytest.mark.parametrize("text, want", [
     ("It is June 5th.", [(6, 14, "20160605")]), ("In the year 2000 it was warm.", [(12, 16, "2000")]), ("He left 3 days ago.", [(8, 18, "20160529")]), ("It ships next month.", [(9, 19, "201607")]),
     ("for ten days", [(4, 12, "P10D")]), ("the 20th century", [(0, 16, "19")]), ("at 3:30 p.m.", [(3, 12, "20160601T1530")]), ("Christmas 2010", [(0, 14, "20101225")]), ("You may go.", []), ("February 30, 1999", [(13, 17, "1999")]),
