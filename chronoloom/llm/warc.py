@@ -48,14 +48,17 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 @lru_cache(1024)
 def url_key(url: str | None) -> str:
-    """Reversed host, then port, path and query: `org,example,www)/a?b`. Fragments and schemes don't count."""
+    """Reversed host, then port, path and query: `org,example,www)/a?b`. Fragments and schemes don't count.
+
+    Tab, newline and return are escaped here, before anything is sorted, as index lines can't hold them.
+    """
     try:
         p = urlsplit((url or "").strip())
         host, port = (p.hostname or "").lower(), p.port
     except ValueError:  # not a URL: kept whole, so that it can still be found
-        return (url or "").lower()
+        return _field((url or "").lower())
     if not host:
-        return (url or "").lower()
+        return _field((url or "").lower())
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (p.path or "/") + (f"?{p.query}" if p.query else "")
 
 
@@ -153,7 +156,7 @@ def _index(batches: Iterator[pa.RecordBatch], folder: str, lines: int) -> Iterat
             name = f"{uuid.uuid4().hex}.cdx.gz"
             out = system.open_output_stream(f"{root}/{name}", compression=None)
         for row in zip(*[c.to_pylist() for c in b.columns]):
-            key = _field(row[0])
+            key = row[0]
             first = key if first is None else first
             held.append((key, "\t".join([key, *("-" if x is None else str(x) for x in row[1:])])))
             if len(held) >= lines:
@@ -179,7 +182,8 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     # by id as well, so that captures of one URL may span files
     rows = captures.repartitionByRange(parts, "urlkey", "page_id", "file", "offset").sortWithinPartitions("urlkey", "page_id", "file", "offset")
     done = rows.mapInArrow(lambda it: _index(it, folder, block_lines), "first string, name string")
-    return sorted((r["first"], r["name"]) for r in done.collect())
+    # files that begin with the same key stay in the order of their partitions
+    return sorted(((r["first"], r["name"]) for r in done.collect()), key=lambda f: f[0])
 
 
 class Index:

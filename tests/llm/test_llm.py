@@ -322,6 +322,27 @@ def test_warc_round_trip_and_lookup(spark):
     assert warc.round_trip(pages.filter("false")).count() == 0
 
 
+def test_warc_keys_with_tabs_and_newlines(spark):
+    from chronoloom.llm import warc
+
+    urls = ["a\tb", "a b", "a%09b", "a\nb", "a!b", "a\rb", "a#b", "http://[\t"]
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.round_trip(pages).collect()) == list(range(len(urls)))
+    folder, captures = warc.write(pages)
+    one = spark.createDataFrame([("a b",)], "u string")
+    assert [r["page_id"] for r in warc.lookup(one, "u", folder, warc.build_index(captures, folder)).collect()] == [1]
+
+
+def test_warc_key_over_several_index_files(spark):
+    from chronoloom.llm import warc
+
+    pages = spark.createDataFrame([(k, "http://a.org" if k < 30 else "http://b.org", "") for k in range(31)], "page_id long, url string, html string")
+    folder, captures = warc.write(pages)
+    for _ in range(4):  # files have random names
+        index = warc.Index(folder, warc.build_index(captures, folder))
+        assert [r[1] for r in index.find("org,b)/")] == ["30"] and len(list(index.find("org,a)/"))) == 30
+
+
 # 7 language model
 
 
