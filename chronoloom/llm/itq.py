@@ -65,10 +65,25 @@ def learn(sample: np.ndarray, codes: int = CODES, rounds: int = 20, seed: int =
 
 
 def plan(n: int, bits: int, threshold: float, miss: float = 1e-4) -> tuple[int, int]:
-    """(bits of a substring, tables) for n vectors."""
-    agree = 1 - math.acos(threshold) / math.pi
-    width = max(6, min(24, math.ceil(math.log2(max(2, n))) - 3))
-    return width, max(1, math.ceil(math.log(miss) / math.log(1 - agree**width)))
+    """(bits of a substring, tables) for n vectors: pairs at the threshold are missed with probability `miss`, averaged over their Hamming distance as of independent bits."""
+    p = math.acos(threshold) / math.pi
+    log = np.array([math.lgamma(k + 1) for k in range(bits + 1)])  # of factorials
+    h = np.arange(bits + 1)  # Hamming distance of a pair at the threshold
+    chance = np.exp(log[bits] - log - log[::-1] + h * math.log(p) + (bits - h) * math.log(1 - p))
+    width = min(bits, max(6, min(24, math.ceil(math.log2(max(2, n))) - 3)))
+    while width > 1 and chance[bits - width + 1 :].sum() > miss / 2:  # short codes: too often no substring agrees
+        width -= 1
+    never = chance[bits - width + 1 :].sum()
+    few = h[: bits - width + 1]
+    differs = -np.expm1(log[bits - few] - log[bits - few - width] - log[bits] + log[bits - width])
+    missed = lambda tables: float((chance[few] * differs**tables).sum())
+    low, high = 0, 1
+    while missed(high) > max(miss - never, miss / 2):
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(mid) > max(miss - never, miss / 2) else (low, mid)
+    return width, high
 
 
 def substrings(bits: int, width: int, tables: int, seed: int = 11) -> np.ndarray:

@@ -410,6 +410,21 @@ def test_squeeze():
 # 8 embedding near-dedup
 
 
+def test_itq_plan_misses_as_planned():
+    from chronoloom.llm import itq
+
+    rng = np.random.default_rng(4)
+    for n in (500, 10_000, 100_000):
+        width, count = itq.plan(n, 256, 0.9)
+        tables = itq.substrings(256, width, count)
+        differ = rng.random((100_000, 256)) < np.arccos(0.9) / np.pi
+        missed = np.ones(len(differ), bool)
+        for t in tables:
+            missed[missed] = differ[missed][:, t].any(axis=1)
+        assert missed.mean() < 2.5e-4
+    assert all(1 <= itq.plan(n, 4 * d, 0.9)[0] <= 4 * d for d in (1, 2, 3, 8) for n in (2, 1_000_000))
+
+
 def test_itq_against_brute_force(spark):
     from chronoloom.llm import itq
 
