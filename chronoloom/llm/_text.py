@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -21,10 +22,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SLICE_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every output bit depends on every input bit."""
     h = h ^ (h >> U64(30))
@@ -35,26 +32,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = max(n, SLICE_BYTES * 2)
-        if m <= SLICE_BYTES * 16:  # larger ones aren't kept
-            _powers[:] = [_progression(b, m) for b in (_BASE, _INVERSE)]
-        else:
-            return _progression(_BASE, m), _progression(_INVERSE, m)
-    return _powers[0], _powers[1]
-
-
-def _progression(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def tidy(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A generator that gives memory back when a task ends: workers wait for the next one beside others."""
 
@@ -119,18 +96,55 @@ def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span, the same wherever it lies."""
-    n = len(data)
-    power, inverse = _power(n + 1)
-    total = np.zeros(n + 1, U64)
-    v = _TABLE[data]
-    v *= power[:n]
-    np.cumsum(v, out=total[1:])
-    h = total[end] - total[start]
-    h *= inverse[start]
-    h ^= (end - start).astype(U64) * U64(0xA0761D6478BD642F)
-    return mix(h)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LONG = 64  # spans beyond this many bytes are hashed one by one, in C
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, 0, (1,))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span, the same wherever it lies: every eight bytes are mixed into a chain, so no family of strings collides by its structure."""
+    size = end - start
+    eights = _eights(data)
+    h = mix(size.astype(U64) + U64((2 * seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    h ^= eights[start] & _LOW_BYTES[np.minimum(size, 8)]
+    h = mix(h)
+    at, live = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(live):
+        x = h[live] * U64(0xD1B54A32D192ED03)
+        x ^= eights[start[live] + at] & _LOW_BYTES[np.minimum(size[live] - at, 8)]
+        h[live] = mix(x)
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        for i, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist()):
+            h[i] = xxhash.xxh3_64_intdigest(raw[a:b], seed)
+    return h
+
+
+def equal_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether span start:end holds the same bytes as other:stop, for each pair."""
+    size = end - start
+    same = size == stop - other
+    eights = _eights(data)
+    at, live = 0, np.flatnonzero(same & (start != other))
+    while len(live):
+        if at >= LONG:  # few are left
+            raw = data.tobytes()
+            for i, a, b, n in zip(live.tolist(), start[live].tolist(), other[live].tolist(), size[live].tolist()):
+                same[i] = raw[a : a + n] == raw[b : b + n]
+            break
+        good = (eights[start[live] + at] ^ eights[other[live] + at]) & _LOW_BYTES[np.minimum(size[live] - at, 8)] == 0
+        same[live[~good]] = False
+        at += 8
+        live = live[good & (size[live] > at)]
+    return same
 
 
 def ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 The rank file is turned into a vocabulary and its merges, its bytes written as the
 printable characters that byte-level models use. Texts are first cut at places
-where the pattern always has a border; equal pieces are encoded once for as long as
+where the pattern always has a border; pieces of equal bytes are encoded once for as long as
 a worker remembers them, and their ids put in place by array operations, so most of
 the corpus is copied, not tokenised. `encode_offsets`
 gives the library's own output with character offsets.
@@ -73,7 +73,7 @@ class Bpe:
         self.tokenizer = Tokenizer(models.BPE(vocab={show(t): r for t, r in ranks.items()}, merges=[(show(a), show(b)) for a, b in pairs], ignore_merges=True))
         self.model = self.tokenizer.model
         self.shown_bytes = {b: ord(c) for b, c in char.items()}
-        self.known: dict[int, int] = {}  # hash of a piece: its number; emptied when full
+        self.known: dict[bytes, int] = {}  # bytes of a piece: its number; emptied when full
         self.flat, self.filled = np.zeros(1 << 16, np.int32), 0
         self.begin: list[int] = []
         self.size: list[int] = []
@@ -91,22 +91,22 @@ class Bpe:
         """(ids, character offsets of each id) by the library."""
         return [(e.ids, e.offsets) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, numbers: list[int], texts: list[str | None], shown: list[str | None]) -> None:
+    def _learn(self, names: list[bytes], texts: list[str | None], shown: list[str | None]) -> None:
         """Encode new pieces: one run of letters goes to the merges at once, others through the split pattern as well."""
         ids = [[t.id for t in self.model.tokenize(x)] if x is not None else None for x in shown]
         some = [k for k, x in enumerate(ids) if x is None]
         for k, e in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)):
             ids[k] = e.ids
-        name, grown = self.decimal, self.filled + sum(map(len, ids))
+        decimal, grown = self.decimal, self.filled + sum(map(len, ids))
         if grown > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(grown, np.int32)])
-        for h, x in zip(numbers, ids):
-            self.known[h] = len(self.begin)
+        for raw, x in zip(names, ids):
+            self.known[raw] = len(self.begin)
             self.begin.append(self.filled)
             self.size.append(len(x))
             self.flat[self.filled : self.filled + len(x)] = x
             self.filled += len(x)
-            self.shown.append(",".join([name[i] for i in x]))
+            self.shown.append(",".join([decimal[i] for i in x]))
 
     def forget(self) -> None:
         self.known = {}
@@ -118,19 +118,27 @@ class Bpe:
         start, end, row, plain = pieces(data, at)
         if not len(start):
             return (row,) * 4
-        if len(self.known) > MOST_KNOWN:
+        if len(self.known) > MOST_KNOWN or self.filled > MOST_IDS:
             self.forget()
-        h, first, which = np.unique(T.hashes(data, start, end), return_index=True, return_inverse=True)
-        numbers = h.tolist()
+        _, first, which = np.unique(T.hashes(data, start, end), return_index=True, return_inverse=True)
+        # pieces of one hash are one piece if their bytes agree; the others get numbers of their own
+        odd = np.flatnonzero(~T.equal_spans(data, start, end, start[first][which], end[first][which]))
+        raw = data.tobytes()
+        if len(odd):
+            number: dict[bytes, int] = {}
+            for i in odd.tolist():
+                k = number.setdefault(raw[start[i] : end[i]], len(first) + len(number))
+                which[i] = k
+            _, first = np.unique(which, return_index=True)
+        begins, ends = start[first].tolist(), end[first].tolist()
+        names = [raw[a:b] for a, b in zip(begins, ends)]
         get = self.known.get
-        new = [k for k, x in enumerate(numbers) if get(x) is None]
+        new = [k for k, x in enumerate(names) if get(x) is None]
         if new:
-            raw = data.tobytes()
             seen = raw.decode("latin-1").translate(self.shown_bytes)
-            f = first[new]
-            span = list(zip(start[f].tolist(), end[f].tolist(), plain[f].tolist()))
-            self._learn([numbers[k] for k in new], [None if p else raw[a:b].decode() for a, b, p in span], [seen[a:b] if p else None for a, b, p in span])
-        place = np.fromiter(map(self.known.__getitem__, numbers), np.int64, len(numbers))
+            simple = plain[first].tolist()
+            self._learn([names[k] for k in new], [None if simple[k] else names[k].decode() for k in new], [seen[begins[k] : ends[k]] if simple[k] else None for k in new])
+        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         begin, size = np.asarray(self.begin, np.int64)[place], np.asarray(self.size, np.int64)[place]
         return row, begin[which], size[which], place[which]
 
@@ -161,6 +169,8 @@ class Decoder:
 
 #: Pieces that an encoder remembers before it starts afresh.
 MOST_KNOWN = 250_000
+#: Ids of such pieces before it does (long pieces have many).
+MOST_IDS = 4_000_000
 
 
 @lru_cache(2)
