@@ -1,10 +1,10 @@
 """Line dedup: range-partitioned line hashes, streamed in order, answered with keep bitmaps.
 
-Every line becomes a small row (hash, document, position). The rows are range
+Every line becomes a small row (128-bit digest, document, position). The rows are range
 partitioned and sorted by all three, so a line that a third of all documents hold
 spans as many partitions as its rows need. One pass over each sorted partition
 decides the runs that lie within it; the first and the last run, which may go on
-in a neighbour, are settled from one summary row for each partition and run. Texts never
+in a neighbour, and runs of very many lines in few documents are settled from one summary row for each partition and run. Texts never
 take part in that shuffle: the answer is a compressed bitmap for each document that
 loses a line.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import cut
 
-LINES = "h long, n_bytes int, doc_id long, text_hash long, pos int"
+LINES = "h long, h2 long, doc_id long, text_hash long, pos int"
 
 
 @T.tidy
@@ -51,12 +51,16 @@ def _keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Reco
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 long = chars[end] - chars[start] >= min_chars
                 start, end, row, pos = start[long], end[long], row[long], pos[long]
-            h = T.hashes(data, start, end).view(np.int64)
+            raw = data.tobytes()
+            digest = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+            h, h2 = np.frombuffer(digest, np.int64).reshape(-1, 2).T
             rows = pa.array(row + lo)
-            yield pa.record_batch([pa.array(h), pa.array((end - start).astype(np.int32)), ids.take(rows), marks.take(rows), pa.array(pos.astype(np.int32))], ["h", "n_bytes", "doc_id", "text_hash", "pos"])
+            yield pa.record_batch([pa.array(h), pa.array(h2), ids.take(rows), marks.take(rows), pa.array(pos.astype(np.int32))], ["h", "h2", "doc_id", "text_hash", "pos"])
 
 
-DECIDED = "kind int, h long, n_bytes int, part long, n long, first_doc long, first_hash long, last_doc long, last_hash long, doc_id long, text_hash long, pos int"
+#: Rows of a run in too few documents so far that a task holds; longer runs are settled from a summary.
+HELD_ROWS = 1_000_000
+DECIDED = "kind int, h long, h2 long, part long, n long, first_doc long, first_hash long, last_doc long, last_hash long, doc_id long, text_hash long, pos int"
 
 
 def _starts(t: pa.Table, names: tuple[str, ...]) -> np.ndarray:
@@ -74,7 +78,7 @@ def _starts(t: pa.Table, names: tuple[str, ...]) -> np.ndarray:
 
 
 @T.tidy
-def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
+def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool, most: int) -> Iterator[pa.RecordBatch]:
     """Stream one sorted partition. Of the rows of a run, only as many wait as leave its decision open.
 
     Yields kind 0: lines to drop; kind 1: lines of an edge run, with the partition;
@@ -83,23 +87,23 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("n_bytes", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in ("first_doc", "first_hash", "last_doc", "last_hash")], ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("h2", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in ("first_doc", "first_hash", "last_doc", "last_hash")], ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32())])
 
     def rows(kind: int, t: pa.Table, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
         t = t.filter(pa.array(mask))
         if t.num_rows:
             none = pa.nulls(t.num_rows, pa.int64())
-            cols = [pa.array(np.full(t.num_rows, kind, np.int32)), t["h"], t["n_bytes"], pa.array(np.full(t.num_rows, part)), none, none, none, none, none, t["doc_id"], t["text_hash"], t["pos"]]
+            cols = [pa.array(np.full(t.num_rows, kind, np.int32)), t["h"], t["h2"], pa.array(np.full(t.num_rows, part)), none, none, none, none, none, t["doc_id"], t["text_hash"], t["pos"]]
             yield from pa.Table.from_arrays(cols, schema=schema).to_batches()
 
-    run = None  # [h, n_bytes, docs, first doc, last doc] of the run that is open
+    run = None  # [h, h2, docs, first doc, last doc] of the run that is open
     held: list[pa.Table] = []
     edge = True  # the open run began at the partition's start
     doc_of = lambda t, i: (t["doc_id"][i].as_py(), t["text_hash"][i].as_py())
 
     def summary() -> pa.RecordBatch:
-        h, n, docs, a, b = run
-        return pa.record_batch([[2], [h], [n], [part], [docs], [a[0]], [a[1]], [b[0]], [b[1]], [None], [None], [None]], schema=schema)
+        h, h2, docs, a, b = run
+        return pa.record_batch([[2], [h], [h2], [part], [docs], [a[0]], [a[1]], [b[0]], [b[1]], [None], [None], [None]], schema=schema)
 
     def flush() -> Iterator[pa.RecordBatch]:
         """The open run began here and has documents enough, whatever the next partition adds."""
@@ -111,9 +115,9 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch])
-        new_run = _starts(t, ("h", "n_bytes"))
-        new_doc = _starts(t, ("h", "n_bytes", "doc_id", "text_hash"))
-        if run and (t["h"][0].as_py(), t["n_bytes"][0].as_py()) == (run[0], run[1]):
+        new_run = _starts(t, ("h", "h2"))
+        new_doc = _starts(t, ("h", "h2", "doc_id", "text_hash"))
+        if run and (t["h"][0].as_py(), t["h2"][0].as_py()) == (run[0], run[1]):
             new_run[0] = False
             new_doc[0] = doc_of(t, 0) != run[4]
         cuts = np.flatnonzero(new_run)
@@ -128,6 +132,11 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
                 held.append(head.append_column("first", pa.array(np.zeros(until, bool))))
                 if run[2] >= min_docs:
                     yield from flush()
+                elif sum(x.num_rows for x in held) > most:  # settled from a summary, like a run at the edge
+                    for x in held:
+                        yield from rows(1, x.drop_columns(["first"]), np.ones(x.num_rows, bool))
+                    held.clear()
+                    edge = True
         if not len(cuts):
             continue
         if run:  # it ended here
@@ -141,7 +150,7 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
             lo = 1 if edge else 0
             if edge:
                 a, b = int(cuts[0]), int(ends[0])
-                run = [t["h"][a].as_py(), t["n_bytes"][a].as_py(), int(docs[0]), doc_of(t, a), doc_of(t, b - 1)]
+                run = [t["h"][a].as_py(), t["h2"][a].as_py(), int(docs[0]), doc_of(t, a), doc_of(t, b - 1)]
                 yield from rows(1, t.slice(a, b - a), np.ones(b - a, bool))
                 yield summary()
                 edge = False
@@ -153,7 +162,7 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
             yield from rows(0, t, drop)
         a = int(cuts[-1])
         tail = t.slice(a)
-        run = [t["h"][a].as_py(), t["n_bytes"][a].as_py(), int(docs[-1]), doc_of(t, a), doc_of(t, t.num_rows - 1)]
+        run = [t["h"][a].as_py(), t["h2"][a].as_py(), int(docs[-1]), doc_of(t, a), doc_of(t, t.num_rows - 1)]
         if edge:
             yield from rows(1, tail, np.ones(tail.num_rows, bool))
         else:
@@ -197,21 +206,21 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     lines = cut(slim.mapInArrow(lambda it: _keys(it, min_chars), LINES), "lines")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["h", "n_bytes", "doc_id", "text_hash", "pos"]
-    found = cut(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda it: _decide(it, min_docs, keep_first), DECIDED), "decided")
+    order, most = ["h", "h2", "doc_id", "text_hash", "pos"], HELD_ROWS
+    found = cut(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda it: _decide(it, min_docs, keep_first, most), DECIDED), "decided")
     # One or two summaries a partition: those of a run that crosses partitions are put together in order.
     # Counts of documents overlap by one where a document's equal lines fall on both sides of a border.
     by = F.struct("part", "n", "first_doc", "first_hash", "last_doc", "last_hash")
-    edges = found.filter("kind = 2").groupBy("h", "n_bytes").agg(F.sort_array(F.collect_list(by)).alias("s"))
+    edges = found.filter("kind = 2").groupBy("h", "h2").agg(F.sort_array(F.collect_list(by)).alias("s"))
     overlap = F.expr("size(filter(sequence(1, size(s)), i -> i < size(s) and s[i].first_doc <=> s[i - 1].last_doc and s[i].first_hash <=> s[i - 1].last_hash))")
-    edges = edges.select("h", "n_bytes", (F.expr("aggregate(s, 0L, (t, x) -> t + x.n)") - overlap).alias("docs"), F.expr("s[0].part").alias("first_part"))
-    # at most two runs a partition: as many rows as there are partitions, twice
+    edges = edges.select("h", "h2", (F.expr("aggregate(s, 0L, (t, x) -> t + x.n)") - overlap).alias("docs"), F.expr("s[0].part").alias("first_part"))
+    # at most two runs a partition, and one more for every HELD_ROWS lines
     gone = edges.filter(F.col("docs") >= min_docs)
-    open_ = found.filter("kind = 1").select("h", "n_bytes", "part", "doc_id", "text_hash", "pos").join(F.broadcast(gone), ["h", "n_bytes"])
+    open_ = found.filter("kind = 1").select("h", "h2", "part", "doc_id", "text_hash", "pos").join(F.broadcast(gone), ["h", "h2"])
     if keep_first:
         at = F.struct("doc_id", "text_hash", "pos")
-        low = open_.filter("part = first_part").groupBy("h", "n_bytes").agg(F.min(at).alias("low"))
-        open_ = open_.join(F.broadcast(low), ["h", "n_bytes"], "left").filter(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("low")))
+        low = open_.filter("part = first_part").groupBy("h", "h2").agg(F.min(at).alias("low"))
+        open_ = open_.join(F.broadcast(low), ["h", "h2"], "left").filter(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("low")))
     dropped = found.filter("kind = 0").select("doc_id", "text_hash", "pos").union(open_.select("doc_id", "text_hash", "pos")).withColumn("_g", F.xxhash64("doc_id", "text_hash"))
     return dropped.repartition("_g").sortWithinPartitions("_g", "doc_id", "text_hash", "pos").mapInArrow(_bitmaps, "doc_id long, text_hash long, keep binary, n_dropped int")
 
