@@ -13,11 +13,13 @@
    members are still in different components are then looked at exhaustively: bucket
    members go in blocks to tasks that compare sketches of block against block, and
    only pairs that pass are confirmed on full sets. So no link is lost for want of a
-   lucky partner, and no pair within a component is ever made again.
+   lucky partner, and no pair within a component is ever made again. Members of a
+   bucket beyond BLOCK meet only where they share a second such bucket too, as a
+   linked pair does, so that what a template makes alike isn't compared all with all.
 
 Candidate search misses a pair of similarity 0.7 with probability
-(1 - 0.7**ROWS)**BANDS, 2e-8 here, and less above. The sketch test lets a pair pass
-that is at the threshold with all but SLACK standard deviations.
+(1 - 0.7**ROWS)**BANDS, 2e-8 here, and 5e-7 if all buckets that the pair shares are beyond BLOCK;
+less above. The sketch test lets a pair pass that is at the threshold with all but SLACK standard deviations.
 
 Defined results: texts without words (null, empty) have an empty set and link with
 nothing. With fewer words than a shingle, the whole sequence is the only one. Rows that
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import components, cut, hot_join
+from ._spark import components, cut, drop, hot_join
 
 U64 = T.U64
 ROWS, BANDS = 3, 42
@@ -210,43 +212,55 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int, far: int) -> Iterat
 
 
 def links(docs: DataFrame, percent: int = 70, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(documents with their class, components of classes): doc_id, n_shingles, rep; and node, root."""
+    """(documents with their class, components of classes): doc_id, n_shingles, rep; and node, root.
+
+    A class is named by its smallest doc_id. Where a doc_id repeats with other texts, that
+    may name several classes; they are one component anyway, so their links need not be told apart.
+    """
     text = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(text.mapInArrow(lambda it: _sign(it, width), SIGNED), "signed")
-    rows = signed.count()
-    # classes of equal sets; a class is named by its smallest doc_id
-    some = signed.filter("n_shingles > 0").withColumn("k", F.xxhash64("set_a", "set_b", "n_shingles"))
-    classes = some.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    member = hot_join(signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("set_a", "set_b", "n_shingles")).alias("k")), classes, "k", "copies", rows)
-    member = cut(member.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "member")
-    # one row a class: a doc_id that is repeated with another text may be in several
-    reps = some.join(classes.select(F.col("k").alias("ck"), "rep"), (F.col("k") == F.col("ck")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["k"])
-    reps = cut(reps.select(F.col("k").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands", "rep"), "classes")
-
-    banded = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
+    rows = max(1, signed.count())
+    # classes of equal sets, by 128 bits and their size
+    keyed = signed.withColumn("k", F.when(F.col("n_shingles") > 0, F.struct("set_a", "set_b", "n_shingles")))
+    classes = keyed.filter("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    member = cut(hot_join(keyed.select("doc_id", "n_shingles", "k"), classes, "k", "copies", rows).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "member")
+    reps = keyed.join(classes.select(F.col("k").alias("ck"), "rep"), (F.col("k") == F.col("ck")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["k"])
+    reps = cut(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands"), "classes")
+
+    banded = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", "band", F.xxhash64("band", "hash").alias("bucket"))
     # in each bucket one member, by hash: another one in each band
     centre = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("p"), F.col("id"))).alias("c"), F.count("*").alias("n")).filter("n > 1")
-    shared_ = cut(hot_join(banded, centre.select("bucket", F.col("c.id").alias("centre"), "n", F.col("n").alias("m")), "bucket", "n", max(1, rows) * BANDS).filter("centre is not null"), "buckets")
+    shared_ = cut(hot_join(banded, centre.select("bucket", F.col("c.id").alias("centre"), "n", F.col("n").alias("m")), "bucket", "n", rows * BANDS, "inner"), "buckets")
 
     far = most_differing(percent / 100)
     thin = reps.select("id", "n", "sketch")
-    pairs = shared_.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).groupBy("a", "b").agg(F.count("*").alias("met"))
+    pairs = shared_.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
 
-    def near(p: DataFrame) -> DataFrame:
-        x, y = thin.toDF("a", "na", "sa"), thin.toDF("b", "nb", "sb")
-        p = p.join(x, "a").join(y, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return p.withColumn("far", _far(F.col("sa"), F.col("sb"))).filter(F.col("far") <= far).select("a", "b", "far")
+    def beside(p: DataFrame, table: DataFrame, total: int) -> DataFrame:
+        """`p`, pairs (a, b), with the columns of `table` (id, x, ...) of both as a_x and b_x; a much paired member is met in parts."""
+        for side in ("a", "b"):
+            count = p.groupBy(side).agg(F.count("*").alias("_n"))
+            met = table.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "id"]).join(count, side)
+            p = hot_join(p, met, side, "_n", total, "inner")
+        return p
 
+    def near(p: DataFrame) -> DataFrame:
+        p = cut(p, "met")
+        p = beside(p, thin, p.count()).filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        return p.withColumn("far", _far(F.col("a_sketch"), F.col("b_sketch"))).filter(F.col("far") <= far).select("a", "b", "far")
 
     def confirm(p: DataFrame) -> DataFrame:
         """Links among pairs, on the full sets of those classes that are in a pair."""
-        needed = p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct().join(reps.select("id", "rep"), "id")
-        # texts of these documents only; a doc_id that repeats may give several sets, so sets are matched by class below
-        texts = text.join(needed.select(F.col("rep").alias("doc_id"), F.col("id").alias("cid")), "doc_id").select("cid", "text")
+        p = cut(p.select("a", "b"), "asked")
+        needed = p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
+        # texts of these documents only
+        texts = text.join(needed, text["doc_id"] == needed["id"]).select("id", "text")
         sets = texts.mapInArrow(lambda it: _sets(it, width), "id long, hashes binary")
-        sets = cut(sets.filter("length(hashes) > 0"), "sets")
-        x, y = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-        return cut(p.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _confirm(it, percent), "a long, b long").distinct(), "links")
+        sets = cut(sets.filter("length(hashes) > 0").distinct(), "sets")
+        both = beside(p, sets, p.count()).select("a", "b", "a_hashes", "b_hashes")
+        out = cut(both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long").distinct(), "links")
+        drop(p, sets)
+        return out
 
     candidates = cut(near(pairs), "pairs")
     # first the likeliest partner of every class, then what is still apart
@@ -263,11 +277,19 @@ def links(docs: DataFrame, percent: int = 70, width: int = 5) -> tuple[DataFrame
     if not second.isEmpty():
         linked = linked.union(confirm(second))
         tree = components(linked)
-    # buckets that still hold several components, whole, in blocks
-    inside = shared_.join(tree.toDF("id", "root"), "id", "left").select("bucket", "id", "m", F.coalesce("root", "id").alias("root"))
+    # buckets that still hold several components, whole
+    inside = shared_.join(tree.toDF("id", "root"), "id", "left").select("bucket", "band", "id", "m", F.coalesce("root", "id").alias("root"))
     mixed = inside.filter("m > 2").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    left = hot_join(inside, mixed, "bucket", "n", max(1, rows) * BANDS).filter("lo is not null")
-    left = left.join(thin, "id")
+    left = cut(hot_join(inside, mixed.select("bucket", "n"), "bucket", "n", rows * BANDS, "inner"), "mixed")
+    # of a large bucket only those need meet that share another large one as well: a linked pair
+    # shares many, and if one of them is small, it is found there
+    few, many = left.filter(F.col("m") <= BLOCK), left.filter(F.col("m") > BLOCK)
+    several = many.groupBy("id", "root").agg(F.sort_array(F.collect_list(F.struct("band", "bucket"))).alias("s"))  # BANDS at most
+    several = several.select("id", "root", F.posexplode("s").alias("at", "x"), "s")
+    several = several.select("id", "root", F.explode(F.expr("transform(slice(s, at + 2, size(s)), y -> xxhash64(x.bucket, y.bucket))")).alias("bucket"))
+    size = several.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    refined = hot_join(several, size.select("bucket", "n", F.col("n").alias("m")), "bucket", "n", rows * BANDS * BANDS // 2, "inner")
+    left = few.select("bucket", "id", "m", "root").union(refined.select("bucket", "id", "m", "root")).join(thin, "id")
     # m members are ceil(m / BLOCK) blocks; a member goes to each pair of blocks that has its own
     left = left.withColumn("blocks", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("mine", F.expr("cast(pmod(xxhash64(id, bucket), blocks) as int)"))
     left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -278,12 +300,9 @@ def links(docs: DataFrame, percent: int = 70, width: int = 5) -> tuple[DataFrame
     third = cut(third.join(tried, ["a", "b"], "left_anti"), "third")
     if not third.isEmpty():
         linked = linked.union(confirm(third))
-    # from classes to documents: a class is tied to its smallest doc_id
-    name = reps.select("id", "rep")
-    edges = linked.join(name.toDF("a", "pa"), "a").join(name.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    # rows that repeat a doc_id with other texts tie their classes together as well
+    # from classes to documents: a member is tied to its class
     own = member.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return member, components(edges.union(own))
+    return member, components(linked.union(own))
 
 
 def report(docs: DataFrame, percent: int = 70, width: int = 5) -> DataFrame:

@@ -598,3 +598,52 @@ def test_pipeline_against_brute_force(spark, sf, encoding):
     out = P.run(spark, sf).collect()
     ids = [enc.encode_ordinary(r["text"]) for r in mixed]
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in out) == sorted((r["doc_id"], hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for r, i in zip(mixed, ids))
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_words_that_polynomials_confuse(spark, encoding, n):
+    from chronoloom.llm import bpe, hmm, linededup, minhash
+
+    one, two = thue_morse(n)
+    docs = spark.createDataFrame([(k, (one, two)[k % 2]) for k in range(10)], "doc_id long, text string")
+    path, pattern, enc = encoding
+    for r in bpe.report(docs, path, pattern).collect():
+        ids = enc.encode_ordinary((one, two)[r["doc_id"] % 2])
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((one, two)[r["doc_id"] % 2].encode()).hexdigest()
+    assert {r["n_dropped"] for r in linededup.report(docs, min_docs=10).collect()} == {0}
+    assert {r["n_dropped"] for r in linededup.report(docs, min_docs=5).collect()} == {1}
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.report(docs).collect()} == {(k, k % 2) for k in range(10)}
+    base = {r["doc_id"]: (r["train_tokens"], r["base_score"]) for r in hmm.score(docs, F.lit(False)).collect()}
+    assert all(t == 20 and b == pytest.approx(np.log10(6 / 24) + np.log10(11 / 24)) for t, b in base.values())
+
+
+def test_pieces_of_one_hash_stay_apart(encoding, monkeypatch):
+    import pyarrow as pa
+
+    from chronoloom.llm import _text as T
+    from chronoloom.llm import bpe
+
+    path, pattern, enc = encoding
+    monkeypatch.setattr(T, "hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    texts = ["some words and some more words", "été 日本, words", ""]
+    data, at = T.bytes_of(pa.array(texts))
+    ids, cut = bpe.Bpe(path, pattern).encode(data, at)
+    assert [ids[i:j].tolist() for i, j in zip(cut[:-1], cut[1:])] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_line_that_fills_few_documents(spark, monkeypatch):
+    from chronoloom.llm import linededup
+
+    monkeypatch.setattr(linededup, "HELD_ROWS", 5)
+    docs = spark.createDataFrame([(k, "again\n" * 3000 + f"own {k}") for k in range(4)] + [(9, "z\nagain")], "doc_id long, text string").coalesce(1)
+    for least, lost in ((5, True), (6, False)):
+        got = {r["doc_id"]: r["n_dropped"] for r in linededup.report(docs, min_docs=least).collect()}
+        assert got == {k: (3000 if k < 9 else 1) * lost for k in (0, 1, 2, 3, 9)}
