@@ -1,10 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Point i of the schedule is frac(i * golden ratio). The points are mapped through the
-sources' cumulative targets, so every stretch of the schedule holds each source close
-to its share. Slots are ranked per source, and slot r takes block r (modulo the
-source's blocks) of the source's documents, which are shuffled by hash and cut into
-blocks of equally many words. A source's target ends within its last block.
+A source's documents are shuffled by hash and cut into blocks of equally many words (the
+last one may be short), and a source needs as many slots as blocks make up its target: pass after
+pass over its blocks, the last slot cut off where the target ends. Point i of the schedule is the
+fraction of i * golden ratio, in integers of 64 bits so that no precision is lost as i
+grows. The points are mapped through the sources' cumulative numbers of slots, so
+every stretch of the schedule holds each source close to its share. Slots are ranked per
+source, and slot r takes block r (modulo the source's blocks). Points beyond what a source needs
+are left out, and the few slots that the points don't give a source follow at the end, so every
+source's words taken are its target, rounded.
 
 Nothing is gathered by source: positions are prefix sums over (source, hash bucket)
 and slots are ranked by (source, stretch of points); both add the starts of buckets
@@ -19,6 +23,7 @@ are interchangeable. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._spark import cut
 
-GOLDEN = 0.6180339887498949
+GOLDEN = 11400714819323198485  # 2**64 / golden ratio
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,18 +62,22 @@ def _shuffle_key(doc_id: str, size: str) -> str:
     return f"cast(conv(substr(md5(concat(coalesce(cast({doc_id} as string), ''), ':', cast({size} as string))), 1, 15), 16, 10) as long)"
 
 
+def slots_needed(size: int, words: int, block: int) -> int:
+    """Slots that take `words` words of a source of `size` words, pass after pass."""
+    return words // size * -(-size // block) + -(-(words % size) // block) if size else 0
+
+
 def _points(batches: Iterator[pa.RecordBatch], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        i = b.column(0).to_numpy()
-        x = i * GOLDEN
-        s = np.searchsorted(edges, x - np.floor(x), "right")
-        yield pa.record_batch([b.column(0), pa.array(np.minimum(s, len(edges) - 1).astype(np.int32))], ["i", "s"])
+        x = b.column(0).to_numpy().astype(np.uint64) * np.uint64(GOLDEN)
+        s = np.searchsorted(edges, x, "right")
+        yield pa.record_batch([b.column(0), pa.array(s.astype(np.int32))], ["i", "s"])
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = 64, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, pieces, slots) of the mix.
 
-    rows: s, doc_id, size, h, copy, start and the source's source_size and target.
+    rows: s, source, doc_id, size, h, copy, start and the source's source_size and target.
     pieces: the parts of documents in blocks (s, block, at, length, words).
     slots: the schedule (i, s, rank, block, words).
     """
@@ -83,8 +92,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: f
     sizes = [r["size"] for r in table]
     weight = [weights[k % len(weights)] for k in range(len(table))]
     goal = targets(sizes, weight, share, most)
-    sources = spark.createDataFrame([(r["source"], k, r["size"], float(goal[k])) for k, r in enumerate(table)], "source string, s int, source_size long, target double")
-    rows = small.join(F.broadcast(sources), small["source"].eqNullSafe(sources["source"]), "left").drop("source")
+    words = [math.floor(g + 0.5) for g in goal]
+    need = [slots_needed(n, w, block) for n, w in zip(sizes, words)]
+    sources = spark.createDataFrame([(r["source"], k, r["size"], float(goal[k]), words[k], need[k]) for k, r in enumerate(table)], "source string, s int, source_size long, target double, goal long, need long")
+    rows = small.join(F.broadcast(sources.drop("goal", "need").withColumnRenamed("source", "_source")), small["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
 
     # prefix sums over (source, bucket of the shuffle order)
     n = max(1, sum(r["n"] for r in table))
@@ -101,16 +112,18 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: f
     at = f"greatest(start, block * {block})"
     pieces = inside.selectExpr("s", "doc_id", "size", "h", "copy", "start", "block", f"{at} - block * {block} as at", f"least(start + size, (block + 1) * {block}) - {at} as length")
 
-    whole = sum(goal)
-    count = math.ceil(whole / block)
-    edges = np.cumsum(goal) / whole if whole else np.ones(max(1, len(goal)))
-    points = spark.range(count).mapInArrow(lambda it: _points(it, edges), "i long, s int")
-    points = points.withColumn("_c", F.expr("i div 65536"))
+    count = sum(need)
+    edges = np.array([(k << 64) // max(1, count) for k in itertools.accumulate(need[:-1])], np.uint64)  # the last source has what is left
+    points = spark.range(count).mapInArrow(lambda it: _points(it, edges), "i long, s int").withColumn("_c", F.expr("i div 65536"))
     begun = points.groupBy("s", "_c").agg(F.count("*").alias("_n"))
+    given = begun.groupBy("s").agg(F.sum("_n").alias("_given"))  # one row a source at most
     begun = begun.select("s", "_c", (F.sum("_n").over(W.partitionBy("s").orderBy("_c")) - F.col("_n")).alias("_o"))
-    slots = points.withColumn("_r", F.row_number().over(W.partitionBy("s", "_c").orderBy("i"))).join(begun, ["s", "_c"]).withColumn("rank", F.col("_o") + F.col("_r") - 1)
-    slots = slots.join(F.broadcast(sources.select("s", "source_size", "target")), "s")
-    slots = slots.selectExpr("i", "s", "rank", f"rank % greatest(1, (source_size + {block - 1}) div {block}) as block", f"cast(greatest(0, least({block}, round(target) - rank * {block})) as long) as words").filter("words > 0")
+    ranked = points.withColumn("_r", F.row_number().over(W.partitionBy("s", "_c").orderBy("i"))).join(begun, ["s", "_c"]).select("i", "s", (F.col("_o") + F.col("_r") - 1).alias("rank"))
+    short = sources.select("s", "need").join(given, "s", "left").withColumn("_given", F.coalesce("_given", F.lit(0))).filter("_given < need")
+    short = short.select((F.lit(count) + F.col("s")).alias("i"), "s", F.explode(F.expr("sequence(_given, need - 1)")).alias("rank"))
+    slots = ranked.union(short).join(F.broadcast(sources.drop("source")), "s").filter("rank < need").withColumn("_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    before = f"rank div _blocks * source_size + rank % _blocks * {block}"
+    slots = slots.selectExpr("i", "s", "rank", "rank % _blocks as block", f"least({block}, source_size - rank % _blocks * {block}, goal - ({before})) as words")
     return rows, pieces, slots
 
 
@@ -145,15 +158,22 @@ WITH RECURSIVE d AS (
   SELECT max(rest / open_w) FILTER (WHERE rest / open_w * w < 2.0 * source_size) AS l FROM o
 ), t AS (
   SELECT source, source_size, s, least(coalesce(l, 1e300) * w, 2.0 * source_size) AS target FROM o, level
+), q AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal, (source_size + 63) // 64 AS blocks FROM t
+), n AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size * blocks + (goal % source_size + 63) // 64 END AS need FROM q
 ), e AS (
-  SELECT *, sum(target) OVER (ORDER BY s) / sum(target) OVER () AS hi, coalesce(sum(target) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo FROM t
+  SELECT *, CAST(sum(need) OVER () AS HUGEINT) AS every, CAST(sum(need) OVER (ORDER BY s) AS HUGEINT) AS upto, CAST(sum(need) OVER (ORDER BY s) - need AS HUGEINT) AS before FROM n
 ), points AS (
-  SELECT i, (i * 0.6180339887498949::DOUBLE) - floor(i * 0.6180339887498949::DOUBLE) AS u
-  FROM range((SELECT CAST(ceil(sum(target) / 64) AS BIGINT) FROM t)) r(i)
-), slots AS (
-  SELECT s, row_number() OVER (PARTITION BY s ORDER BY i) - 1 AS rank, source_size, target FROM points JOIN e ON u >= lo AND u < hi
+  SELECT i, (CAST(i AS HUGEINT) * 11400714819323198485) % 18446744073709551616 AS u FROM range((SELECT CAST(sum(need) AS BIGINT) FROM n)) r(i)
+), met AS (
+  SELECT s, row_number() OVER (PARTITION BY s ORDER BY i) - 1 AS rank
+  FROM points JOIN e ON u >= before * 18446744073709551616 // every AND u < CASE WHEN upto = every THEN 18446744073709551616 ELSE upto * 18446744073709551616 // every END
+), slots AS (  -- the ranks that the points give a source and those they don't are all that it needs
+  SELECT s, rank FROM met JOIN n USING (s) WHERE rank < need
+  UNION ALL SELECT s, unnest(range(coalesce((SELECT count(*) FROM met WHERE met.s = n.s), 0), need)) FROM n
 ), taken_slots AS (
-  SELECT s, rank % greatest(1, (source_size + 63) // 64) AS block, CAST(greatest(0, least(64, round(target) - rank * 64)) AS BIGINT) AS words FROM slots
+  SELECT s, rank % blocks AS block, least(64, source_size - rank % blocks * 64, goal - (rank // blocks * source_size + rank % blocks * 64)) AS words FROM slots JOIN n USING (s)
 ), placed AS (
   SELECT d.doc_id, d.size, t.s, t.source_size, t.target,
          sum(d.size) OVER (PARTITION BY t.s ORDER BY ('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.size), 1, 15))::BIGINT, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start

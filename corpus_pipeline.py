@@ -12,7 +12,6 @@ from chronoloom.llm import bpe, linededup, minhash, mixing, quality
 from chronoloom.llm._spark import cut
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words, not at all. Rows that agree in source, doc_id and size come equally often.
     """
     rows, _, slots = mixing.plan(docs)
-    middle = rows.filter("size > 0").selectExpr("s", "doc_id", "size", "(start + size div 2) div 64 as block", "(start + size div 2) % 64 as at")
+    middle = rows.filter("size > 0").selectExpr("s", "source", "doc_id", "size", "(start + size div 2) div 64 as block", "(start + size div 2) % 64 as at")
     seen = middle.join(slots.select(F.col("s").alias("_s"), F.col("block").alias("_block"), "words"), (F.col("s") == F.col("_s")) & (F.col("block") == F.col("_block")) & (F.col("words") > F.col("at")), "left")
-    times = seen.groupBy("s", "doc_id", "size", "block", "at").agg(F.count("words").alias("n"))
-    times = times.groupBy("s", "doc_id", "size").agg(F.ceil(F.avg("n")).cast("int").alias("n"))
-    sources = docs.select(F.col("source").cast("string").alias("source")).distinct()
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    sources = sources.select(F.col("source").alias("_source"), (F.row_number().over(order) - 1).alias("_s"))  # one row a source; `plan` bounds them
-    times = times.join(F.broadcast(sources), times["s"] == sources["_s"]).select("_source", F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "n").filter("n > 0")
+    times = seen.groupBy("source", "doc_id", "size", "block", "at").agg(F.count("words").alias("n"))
+    times = times.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.ceil(F.avg("n")).cast("int").alias("n")).filter("n > 0")
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
     left = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), size.alias("_words"))
     on = F.col("row.source").cast("string").eqNullSafe(F.col("_source")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
