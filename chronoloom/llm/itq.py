@@ -17,13 +17,14 @@
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and are returned with no links and their own id. Vectors of
-different lengths never link. Rows that repeat a vec_id share its component; each
+different lengths never link; a length of up to FEW vectors needs no codes. Rows that repeat a vec_id share its component; each
 counts as another vector. A null vec_id can be in no component: it is returned with a
 null component, kept, and no links.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ from ._spark import components, cut, hot_join
 SAMPLE = 10_000
 CODES = 4
 BLOCK = 1024
+FEW = 64  # vectors of one length that are compared without codes
+RERANKED = "cid long, degree long, root long"
 SLACK = 5.0
 U64 = T.U64
 
@@ -48,9 +51,15 @@ def valid(vec):  # noqa: ANN001, ANN201
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & fine & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; each is first scaled by a power of two, so that neither large nor small ones overflow."""
+    x = np.ldexp(v.astype(np.float64), -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def learn(sample: np.ndarray, codes: int = CODES, rounds: int = 20, seed: int = 7) -> np.ndarray:
     """Projections (d, codes * d): the principal directions, rotated by ITQ from several random starts."""
-    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = unit(sample)
     d = x.shape[1]
     _, vectors = np.linalg.eigh(x.T @ x)
     v = x @ vectors
@@ -70,7 +79,7 @@ def plan(n: int, bits: int, threshold: float, miss: float = 1e-4) -> tuple[int,
     log = np.array([math.lgamma(k + 1) for k in range(bits + 1)])  # of factorials
     h = np.arange(bits + 1)  # Hamming distance of a pair at the threshold
     chance = np.exp(log[bits] - log - log[::-1] + h * math.log(p) + (bits - h) * math.log(1 - p))
-    width = min(bits, max(6, min(24, math.ceil(math.log2(max(2, n))) - 3)))
+    width = min(bits, max(6, min(32, math.ceil(math.log2(max(2, n))) - 3)))
     while width > 1 and chance[bits - width + 1 :].sum() > miss / 2:  # short codes: too often no substring agrees
         width -= 1
     never = chance[bits - width + 1 :].sum()
@@ -113,7 +122,7 @@ def _encode(batches: Iterator[pa.RecordBatch], d: int, projection: np.ndarray, t
     for b in batches:
         if not b.num_rows:
             continue
-        bits = _matrix(b.column(1)).astype(np.float64) @ projection >= 0
+        bits = unit(_matrix(b.column(1))) @ projection >= 0
         keys = np.stack([bits[:, t] @ weight | (U64(k) << U64(32)) for k, t in enumerate(tables)], axis=1)
         packed = np.packbits(bits, axis=1)
         yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["cid", "code", "keys"])
@@ -158,13 +167,12 @@ def _codes(batches: Iterator[pa.RecordBatch], projection_tables: np.ndarray, far
 
 
 @T.tidy
-def _rerank(batches: Iterator[pa.RecordBatch], tables: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+def _rerank(batches: Iterator[pa.RecordBatch], tables: np.ndarray | None, threshold: float) -> Iterator[pa.RecordBatch]:
     """Within a bucket's block pair: each member's number of linked vectors, and its root in the block's forest."""
     for t in T.whole_runs(batches, ["key"], 2_000):
         key, table, side, cid, copies = (t[c].combine_chunks().to_numpy() for c in ("key", "t", "side", "cid", "copies"))
-        v = _matrix(t["v"].combine_chunks()).astype(np.float64)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        bits = np.unpackbits(np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(key), -1), axis=1)
+        vectors = t["v"].combine_chunks()
+        codes = t["code"].combine_chunks()
         cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
         degree = np.zeros(len(key), np.int64)
         root = np.arange(len(key))
@@ -176,15 +184,17 @@ def _rerank(batches: Iterator[pa.RecordBatch], tables: np.ndarray, threshold: fl
             return i
 
         for s, e in zip(cuts[:-1], cuts[1:]):
-            link = v[s:e] @ v[s:e].T >= threshold
+            v = unit(_matrix(vectors.slice(s, e - s)))  # a run's vectors have one length
+            link = v @ v.T >= threshold
             link &= (side[s:e, None] == 2) | (side[s:e, None] != side[None, s:e])
             i, j = np.nonzero(np.triu(link, 1))
             if not len(i):
                 continue
             i, j = i + s, j + s
             mine = np.ones(len(i), bool)
-            for p in range(0, len(i), 20_000):
-                differ = bits[i[p : p + 20_000]] != bits[j[p : p + 20_000]]
+            bits = np.unpackbits(np.frombuffer(b"".join(codes.slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1), axis=1)
+            for p in range(0, len(i) if table[s] else 0, 20_000):
+                differ = bits[i[p : p + 20_000] - s] != bits[j[p : p + 20_000] - s]
                 for k in range(int(table[s])):
                     mine[p : p + 20_000] &= differ[:, tables[k]].any(axis=1)
             i, j = i[mine], j[mine]
@@ -203,18 +213,22 @@ def links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
     """Per row: vec_id, n_links, component_id, kept."""
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     slim = cut(slim.withColumn("ok", valid(F.col("v")) & F.col("vec_id").isNotNull()), "vectors")
-    good = slim.filter("ok").select("vec_id", "v", F.size("v").alias("d"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(3), "v").alias("k2"))
+    slim = slim.withColumn("k", F.when(F.col("ok"), F.struct(F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(3), "v").alias("k2"), F.size("v").alias("d"))))
     rows = slim.count()
-    # equal vectors are one class, named by its smallest vec_id
-    classes = cut(good.groupBy("k1", "k2", "d").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("cid", F.xxhash64("k1", "k2", "d")), "classes")
-    sizes = [r[0] for r in classes.select("d").distinct().limit(1000).collect()]
-    if len(sizes) > 999:
-        raise ValueError("vectors of too many lengths")
-    degrees, trees = None, None
+    # equal vectors (by 128 bits) are one class, whose number is fixed by writing it
+    classes = slim.filter("ok").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("d", F.col("k.d")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    counted = classes.groupBy("d").count()  # one row a length
+    sizes = [r["d"] for r in counted.filter(F.col("count") > FEW).collect()]
+    # lengths with few vectors: all of one against each other
+    here = classes.join(F.broadcast(counted.filter(F.col("count").between(2, FEW)).select("d")), "d")
+    few = here.select(F.xxhash64("d").alias("key"), F.lit(0).alias("t"), F.lit(2).alias("side"), "cid", F.lit(b"\0").alias("code"), "v", "copies")
+    done = few.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(lambda it: _rerank(it, None, threshold), RERANKED)
+    parts = [cut(done, "reranked")]
     for d in sizes:
         here = classes.filter(F.col("d") == d)
         n = here.count()
-        taken = here.orderBy("cid").limit(sample).select("v").toPandas()["v"]  # at most `sample` rows
+        taken = here.orderBy("k").limit(sample).select("v").toPandas()["v"]  # at most `sample` rows
         projection = learn(np.array(taken.tolist()))
         bits = projection.shape[1]
         width, count = plan(n, bits, threshold, miss)
@@ -222,7 +236,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
         coded = cut(here.select("cid", "v").mapInArrow(lambda it, d=d, p=projection, t=tables: _encode(it, d, p, t), "cid long, code binary, keys array<long>"), "codes")
         entry = coded.select("cid", F.posexplode("keys").alias("t", "bucket"))
         size = entry.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-        entry = hot_join(entry, size.withColumn("n", F.col("m")), "bucket", "n", max(1, n) * count).filter("m is not null")
+        entry = hot_join(entry, size.withColumn("n", F.col("m")), "bucket", "n", max(1, n) * count, "inner")
         # a large bucket is cut in blocks, and its members go to each pair of blocks that has their own
         entry = entry.withColumn("blocks", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("mine", F.expr("cast(pmod(xxhash64(cid, bucket), blocks) as int)"))
         entry = entry.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -230,18 +244,15 @@ def links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
         entry = entry.join(coded.select("cid", "code"), "cid")
         near = entry.repartition("key").sortWithinPartitions("key", "side", "cid").select("key", "t", "side", "cid", "code").mapInArrow(lambda it, t=tables, f=far: _codes(it, t, f), "key long, t int, side int, cid long, code binary")
         near = cut(near, "near").join(here.select("cid", "v", "copies"), "cid")
-        done = near.repartition("key").sortWithinPartitions("key", "side", "cid").mapInArrow(lambda it, t=tables: _rerank(it, t, threshold), "cid long, degree long, root long")
-        done = cut(done, "reranked")
-        part = done.groupBy("cid").agg(F.sum("degree").alias("degree"))
-        degrees = part if degrees is None else degrees.union(part)
-        tree = done.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
-        trees = tree if trees is None else trees.union(tree)
-    out = hot_join(slim.select("vec_id", "ok", F.when(F.col("ok"), F.xxhash64(F.xxhash64("v"), F.xxhash64(F.lit(3), "v"), F.size("v"))).alias("cid")), classes.select("cid", "rep", "copies", F.col("copies").alias("n")), "cid", "n", rows)
-    if degrees is None:
-        return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        done = near.repartition("key").sortWithinPartitions("key", "side", "cid").mapInArrow(lambda it, t=tables: _rerank(it, t, threshold), RERANKED)
+        parts.append(cut(done, "reranked"))
+    reranked = functools.reduce(DataFrame.union, parts)
+    degrees = reranked.groupBy("cid").agg(F.sum("degree").alias("degree"))
+    out = hot_join(slim.select("vec_id", "k"), classes.select("k", "cid", "rep", "copies", F.col("copies").alias("n")), "k", "n", rows)
     found = degrees.join(classes.select("cid", F.col("copies").alias("n")), "cid")
     out = hot_join(out, found, "cid", "n", rows)
     named = classes.select("cid", "rep")
+    trees = reranked.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
     edges = trees.join(named.toDF("a", "pa"), "a").join(named.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
     edges = edges.union(out.filter("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     tree = components(edges)

@@ -248,6 +248,32 @@ def test_search_with_few_vectors(spark):
     assert ann.search(few.filter("false"), "vec_id % 20 = 0").count() == 0
 
 
+def test_search_beside_extreme_vectors(spark):
+    from chronoloom.llm import ann
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    schema = "vec_id long, embedding array<double>"
+    plain = ann.search(spark.createDataFrame(rows, schema), "vec_id % 20 = 0", k=5).toPandas()
+    far = [(3001, [1e160] + [0.0] * 15), (3003, [1e-200] * 16), (3005, [1.0, 2.0]), (3020, [3.0, 1.0]), (3041, [0.5, 0.5]), (7, x[9].tolist()), (40, x[8].tolist())]
+    out = ann.search(spark.createDataFrame(rows + far, schema), "vec_id % 20 = 0", k=5)
+    mine = out.toPandas()
+    two = mine[mine["query_id"] == 3020]
+    assert two["vec_id"].tolist() == [3005, 3041] and two["score"].tolist() == [5.0, 2.0]
+    assert len(mine[mine["query_id"] == 40]) == 10
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hit = 0
+    for q in range(0, 3000, 20):
+        if q == 40:
+            continue
+        got = mine[mine["query_id"] == q].sort_values("rank")
+        assert (3001 in got["vec_id"].tolist()) == (x[q, 0] > 0) and len(got) == 5
+        hit += len(set(got["vec_id"]) & set(np.argsort(-s[q])[:5].tolist())) / (5 - (x[q, 0] > 0))
+    assert hit / 149 >= 0.9 and len(plain) == 750
+
+
 # 5 BPE
 
 
@@ -462,6 +488,19 @@ def test_itq_against_brute_force(spark):
     assert itq.links(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_itq_of_extreme_vectors_and_two_lengths(spark):
+    from chronoloom.llm import itq
+
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((90, 8))
+    pairs = [[1e200] * 8, [1e200] * 7 + [1.01e200], [1e-200] * 8, [-1e-310] * 8, [1.0, 2.0], [1.1, 2.0], [1.0, -2.0]]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(100 + k, v) for k, v in enumerate(pairs)]
+    out = {r["vec_id"]: r for r in itq.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out[100]["n_links"] >= 2 and out[101]["component_id"] == out[100]["component_id"] == out[102]["component_id"]
+    assert out[103]["component_id"] != out[100]["component_id"]
+    assert (out[104]["n_links"], out[105]["component_id"], out[106]["n_links"]) == (1, 104, 0)
+
+
 # 9 line dedup
 
 
