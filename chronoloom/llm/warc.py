@@ -6,7 +6,7 @@ URL key and writes them as compressed blocks of lines, with a sparse directory b
 each index file: the first key of every block, its offset and length. `lookup` finds
 captures by two binary searches, over the first keys of the index files (one a file)
 and over one file's directory, then reads only the block's byte range;
-`read_records` reads records by theirs.
+`read_records` reads records by theirs. Archives begin with a warcinfo record, payloads are bodies of HTTP responses.
 
 Payloads that occur again are written once: of equal payloads of at least
 `min_bytes`, the row with the smallest id is the response and the others are revisits
@@ -38,6 +38,7 @@ from ._spark import cut, hot_join, shared
 
 LEVEL = 4
 BLOCK_LINES = 300
+DATE = "1970-01-01T00:00:00Z"  # of records, where pages tell none
 CAPTURES = "urlkey string, page_id long, record_type string, digest string, refers_to long, file string, offset long, length long"
 
 
@@ -66,31 +67,46 @@ def _clean(s: str) -> str:
     return s.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload of its own."""
+def record_id(page_id: int | None, digest: str, kind: str = "response") -> str:
+    """The same for a page and its payload wherever it is written, so that a revisit can name its response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{kind} {page_id} {digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+    """One WARC/1.1 record: an HTTP response with the payload, or a revisit without one. `Page-ID` and `Refers-To-Page-ID` are fields of our own."""
     kind = "response" if refers_to is None else "revisit"
-    body = payload if refers_to is None else b""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Record-ID: {record_id(page_id, digest, kind)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {_clean(url or '')}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        "Content-Type: text/html",
-        f"Content-Length: {len(body)}",
+        f"Page-ID: {'' if page_id is None else page_id}",
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info(name: str, date: str = DATE) -> bytes:
+    """The record that an archive begins with."""
+    block = b"format: WARC File Format 1.1\r\nsoftware: chronoloom\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name, 'warcinfo')}", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and payload of one record."""
+    """Headers (lower-case names) and payload of one record; HTTP heads are taken off."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
     fields = {k.lower(): v for k, v in fields.items()}
-    return fields, rest[: int(fields["content-length"])]
+    block = rest[: int(fields["content-length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["content-type"].startswith("application/http") else block
 
 
 def _gzip(raw: bytes) -> bytes:
@@ -106,6 +122,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
             system.create_dir(root, recursive=True)
             name = f"{uuid.uuid4().hex}.warc.gz"  # an attempt's own: what a lost one left is referred to by no index
             out, at = system.open_output_stream(f"{root}/{name}", compression=None), 0
+            first = _gzip(info(name))
+            out.write(first)
+            at = len(first)
         rows = []
         for page_id, url, html, digest, refers in zip(*[c.to_pylist() for c in b.columns]):
             member = _gzip(record(page_id, url, (html or "").encode(), digest, refers))
@@ -120,7 +139,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 
 def with_roles(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): which rows are responses, which revisits of which."""
+    """(page_id, url, html, digest, refers_to): which rows are responses, which revisits of which.
+
+    First ids are found on digests alone. Texts are moved once; those of one payload are spread over as many tasks as
+    they are hundred-thousandths of all rows.
+    """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     slim = slim.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     key = F.when((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull(), F.col("digest"))
@@ -276,9 +299,9 @@ def _records(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
                     f.close()
                 name, f = file, system.open_input_file(f"{root}/{file}")
             head, payload = parse(zlib.decompress(f.read_at(length, at), 31))
-            refers = head.get("warc-refers-to")
-            page = head["warc-record-id"][10:-1]
-            rows.append((int(page) if page else None, head["warc-type"], head["warc-target-uri"], payload, head["warc-payload-digest"][7:], int(refers[10:-1]) if refers else None, hashlib.sha256(payload).hexdigest()))
+            refers = head.get("refers-to-page-id")
+            page = head["page-id"]
+            rows.append((int(page) if page else None, head["warc-type"], head["warc-target-uri"], payload, head["warc-payload-digest"][7:], int(refers) if refers else None, hashlib.sha256(payload).hexdigest()))
         types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], ["page_id", "record_type", "url", "payload", "declared", "refers_to", "found"])
     if f:
