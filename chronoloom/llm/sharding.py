@@ -11,6 +11,9 @@ Law `key`: the key and the tree decide, nothing else. A tree for n shards is gro
 n + 1 by a region of its own for the new shard, so no draw between old nodes changes
 and the new shard takes rows only into itself.
 
+Groups of equal texts are not kept together: under this law doc_id and number of shards decide alone, so
+the copies of a text lie where their own ids put them.
+
 Defined results: a null key draws as the text "null"; rows with equal keys share a shard (copies of a
 text under different keys needn't); a null text has no bytes. Slots number the rows
 of a shard from 0 without gaps, ordered by (bucket, doc_id, size, text_crc32), and

@@ -206,6 +206,85 @@ def test_quality_learns_and_is_blind_to_labels(spark, sf):
     assert (renamed["score"] - out["score"]).abs().max() == 0
 
 
+def test_quality_against_plain_python(spark, odd, labels):
+    """Features, updates and scores written out feature by feature."""
+    import math
+    import re
+
+    from chronoloom.llm import _text as T
+    from chronoloom.llm import quality
+
+    M = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & M
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & M
+        return h ^ h >> 31
+
+    def word_hash(w):
+        raw = np.frombuffer(w, np.uint8)
+        return int(T.hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    def features(text):
+        raw = (text or "").encode()
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", raw)
+        low = [word_hash(re.sub(rb"[A-Z]", lambda m: m.group().lower(), t)) for t in tokens]
+        shapes = []
+        for k, t in enumerate(tokens):
+            sign = not re.match(rb"[0-9A-Za-z\x80-\xff]", t)
+            upper, small = len(re.findall(rb"[A-Z]", t)), len(re.findall(rb"[a-z]", t))
+            if sign:
+                shapes.append(low[k])
+            elif k and low[k] == low[k - 1]:
+                shapes.append(6)
+            elif re.fullmatch(rb"[0-9]+", t):
+                shapes.append(1)
+            elif upper and not small and len(t) > 1:
+                shapes.append(2)
+            elif re.match(rb"[A-Z]", t) and upper == 1:
+                shapes.append(3)
+            else:
+                shapes.append(5 if upper else 4)
+        out = {}
+        for seq, salt, most in ((low, 1, 2), ([mix(s + 99 & M) for s in shapes], 7, 3)):
+            for k in range(most):
+                grams = []
+                for i in range(len(seq) - k):
+                    h = seq[i]
+                    for j in range(1, k + 1):
+                        h = mix((h * 0x9E3779B97F4A7C15 + seq[i + j]) & M)
+                    grams.append(mix(h + salt + k & M) & ((1 << quality.BITS) - 1))
+                for g in grams:
+                    out[g] = out.get(g, 0) + 1 / len(grams)
+        return out
+
+    z, n = {}, {}
+
+    def weight(j):
+        if not z.get(j):
+            return 0.0
+        return -math.copysign(max(abs(z[j]) - quality.L1, 0), z[j]) / ((quality.BETA + math.sqrt(n[j])) / quality.ALPHA + quality.L2)
+
+    docs = [(k, f"Word{k % 3} word{k % 3}, and {k} MORE things! {'again again' * (k % 2)} é") for k in range(40)]
+    marks = [(k, k % 2) for k in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marked = spark.createDataFrame(marks, "doc_id long, quality int")
+    order = [r["doc_id"] for r in marked.orderBy(F.xxhash64("doc_id", F.lit(17))).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    for d in order:
+        x = features(docs[d][1]) | {-1: 1.0}
+        p = 1 / (1 + math.exp(-sum(weight(j) * v for j, v in x.items())))
+        for j, v in x.items():
+            w, g, old = weight(j), (p - marks[d][1]) * v, n.get(j, 0.0)
+            z[j] = z.get(j, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / quality.ALPHA * w
+            n[j] = old + g * g
+    got = {r["doc_id"]: r["score"] for r in quality.report(frame, marked).collect()}
+    for d, text in docs:
+        want = 1 / (1 + math.exp(-sum(weight(j) * v for j, v in (features(text) | {-1: 1.0}).items())))
+        assert got[d] == pytest.approx(want, abs=1e-5)
+
+
 def test_quality_edge_cases(odd, none, labels):
     from chronoloom.llm import quality
 
@@ -363,6 +442,34 @@ def test_warc_round_trip_and_lookup(spark):
     assert warc.round_trip(pages.filter("false")).count() == 0
 
 
+def test_warc_records_follow_the_format(spark):
+    import glob
+    import gzip
+
+    from chronoloom.llm import warc
+
+    big = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(1, "http://a.org/", big), (2, "http://b.org/", big), (3, "http://c.org/", "")], "page_id long, url string, html string")
+    folder, captures = warc.write(pages.coalesce(1))
+    captures.collect()
+    names = glob.glob(folder.removeprefix("file:") + "/*.warc.gz")
+    raw = b"".join(gzip.open(n).read() for n in names)
+    seen, ids, refers = [], [], []
+    while raw:
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        size = int(fields["Content-Length"])
+        assert head.startswith(b"WARC/1.1\r\n") and rest[size : size + 4] == b"\r\n\r\n"
+        seen.append(fields["WARC-Type"])
+        ids.append(fields["WARC-Record-ID"])
+        refers += [fields["WARC-Refers-To"]] if "WARC-Refers-To" in fields else []
+        if seen[-1] == "response":
+            assert rest.startswith(b"HTTP/1.1 200 OK\r\n")
+        raw = rest[size + 4 :]
+    assert sorted(seen) == ["response", "response", "revisit", *["warcinfo"] * len(names)]
+    assert len(set(ids)) == len(ids) and refers[0] in ids
+
+
 def test_warc_keys_with_tabs_and_newlines(spark):
     from chronoloom.llm import warc
 
@@ -570,6 +677,40 @@ def test_sharding(spark, sf, odd, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_against_plain_python(spark, odd):
+    """The descent, draw by draw, and the slots, counted out."""
+    import math
+
+    from chronoloom.llm import sharding
+
+    ids = list(range(-3, 300)) + [2**62]
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in ids] + [(None, None), (5, "text 5")], "doc_id long, text string")
+
+    def all_nodes(m):
+        return [m, *[x for c in m.children for x in all_nodes(c)]]
+
+    children = {c.name for m in (sharding.tree(16, grown=1),) for c in all_nodes(m)}
+    keys = spark.createDataFrame([(str(k), c) for k in [*ids, "null"] for c in children], "key string, child string")
+    u = {(r["key"], r["child"]): ((r["h"] % 2**64 >> 11) + 0.5) * 2.0**-53 for r in keys.select("key", "child", F.xxhash64("key", "child").alias("h")).collect()}
+
+    def descend(key, node):
+        while node.children:
+            node = min(node.children, key=lambda c: (-math.log(u[key, c.name]) / c.total, c.name))
+        return node.shard
+
+    rows = sharding.shard(docs).collect()
+    assert len(rows) == len(ids) + 2
+    slots = {}
+    for r in rows:
+        key = "null" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"], r["law"]) == (descend(key, sharding.tree(16)), descend(key, sharding.tree(16, grown=1)), "key")
+        raw = b"" if r["doc_id"] is None else f"text {r['doc_id'] % 7}".encode()
+        if not (r["doc_id"] == 5 and r["text_crc32"] == zlib.crc32(b"text 5")):
+            assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_tree_moves_only_into_what_grows(spark):
     from chronoloom.llm.sharding import Node, assign
 
