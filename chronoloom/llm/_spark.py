@@ -36,10 +36,18 @@ def shared(spark: SparkSession, tag: str) -> str:
     return path
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read again, so that what follows doesn't recompute it and survives lost executors."""
-    path = shared(df.sparkSession, tag)
-    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    path, before = shared(spark, tag), spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")  # what was shuffled to write it isn't needed once it is written
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

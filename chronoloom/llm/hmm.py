@@ -1,32 +1,39 @@
 """Language model scoring with a hidden Markov model over words.
 
-Words are lower-cased runs of visible bytes; a text is its words and an end token.
-A word belongs to a class: each of the OWN most frequent ones (seen OFTEN times at least, and the end) to its own, any other to one of HASHED classes by its last characters, so the tables of
-the hidden states have a fixed size. p(word) = p(class, by the hidden Markov model) *
-p(word in its class), where a class keeps the mass V/(N + V) for words never seen
-(V its distinct words, N its tokens) and shares the rest by counts; words never seen
-count as one event a class, as in the base model.
-
-1. One pass cuts the corpus in chunks of a few MB. A chunk is one packed row of its texts,
-   as numbers of its own small dictionary, and one packed row for each hash bucket of that
-   dictionary. Buckets are brought together to sum the counts of the training texts by word,
-   and answer each chunk's bucket with the totals; neither tokens nor single words are rows,
-   and the vocabulary is never broadcast.
-2. Baum-Welch: every task turns its share of the packed texts into expected counts of
-   starts, transitions and emissions, which are summed across tasks; the driver gets one
-   table of fixed size a round.
+Words are lower-cased runs of visible bytes; a text is its words and an end token. Every
+word of the training texts has emissions of its own. A state s emits a word with
+N/(N + V + 1) * c * (r_s + A/N) / (G_s + A), where c is the word's count, r_s the share of its
+occurrences that the state is expected to have made, G_s the sum of c * r_s over all words, and A (SMOOTH) draws
+states towards the unigram model; words never seen are one event of (V + 1)/(N + V + 1).
+(N: tokens to learn from, V: distinct words among them.)
+
+The vocabulary is never broadcast and no word is left out for being rare:
+
+1. One pass cuts the corpus in chunks of CHUNK_BYTES. A chunk is one packed row of its texts, as
+   numbers of its own dictionary, and packed rows of that dictionary by hash bucket; there is a
+   bucket for every BUCKET_BYTES of text. A bucket's task sums the words of all chunks and answers
+   each chunk with its words' totals and shares r. Neither tokens nor single words are rows.
+2. Baum-Welch: in each round the chunks are met by the shares of their words, run forward and backward
+   over whole texts, and send the expected counts of their words to the buckets, which
+   sum them into new shares. Starts, transitions and G are summed across tasks to a few numbers. Rounds go on until
+   one raises the likelihood of the training texts by less than TOLERANCE of itself.
 3. Scoring runs the scaled forward recursion over each whole text: its likelihood is
    exact, whatever its length.
 
+The tables that meet, chunks and dictionaries, are written in as many parts as they are shuffled in (bucketed by
+chunk or bucket), so only the words' shares and counts move in a round: at most SHARE and COUNT bytes
+for each word of a chunk and state.
+
 Defined results: a null or empty text is its end token alone. Rows with a null doc_id
-are scored and learnt from (their remainder isn't 2). With nothing to learn from, the
-tables are uniform. Rows that repeat are texts each.
+are scored and learnt from (their remainder isn't 2). With nothing to learn from, every token
+has probability one. Rows that repeat are texts each.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,34 +41,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import cut, drop
+from ._spark import cut, drop, shared
 
 U64 = T.U64
-STATES, OWN, HASHED, ROUNDS = 6, 32_768, 32_768, 4
-OFTEN = 10  # a word seen less often has no class of its own
-CHUNK_BYTES = 8 << 20
-END = -7_046_029_254_386_353_131  # the end token's hash
-SEGMENT = 192  # training looks at stretches of this many tokens
+STATES, SMOOTH, TOLERANCE = 6, 100.0, 1e-3
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
+TOKENS_AT_ONCE = 400_000
+SHARE, COUNT = 2, 3  # bytes of a share and of an expected count
+END = np.array([-7_046_029_254_386_353_131], np.int64).view(U64)  # the end token's hash
 
-PACKED = "kind int, chunk long, bucket int, a binary, b binary, c binary, ids array<long>"
-_PACKED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("ids", pa.list_(pa.int64()))])
-TEXTS, WORDS, TOTALS, TOP, STRIP = range(5)
+PACKED = "kind int, chunk long, bucket int, a binary, b binary, ids array<long>"
+_PACKED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("ids", pa.list_(pa.int64()))])
+TEXTS, WORDS = 0, 1
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """Numbers in few bytes: all first bytes, then all second ones and so on, compressed."""
+def squeeze(x: np.ndarray, drop_bytes: int = 0) -> bytes:
+    """Numbers in few bytes: all first bytes, then all second ones and so on (but the lowest `drop_bytes`), compressed."""
     import zstandard
 
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T[drop_bytes:].tobytes())
 
 
-def unsqueeze(raw: bytes, kind: type) -> np.ndarray:
+def unsqueeze(raw: bytes, kind: type, drop_bytes: int = 0) -> np.ndarray:
     import zstandard
 
     size = np.dtype(kind).itemsize
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).reshape(-1).view(kind)
+    n = len(flat) // (size - drop_bytes)
+    planes = np.zeros((size, n), np.uint8)
+    planes[drop_bytes:] = flat.reshape(size - drop_bytes, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def squeeze_counts(x: np.ndarray) -> bytes:
+    """Expected counts to 16 bits of precision."""
+    bits = np.ascontiguousarray(x, np.float32).ravel().view(np.uint32)
+    return squeeze((bits.astype(np.uint64) + 128).clip(max=(1 << 32) - 1).astype(np.uint32), 4 - COUNT)
+
+
+def unsqueeze_counts(raw: bytes) -> np.ndarray:
+    return unsqueeze(raw, np.uint32, 4 - COUNT).view(np.float32).reshape(-1, STATES).astype(np.float64)
+
+
+def squeeze_shares(r: np.ndarray) -> bytes:
+    return squeeze(np.rint(r * 65_535).astype(np.uint16).ravel())
+
+
+def unsqueeze_shares(raw: bytes) -> np.ndarray:
+    return unsqueeze(raw, np.uint16).reshape(-1, STATES) / 65_535.0
+
+
+def first_shares(h: np.ndarray) -> np.ndarray:
+    """Shares of words before anything is learnt, drawn by their hashes: each state prefers other words."""
+    draw = np.stack([-np.log(((T.mix(h ^ U64(s * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) for s in range(STATES)], axis=1)
+    return 0.5 / STATES + 0.5 * draw / draw.sum(1, keepdims=True)
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
@@ -71,147 +106,98 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 
 @T.tidy
 def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A TEXTS row a chunk (ids, held out, counts and words of its texts) and a WORDS row a bucket (hashes, counts to learn from, tails)."""
+    """A TEXTS row a chunk (a: numbers of tokens, held out; b: words) and a WORDS row a bucket (a: hashes, b: counts to learn from, numbers in the chunk)."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
 
-    def pack(ids: list[int | None], held: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray], tails: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def pack(ids: list[int | None], held: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, count = np.concatenate(hashes), np.concatenate(counts)
-        value, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        tail = np.concatenate(tails)[first].astype(np.uint16)
+        hashes.clear()
+        value, which, n = np.unique(h, return_inverse=True, return_counts=True)
         learnt = np.bincount(which[~np.repeat(held, count)], minlength=len(value)).astype(np.uint32)
-        # by bucket, and within one by falling frequency, so that numbers of frequent words are small and alike
-        bucket = (value >> U64(40)) % U64(buckets)
+        # by bucket, and within one by falling frequency; numbers are small for frequent words
+        bucket = (value >> U64(24)) % U64(buckets)
         order = np.lexsort((-n, bucket))
-        by_use = np.argsort(-n, kind="stable")
         rank = np.empty(len(n), np.uint32)
-        rank[by_use] = np.arange(len(n), dtype=np.uint32)
-        rows = [{"kind": TEXTS, "chunk": number, "bucket": -1, "a": squeeze(count.astype(np.uint32)), "b": squeeze(rank[which]), "c": held.tobytes(), "ids": ids}]
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(n), dtype=np.uint32)
+        yield _rows([{"kind": TEXTS, "chunk": number, "bucket": -1, "a": squeeze(np.concatenate([count.astype(np.uint32), held.astype(np.uint32)])), "b": squeeze(rank[which]), "ids": ids}])
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
-        for k in range(buckets):
+        rows = []
+        for k in np.flatnonzero(np.diff(edge)).tolist():
             o = order[edge[k] : edge[k + 1]]
-            if len(o):
-                rows.append({"kind": WORDS, "chunk": number, "bucket": k, "a": value[o].tobytes(), "b": squeeze(learnt[o]), "c": squeeze(np.stack([rank[o], tail[o].astype(np.uint32)]).ravel())})
-        yield _rows(rows)
+            rows.append({"kind": WORDS, "chunk": number, "bucket": k, "a": value[o].tobytes(), "b": squeeze(np.concatenate([learnt[o], rank[o]]))})
+        for s in range(0, len(rows), 64):
+            yield _rows(rows[s : s + 64])
 
-    ids, held, hashes, counts, tails, size = [], [], [], [], [], 0
+    ids, held, hashes, counts, size = [], [], [], [], 0
     for b in batches:
         data_all, at_all = T.bytes_of(b.column(2))
-        names, out = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+        names, out = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi in T.slices(at_all):
             data, at = T.LOWER[data_all[at_all[lo] : at_all[hi]]], at_all[lo : hi + 1] - at_all[lo]
             start, end, row = T.words(data, at)
-            h = T.hashes(data, start, end)
-            tail = (T.hashes(data, np.maximum(start, end - 3), end) % U64(HASHED)).astype(np.uint16)
             n = np.bincount(row, minlength=hi - lo)
-            place = np.cumsum(n)  # the end token after each text
-            hashes.append(np.insert(h, place, np.array([END], np.int64).view(U64)[0]))
-            tails.append(np.insert(tail, place, 0))
+            hashes.append(np.insert(T.hashes(data, start, end), np.cumsum(n), END[0]))  # the end token after each text
             counts.append(n + 1)
             ids += names[lo:hi]
             held.append(out[lo:hi])
             size += len(data) + 8 * (hi - lo)
             if size >= CHUNK_BYTES:
-                yield from pack(ids, np.concatenate(held), hashes, counts, tails)
+                yield from pack(ids, np.concatenate(held), hashes, counts)
                 number += 1
-                ids, held, hashes, counts, tails, size = [], [], [], [], [], 0
+                ids, held, hashes, counts, size = [], [], [], [], 0
     if ids:
-        yield from pack(ids, np.concatenate(held), hashes, counts, tails)
+        yield from pack(ids, np.concatenate(held), hashes, counts)
 
 
-@T.tidy
-def _total(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Of all chunks' words in a bucket: TOTALS rows back to the chunks, TOP rows with its most frequent words, STRIP rows with its masses by tail.
+MEMBERS = "bucket int, chunk long, which binary, total binary, rank binary, n long, v long"
+
 
-    A TOTALS row has each word's total, tail and number in its chunk, and the hashes of those among the most frequent ones.
-    """
+@T.tidy
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket and chunk: the number in the bucket's vocabulary of each of the chunk's words, their totals and numbers in the chunk; with a bucket's first chunk its N and V."""
     for t in T.whole_runs(batches, ["bucket"]):
         bucket = t["bucket"].combine_chunks().to_numpy()
         cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
         for s, e in zip(cuts[:-1], cuts[1:]):
             x = t.slice(s, e - s)
             h = [np.frombuffer(v, U64) for v in x["a"].to_pylist()]
-            learnt = [unsqueeze(v, np.uint32) for v in x["b"].to_pylist()]
-            more = [unsqueeze(v, np.uint32).reshape(2, -1) for v in x["c"].to_pylist()]
-            value, first, which = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-            total = np.bincount(which, np.concatenate(learnt).astype(np.float64), len(value)).astype(np.int64)
-            tail = np.concatenate([m[1] for m in more])[first].astype(np.int64)
-            best = np.lexsort((value, -total))[:most]
-            best = best[total[best] > 0]
-            frequent = np.zeros(len(value), bool)
-            frequent[best] = True
+            more = [unsqueeze(v, np.uint32).reshape(2, -1) for v in x["b"].to_pylist()]
+            value, which = np.unique(np.concatenate(h), return_inverse=True)
+            total = np.bincount(which, np.concatenate([m[0] for m in more]).astype(np.float64), len(value)).astype(np.int64)
             at = 0
-            for chunk, m, mine in zip(x["chunk"].to_pylist(), more, h):
-                w = which[at : at + len(mine)]
-                at += len(mine)
-                f = np.flatnonzero(frequent[w]).astype(np.uint32)
-                c = np.minimum(total[w], (1 << 32) - 1).astype(np.uint32)
-                wide = np.flatnonzero(total[w] >= 1 << 32).astype(np.uint32)
-                assert not len(wide) or set(wide) <= set(f)
-                yield _rows([{"kind": TOTALS, "chunk": chunk, "bucket": int(bucket[s]), "a": squeeze(np.concatenate([m.ravel(), c])), "b": squeeze(f), "c": mine[f].tobytes() + total[w][f].tobytes()}])
-            yield _rows([{"kind": TOP, "bucket": int(bucket[s]), "a": value[best].tobytes(), "b": total[best].tobytes(), "c": tail[best].tobytes()}])
-            seen = total > 0
-            masses = np.concatenate([np.bincount(tail[seen], total[seen].astype(np.float64), HASHED), np.bincount(tail[seen], minlength=HASHED).astype(np.float64)])
-            yield _rows([{"kind": STRIP, "bucket": k, "a": v.tobytes()} for k, v in enumerate(masses.reshape(-1, 4096)) if v.any()])
+            for k, (chunk, m) in enumerate(zip(x["chunk"].to_pylist(), more)):
+                w = which[at : at + m.shape[1]]
+                at += m.shape[1]
+                # the words' hashes give the shares of the first round
+                row = [int(bucket[s]), chunk, squeeze(w.astype(np.uint32)), squeeze(total[w]), squeeze(m[1]), int(total.sum()) if k == 0 else 0, int((total > 0).sum()) if k == 0 else 0, squeeze_shares(first_shares(value[w]))]
+                yield pa.record_batch([pa.array([c]) for c in row[:2]] + [pa.array([c], pa.binary()) for c in row[2:5]] + [pa.array([c], pa.int64()) for c in row[5:7]] + [pa.array([row[7]], pa.binary())], ["bucket", "chunk", "which", "total", "rank", "n", "v", "shares"]).cast(_MEMBERS)
 
 
-READY = "ids array<long>, held binary, counts binary, known binary, base binary, static binary, classes binary"
+_MEMBERS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("which", pa.binary()), ("total", pa.binary()), ("rank", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("shares", pa.binary())])
 
 
-@T.tidy
-def _ready(tables: Iterator[pa.RecordBatch], n: int, v: int, keys: np.ndarray, places: np.ndarray, mass: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packed chunks with their words' totals, by chunk, as sequences of classes and what each word adds for itself."""
-    schema = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.binary()), ("counts", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("static", pa.binary()), ("classes", pa.binary())])
-    for t in T.whole_runs(tables, ["chunk"]):
-        chunk = t["chunk"].combine_chunks().to_numpy()
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk))
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            rows = t.slice(s, e - s).to_pylist()
-            p = next(r for r in rows if r["kind"] == TEXTS)
-            parts = []
-            for r in rows:
-                if r["kind"] == TOTALS:
-                    w, tail, c = unsqueeze(r["a"], np.uint32).reshape(3, -1)
-                    f = unsqueeze(r["b"], np.uint32)
-                    h, exact = np.frombuffer(r["c"], np.int64).reshape(2, -1)
-                    c, cls = c.astype(np.int64), OWN + tail.astype(np.int64)
-                    c[f] = exact
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = keys[at] == h
-                    cls[f[hit]] = places[at[hit]]
-                    parts.append((w, c, cls))
-            size = sum(len(w) for w, _, _ in parts)
-            c, cls = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for w, cc, kk in parts:
-                c[w], cls[w] = cc, kk
-            base = np.log10((c + 1) / (n + v + 1))
-            # words with a class of their own add nothing; others their share of their class
-            whole, mine = mass[cls] + kinds[cls], cls < OWN
-            share = np.where(c > 0, c, kinds[cls])
-            static = np.where(mine | (share <= 0), 0.0, np.log10(np.maximum(share, 1) / np.maximum(whole, 1)))
-            count, seq = unsqueeze(p["a"], np.uint32).astype(np.int64), unsqueeze(p["b"], np.uint32)
-            row = np.repeat(np.arange(len(count)), count)
-            add = lambda y: np.bincount(row, y[seq], len(count))  # noqa: B023, E731
-            out = [[p["ids"]], [p["c"]], [squeeze(count.astype(np.uint32))], [squeeze(add(c > 0).astype(np.int64))], [add(base).tobytes()], [add(static).tobytes()], [squeeze(cls[seq].astype(np.uint16))]]
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
-
-
-class Model:
-    """Start, transition and emission tables."""
-
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        self.start, self.move, self.emit = start, move, emit  # emit: (classes, states)
-
-    @classmethod
-    def first(cls, unigram: np.ndarray, seed: int = 1) -> Model:
-        """States that keep to themselves, each preferring other words, drawn by hash."""
-        rng = np.random.default_rng(seed)
-        emit = unigram[:, None] * rng.gamma(1.0, 1.0, (len(unigram), STATES))
-        emit = 0.5 * unigram[:, None] + 0.5 * emit / emit.sum(0)
-        move = np.full((STATES, STATES), 0.02 / max(STATES - 1, 1))
-        np.fill_diagonal(move, 0.98)
-        return cls(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+class Chain:
+    """What is the same for all words: start and transition probabilities, G, N and V."""
+
+    def __init__(self, n: int, v: int) -> None:
+        self.n, self.v = n, v
+        self.start = np.full(STATES, 1 / STATES)
+        self.move = np.full((STATES, STATES), 0.02 / (STATES - 1))
+        np.fill_diagonal(self.move, 0.98)
+        self.mass = np.full(STATES, n / STATES)
+
+    def emissions(self, total: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Of words with these totals and shares, a row a word."""
+        n, v = self.n, self.v
+        known = n / (n + v + 1) * total[:, None] * (r + SMOOTH / max(n, 1)) / (self.mass + SMOOTH)
+        return np.where(total[:, None] > 0, known, (v + 1) / (n + v + 1))
+
+    def update(self, start: np.ndarray, move: np.ndarray, mass: np.ndarray) -> None:
+        self.start = (start + 1) / (start + 1).sum()
+        self.move = (move + 1) / (move + 1).sum(1, keepdims=True)
+        self.mass = mass
 
 
 def _columns(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,15 +209,14 @@ def _columns(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, begin, active
 
 
-def forward(seq: np.ndarray, count: np.ndarray, m: Model) -> np.ndarray:
+def forward(seq: np.ndarray, count: np.ndarray, chain: Chain, emit: np.ndarray) -> np.ndarray:
     """log10 likelihood of each sequence, by the scaled recursion, all sequences a step at a time."""
     order, begin, active = _columns(count)
     total = np.zeros(len(count))
     a = None
-    emit, move = m.emit, m.move
     for t, k in enumerate(active.tolist()):
         e = emit[seq[begin[:k] + t]]
-        a = e * m.start if t == 0 else (a[:k] @ move) * e
+        a = e * chain.start if t == 0 else (a[:k] @ chain.move) * e
         scale = a.sum(1)
         a /= scale[:, None]
         total[:k] += np.log10(scale)
@@ -240,152 +225,154 @@ def forward(seq: np.ndarray, count: np.ndarray, m: Model) -> np.ndarray:
     return out
 
 
-def expected(seq: np.ndarray, count: np.ndarray, m: Model, head: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions of sequences; `head`: those that begin a text."""
-    order, begin, active = _columns(count)
-    k0 = len(count)
-    start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((classes, STATES))
-    if not k0:
-        return start, move, emit
-    longest = len(active)
-    alpha = np.zeros((longest, k0, STATES), np.float32)
-    scales = np.ones((longest, k0), np.float32)
-    table, a_move = m.emit.astype(np.float32), m.move.astype(np.float32)
-    enter = np.where(head[order][:, None], m.start, np.full(STATES, 1 / STATES)).astype(np.float32)
-    for t, k in enumerate(active.tolist()):
-        e = table[seq[begin[:k] + t]]
-        a = e * enter if t == 0 else (alpha[t - 1, :k] @ a_move) * e
-        s = a.sum(1)
-        scales[t, :k] = s
-        alpha[t, :k] = a / s[:, None]
-    beta = np.ones((k0, STATES), np.float32)
-    spots, weights = [], []
-    for t in range(longest - 1, -1, -1):
-        k = int(active[t])
-        gamma = alpha[t, :k] * beta[:k]
-        gamma /= gamma.sum(1, keepdims=True)
-        spots.append(seq[begin[:k] + t])
-        weights.append(gamma)
-        if t:
-            e = table[seq[begin[:k] + t]] * beta[:k] / scales[t, :k, None]
-            move += alpha[t - 1, :k].T.astype(np.float64) @ e
-            beta[:k] = e @ a_move.T
-    start = gamma[head[order]].sum(0).astype(np.float64)
-    spot, weight = np.concatenate(spots), np.concatenate(weights)
-    for s in range(STATES):
-        emit[:, s] = np.bincount(spot, weight[:, s], classes)
-    return start, move * m.move, emit
-
-
-def _unpack(t: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unsqueeze(t.column("counts")[k].as_py(), np.uint32).astype(np.int64), np.frombuffer(t.column("held")[k].as_py(), bool), unsqueeze(t.column("classes")[k].as_py(), np.uint16)
-
-
-@T.tidy
-def _learn(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-    classes = len(m.emit)
-    total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((classes, STATES))]
-    seen = False
-    for b in batches:
-        for k in range(b.num_rows):
-            count, held, seq = _unpack(b, k)
-            seq, count = seq[np.repeat(~held, count)], count[~held]
-            n = -(-count // SEGMENT)  # stretches of each text
-            row, at = T.ragged(n)
-            size = np.minimum(SEGMENT, count[row] - at * SEGMENT)
-            # stretches of a text lie one after the other, so their order is that of the tokens
-            for lo in range(0, len(size), 4096):
-                a, z = size[:lo].sum(), size[: lo + 4096].sum()
-                for x, y in zip(total, expected(seq[a:z], size[lo : lo + 4096], m, at[lo : lo + 4096] == 0, classes)):
-                    x += y
-            seen = True
-    if seen:
-        flat = np.concatenate([x.ravel() for x in total]).astype(np.float64)
-        # in strips, so that the sums of a table are many small rows
-        strip = 4096
-        n = -(-len(flat) // strip)
-        flat = np.concatenate([flat, np.zeros(n * strip - len(flat))]).reshape(n, strip)
-        yield pa.record_batch([pa.array(np.arange(n, dtype=np.int32)), pa.array([x.astype(np.float32).tobytes() for x in flat], pa.binary())], ["strip", "x"])
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum strips that have the same number: what a task holds is one table."""
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v = np.frombuffer(x, np.float32 if len(x) == 4096 * 4 else np.float64)
-            total[k] = total[k] + v if k in total else v.astype(np.float64)
-    if total:
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["strip", "x"])
-
-
-def baum_welch(ready: DataFrame, m: Model, unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Rounds of expectation in the tasks and maximisation of the summed counts."""
-    classes = len(m.emit)
-    for _ in range(rounds):
-        parts = ready.select("counts", "held", "classes").mapInArrow(lambda it, m=m: _learn(it, m), "strip int, x binary")
-        rows = parts.repartition("strip").mapInArrow(_sum, "strip int, x binary").collect()
-        if not rows:
-            return m
-        flat = np.concatenate([np.frombuffer(bytes(r["x"]), np.float64) for r in sorted(rows, key=lambda r: r["strip"])])
-        start, flat = flat[:STATES] + 1, flat[STATES:]
-        move, flat = flat[: STATES * STATES].reshape(STATES, STATES) + 1, flat[STATES * STATES :]
-        emit = flat[: classes * STATES].reshape(classes, STATES) + unigram[:, None] * 100  # smoothed towards all states' mean
-        m = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    return m
-
-
-def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns]):
-            h, total, tail = (np.frombuffer(x, np.int64) for x in row)
-            yield pa.record_batch([pa.array(h), pa.array(total), pa.array(tail.astype(np.int32))], ["h", "total", "tail"])
-
-
-@T.tidy
-def _score(batches: Iterator[pa.RecordBatch], m: Model, train_tokens: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(b.num_rows):
-            count, held, seq = _unpack(b, k)
-            read = lambda c, kind: np.frombuffer(b.column(c)[k].as_py(), kind)  # noqa: B023, E731
-            score = forward(seq, count, m) + read("static", np.float64)
-            yield pa.record_batch([b.column("ids")[k].values, pa.array(held), pa.array(count), pa.array(unsqueeze(b.column("known")[k].as_py(), np.int64)), pa.array(np.full(len(count), train_tokens)), pa.array(read("base", np.float64)), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-
-def score(docs: DataFrame, held_out=None, rounds: int = ROUNDS) -> DataFrame:  # noqa: ANN001
+def expected(seq: np.ndarray, count: np.ndarray, chain: Chain, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions of whole sequences, and their log10 likelihood."""
+    start, move, counts, likelihood = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(emit), STATES)), 0.0
+    table, a_move = emit.astype(np.float32), chain.move.astype(np.float32)
+    begins = np.cumsum(count) - count
+    by_length = np.argsort(-count, kind="stable")
+    # sequences of like lengths together, so many tokens at a time
+    part = (np.cumsum(count[by_length]) - 1) // TOKENS_AT_ONCE
+    for mine in np.split(by_length, np.flatnonzero(np.diff(part)) + 1) if len(count) else []:
+        begin, sizes = begins[mine], count[mine]
+        active = (len(mine) - np.searchsorted(np.sort(sizes), np.arange(int(sizes[0])), "right")).tolist()
+        alphas, scales, a = [], [], None
+        for t, k in enumerate(active):
+            e = table[seq[begin[:k] + t]]
+            a = e * chain.start.astype(np.float32) if t == 0 else (a[:k] @ a_move) * e
+            s = a.sum(1)
+            a /= s[:, None]
+            alphas.append(a)
+            scales.append(s)
+        likelihood += float(np.log10(np.concatenate(scales).astype(np.float64)).sum())
+        beta = np.ones((len(mine), STATES), np.float32)
+        spots, weights = [], []
+        for t in range(len(active) - 1, -1, -1):
+            k = active[t]
+            gamma = alphas[t] * beta[:k]
+            gamma /= gamma.sum(1, keepdims=True)
+            spot = seq[begin[:k] + t]
+            spots.append(spot)
+            weights.append(gamma)
+            if t:
+                e = table[spot] * beta[:k] / scales[t][:, None]
+                move += alphas[t - 1][:k].T @ e
+                beta[:k] = e @ a_move.T
+        start += gamma.sum(0)
+        spot, weight = np.concatenate(spots), np.concatenate(weights)
+        for s in range(STATES):
+            counts[:, s] += np.bincount(spot, weight[:, s], len(emit))
+    return start, move * chain.move, counts, likelihood
+
+
+def _open(left: pa.Table, right: pa.Table, chain: Chain):  # noqa: ANN202
+    """Of a chunk and its words: (ids, numbers of tokens, held out, words, totals by word, emissions by word, words in the order of buckets, their number by bucket, buckets)."""
+    p = left.to_pylist()[0]
+    count, held = unsqueeze(p["a"], np.uint32).astype(np.int64).reshape(2, -1)
+    seq = unsqueeze(p["b"], np.uint32)
+    right = right.sort_by("bucket")
+    rank = [unsqueeze(x, np.uint32) for x in right["rank"].to_pylist()]
+    sizes = [len(x) for x in rank]
+    at = np.concatenate(rank)
+    total, r = np.empty(len(at), np.int64), np.empty((len(at), STATES))
+    total[at] = np.concatenate([unsqueeze(x, np.int64) for x in right["total"].to_pylist()])
+    r[at] = np.concatenate([unsqueeze_shares(x) for x in right["shares"].to_pylist()])
+    return p["ids"], count, held.astype(bool), seq, total, chain.emissions(total, r), at, sizes, right["bucket"].to_pylist()
+
+
+SENT = "bucket int, chunk long, counts binary, sums array<double>"
+_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("counts", pa.binary()), ("sums", pa.list_(pa.float64()))])
+
+
+def _learn(left: pa.Table, right: pa.Table, chain: Chain) -> pa.Table:
+    """Expected counts of a chunk's words by bucket, and in one more row (bucket -1) all other sums."""
+    if not left.num_rows or not right.num_rows:
+        return _SENT.empty_table()
+    _, count, held, seq, total, emit, at, sizes, buckets = _open(left, right, chain)
+    chunk = left["chunk"][0].as_py()
+    start, move, counts, likelihood = expected(seq[np.repeat(~held, count)], count[~held], chain, emit)
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    rows = [{"bucket": k, "chunk": chunk, "counts": squeeze_counts(counts[at[a:z]]), "sums": None} for k, a, z in zip(buckets, edge[:-1], edge[1:])]
+    rows.append({"bucket": -1, "chunk": chunk, "counts": None, "sums": np.concatenate([start, move.ravel(), counts.sum(0), [likelihood]]).tolist()})
+    return pa.Table.from_pylist(rows, schema=_SENT)
+
+
+_SHARED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("total", pa.binary()), ("rank", pa.binary()), ("shares", pa.binary())])
+SHARED = "chunk long, bucket int, total binary, rank binary, shares binary"
+
+
+def _share(left: pa.Table, right: pa.Table) -> pa.Table:
+    """New shares of a bucket's words, for each chunk that has any."""
+    if not left.num_rows:
+        return _SHARED.empty_table()
+    left, right = left.sort_by("chunk"), right.sort_by("chunk")
+    which = [unsqueeze(x, np.uint32) for x in left["which"].to_pylist()]
+    sent = dict(zip(right["chunk"].to_pylist(), right["counts"].to_pylist()))
+    counts = np.zeros((max(int(w.max()) for w in which) + 1, STATES))
+    for chunk, w in zip(left["chunk"].to_pylist(), which):
+        if chunk in sent:
+            counts[w] += unsqueeze_counts(sent[chunk])  # a chunk has a word once
+    whole = counts.sum(1, keepdims=True)
+    r = np.divide(counts, whole, out=np.zeros_like(counts), where=whole > 0)
+    return pa.Table.from_arrays([left["chunk"], left["bucket"], left["total"], left["rank"], pa.array([squeeze_shares(r[w]) for w in which], pa.binary())], schema=_SHARED)
+
+
+_RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _score(left: pa.Table, right: pa.Table, chain: Chain) -> pa.Table:
+    if not left.num_rows or not right.num_rows:
+        return _RESULT.empty_table()
+    ids, count, held, seq, total, emit, *_ = _open(left, right, chain)
+    row = np.repeat(np.arange(len(count)), count)
+    base = np.log10((total + 1) / (chain.n + chain.v + 1))
+    columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(count), pa.array(np.bincount(row, total[seq] > 0, len(count)).astype(np.int64)), pa.array(np.full(len(count), chain.n)), pa.array(np.bincount(row, base[seq], len(count))), pa.array(forward(seq, count, chain, emit))]
+    return pa.Table.from_arrays(columns, schema=_RESULT)
+
+
+def _parted(df: DataFrame, key: str, parts: int, tag: str) -> tuple[DataFrame, str]:
+    """Written in `parts` parts by key, so that a meeting on that key doesn't move it; (table, its name)."""
+    name = f"chronoloom_{tag}_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", shared(df.sparkSession, tag)).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
+def _with(f: Callable, chain: Chain) -> Callable:
+    return lambda a, b: f(a, b, chain)
+
+
+def score(docs: DataFrame, held_out=None, tolerance: float = TOLERANCE) -> DataFrame:  # noqa: ANN001
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
     if held_out is None:
         held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col("text").cast("string").alias("text"))
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8)).first()[0] or 0
+    buckets, least = -(-max(1, size) // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(1, min(least, -(-size // (1 << 20)))) if size < least * CHUNK_BYTES else -(-size // CHUNK_BYTES)
     packed = cut(slim.mapInArrow(lambda it: _pack(it, buckets), PACKED), "packed")
-    most = 4 * OWN // buckets + 64
-    words = packed.filter(F.col("kind") == WORDS).repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
-    totals = cut(words.mapInArrow(lambda it: _total(it, most), PACKED), "totals")
-    # masses of the tails: sums of strips, HASHED numbers twice
-    strips = totals.filter(F.col("kind") == STRIP).select(F.col("bucket").alias("strip"), F.col("a").alias("x")).repartition("strip").mapInArrow(_sum, "strip int, x binary").collect()
-    masses = np.zeros((2 * HASHED // 4096, 4096))
-    for r in strips:
-        masses[r["strip"]] = np.frombuffer(bytes(r["x"]), np.float64)
-    by_tail, kinds_of_tail = masses.reshape(2, HASHED)
-    n, v = int(by_tail.sum()), int(kinds_of_tail.sum())
-    # words with a class of their own: at most OWN, the most frequent of all buckets' most frequent ones
-    top = totals.filter(F.col("kind") == TOP).select("a", "b", "c").mapInArrow(_top, "h long, total long, tail int")
-    top = top.filter((F.col("total") >= OFTEN) | (F.col("h") == END)).orderBy((F.col("h") == END).desc(), F.desc("total"), "h").limit(OWN).collect()
-    own = {END: 0}
-    mass, kinds = np.zeros(OWN + HASHED), np.zeros(OWN + HASHED)
-    mass[OWN:], kinds[OWN:] = by_tail, kinds_of_tail
-    for r in top:
-        mass[own.setdefault(r["h"], len(own))] = r["total"]
-        mass[OWN + r["tail"]] -= r["total"]
-        kinds[OWN + r["tail"]] -= 1
-    unigram = (mass + 0.5) / (mass + 0.5).sum()
-    keys = np.array(sorted(own), np.int64)
-    places = np.array([own[int(k)] for k in keys], np.int64)
-
-    both = packed.filter(F.col("kind") == TEXTS).union(totals.filter(F.col("kind") == TOTALS)).repartition("chunk").sortWithinPartitions("chunk")
-    ready = cut(both.mapInArrow(lambda it: _ready(it, n, v, keys, places, mass, kinds), READY), "ready")
-    drop(packed, totals)
-    m = baum_welch(ready, Model.first(unigram), unigram, rounds)
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ready.mapInArrow(lambda it: _score(it, m, n), out)
+    words = packed.filter(F.col("kind") == WORDS).repartition(min(buckets, max(1, size // (8 << 20))), "bucket").sortWithinPartitions("bucket", "chunk")
+    members = words.mapInArrow(_members, MEMBERS + ", shares binary")
+    members, members_name = _parted(members, "bucket", buckets, "members")
+    texts, texts_name = _parted(packed.filter(F.col("kind") == TEXTS).select("chunk", "a", "b", "ids"), "chunk", chunks, "texts")
+    drop(packed)
+    n, v = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    chain = Chain(n, v)
+    shares = members.select("chunk", "bucket", "total", "rank", "shares")
+    meet = lambda a, b, key, f, schema: a.groupBy(key).cogroup(b.groupBy(key)).applyInArrow(f, schema)
+    before, last = -math.inf, None
+    while True:
+        sent = cut(meet(texts, shares, "chunk", _with(_learn, chain), SENT), "sent")
+        sums = sent.filter("bucket = -1").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
+        x = np.array([r["x"] for r in sums]) if sums else np.zeros(2 * STATES + STATES * STATES + 1)
+        likelihood = x[-1]
+        if not n or (math.isfinite(before) and likelihood - before < tolerance * abs(likelihood)):
+            drop(sent)  # `shares`, from the counts before these, and `chain` are those that this likelihood is of
+            break
+        if last is not None:
+            drop(last)
+        before, last = likelihood, sent
+        chain = Chain(n, v)
+        chain.update(x[:STATES], x[STATES : STATES + STATES * STATES].reshape(STATES, STATES), x[-1 - STATES : -1])
+        shares = meet(members.select("bucket", "chunk", "which", "total", "rank"), sent.filter("bucket >= 0").select("bucket", "chunk", "counts"), "bucket", _share, SHARED)
+    return meet(texts, shares, "chunk", _with(_score, chain), RESULT)

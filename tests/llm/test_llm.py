@@ -494,31 +494,95 @@ def test_warc_key_over_several_index_files(spark):
 # 7 language model
 
 
-def brute_forward(seq, m):
-    a = m.start * m.emit[seq[0]]
+def brute_forward(seq, chain, emit):
+    a = chain.start * emit[seq[0]]
+    total = 0.0
     for x in seq[1:]:
-        a = (a @ m.move) * m.emit[x]
-    return np.log10(a.sum())
+        total += np.log10(a.sum())
+        a = (a / a.sum() @ chain.move) * emit[x]
+    return total + np.log10(a.sum())
 
 
 def test_forward_is_exact_and_training_raises_the_likelihood():
     from chronoloom.llm import hmm
 
     rng = np.random.default_rng(1)
-    unigram = np.full(8, 1 / 8)
-    m = hmm.Model.first(unigram)
+    chain = hmm.Chain(100, 8)
+    emit = rng.random((8, hmm.STATES))
+    emit /= emit.sum(0)
     count = np.array([5, 1, 9, 3])
     seq = rng.integers(0, 8, 18)
     at = np.cumsum(count) - count
-    got = hmm.forward(seq, count, m)
-    assert np.allclose(got, [brute_forward(seq[s : s + n], m) for s, n in zip(at, count)])
+    want = [brute_forward(seq[s : s + n], chain, emit) for s, n in zip(at, count)]
+    assert np.allclose(hmm.forward(seq, count, chain, emit), want)
+    assert hmm.expected(seq, count, chain, emit)[3] == pytest.approx(sum(want), rel=1e-5)
     train, sizes = np.concatenate([np.tile([0, 1], 50), np.tile([6, 7], 50)]), np.array([100, 100])
-    before = hmm.forward(train, sizes, m).sum()
+    before = hmm.forward(train, sizes, chain, emit).sum()
     for _ in range(5):
-        s, t, e = hmm.expected(train, sizes, m, np.array([True, True]), 8)
-        assert e.sum() == pytest.approx(200, rel=1e-3) and t.sum() == pytest.approx(198, rel=1e-3)
-        m = hmm.Model((s + 1e-3) / (s + 1e-3).sum(), (t + 1e-3) / (t + 1e-3).sum(1, keepdims=True), (e + 1e-3) / (e + 1e-3).sum(0))
-    assert hmm.forward(train, sizes, m).sum() > before
+        s, t, e, _ = hmm.expected(train, sizes, chain, emit)
+        assert s.sum() == pytest.approx(2, rel=1e-3) and e.sum() == pytest.approx(200, rel=1e-3) and t.sum() == pytest.approx(198, rel=1e-3)
+        chain.update(s, t, e.sum(0))
+        emit = (e + 1e-3) / (e + 1e-3).sum(0)
+    assert hmm.forward(train, sizes, chain, emit).sum() > before
+
+
+def test_language_model_against_a_plain_one(spark, sf):
+    """The whole of it without chunks, buckets or packing: one array of words, double precision."""
+    from chronoloom.llm import _text as T
+    from chronoloom.llm import hmm
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(120).collect()
+    texts = {r["doc_id"]: [*words(fold(r["text"])), None] for r in rows}
+    held = {d for d in texts if zlib.crc32(str(d).encode()) % 7 == 2}
+    number = {}
+    for d, w in texts.items():
+        for x in w:
+            number.setdefault(x, len(number))
+    total = np.bincount([number[x] for d, w in texts.items() if d not in held for x in w], minlength=len(number))
+    n, v = int(total.sum()), int((total > 0).sum())
+    raws = [(x or "").encode() for x in number]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
+    h = T.hashes(np.frombuffer(b"".join(raws), np.uint8), at[:-1], at[1:])
+    h[list(number).index(None)] = hmm.END[0]
+    r, S = hmm.first_shares(h), hmm.STATES
+    start, move, mass = np.full(S, 1 / S), np.where(np.eye(S) > 0, 0.98, 0.02 / (S - 1)), np.full(S, n / S)
+    before = -np.inf
+
+    def emissions():
+        return np.where(total[:, None] > 0, n / (n + v + 1) * total[:, None] * (r + hmm.SMOOTH / n) / (mass + hmm.SMOOTH), (v + 1) / (n + v + 1))
+
+    while True:
+        e, like = emissions(), 0.0
+        c0, c1, c2 = np.zeros(S), np.zeros((S, S)), np.zeros((len(number), S))
+        for d, w in texts.items():
+            if d in held:
+                continue
+            x = [number[y] for y in w]
+            a, z = [], []
+            for k, y in enumerate(x):
+                f = (start if k == 0 else a[-1] @ move) * e[y]
+                z.append(f.sum())
+                a.append(f / f.sum())
+            like += np.log10(z).sum()
+            b = np.ones(S)
+            for k in range(len(x) - 1, -1, -1):
+                c2[x[k]] += a[k] * b
+                if k:
+                    c1 += np.outer(a[k - 1], e[x[k]] * b / z[k]) * move
+                    b = move @ (e[x[k]] * b / z[k])
+            c0 += a[0] * b
+        if like - before < hmm.TOLERANCE * abs(like):
+            break
+        before = like
+        whole = c2.sum(1, keepdims=True)
+        r = np.divide(c2, whole, out=np.zeros_like(c2), where=whole > 0)
+        start, move, mass = (c0 + 1) / (c0 + 1).sum(), (c1 + 1) / (c1 + 1).sum(1, keepdims=True), c2.sum(0)
+    e = emissions()
+    chain = hmm.Chain(n, v)
+    chain.start, chain.move = start, move
+    out = {x["doc_id"]: x["score"] for x in hmm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for d, w in texts.items():
+        assert out[d] == pytest.approx(brute_forward([number[x] for x in w], chain, e), rel=2e-3)
 
 
 def test_language_model(spark, sf, odd, none):
@@ -549,10 +613,14 @@ def test_language_model(spark, sf, odd, none):
 
 
 def test_squeeze():
-    from chronoloom.llm.hmm import squeeze, unsqueeze
+    from chronoloom.llm.hmm import squeeze, squeeze_counts, squeeze_shares, unsqueeze, unsqueeze_counts, unsqueeze_shares
 
     for x in (np.arange(1000, dtype=np.uint32), np.zeros(0, np.uint16), np.array([2**63], np.uint64)):
         assert (unsqueeze(squeeze(x), x.dtype.type) == x).all()
+    c = np.random.default_rng(0).gamma(0.1, 1e4, (50, 6))
+    assert np.allclose(unsqueeze_counts(squeeze_counts(c)), c, rtol=1e-4)
+    r = c / c.sum(1, keepdims=True)
+    assert np.abs(unsqueeze_shares(squeeze_shares(r)) - r).max() < 1e-5
 
 
 # 8 embedding near-dedup
