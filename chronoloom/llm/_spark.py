@@ -65,8 +65,8 @@ HOT = 1e-5
 HOT_ROWS = 10_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, how: str = "left") -> DataFrame:
-    """Join on one key. `right` has one row a key and in `n` its number of rows on the left, of `rows` in all.
+def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """Join on one key. `right` has one row a key and in `n` its number of rows on the left, of `rows` in all; `counts` has n beside the key where `right` has not.
 
     A hot key is split: its left rows get one of as many salts as it has parts of HOT
     of all rows, and its right row comes once a salt. Of the hot keys, 1/HOT at
@@ -77,7 +77,7 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, how
     if rows <= least:  # no key can be hot
         plain = right.select(F.col(key).alias("_rk"), *[F.col(c).alias(f"_v_{c}") for c in values])
         return left.join(plain, left[key] == plain["_rk"], how).select(*left.columns, *[F.col(f"_v_{c}").alias(c) for c in values])
-    hot = F.broadcast(right.filter(F.col(n) > least).select(F.col(key).alias("_hk"), F.ceil(F.col(n) / least).cast("int").alias("_parts")))
+    hot = F.broadcast((right if counts is None else counts).filter(F.col(n) > least).select(F.col(key).alias("_hk"), F.ceil(F.col(n) / least).cast("int").alias("_parts")))
     by_row = F.xxhash64(*[F.col(c) for c in left.columns])
     out = left.join(hot, left[key] == F.col("_hk"), "left")
     # rows without a key match nothing, wherever they are

@@ -238,10 +238,10 @@ def links(docs: DataFrame, percent: int = 70, width: int = 5) -> tuple[DataFrame
 
     def beside(p: DataFrame, table: DataFrame, total: int) -> DataFrame:
         """`p`, pairs (a, b), with the columns of `table` (id, x, ...) of both as a_x and b_x; a much paired member is met in parts."""
+        pairs = p
         for side in ("a", "b"):
-            count = p.groupBy(side).agg(F.count("*").alias("_n"))
-            met = table.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "id"]).join(count, side)
-            p = hot_join(p, met, side, "_n", total, "inner")
+            met = table.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "id"])
+            p = hot_join(p, met, side, "_n", total, "inner", pairs.groupBy(side).agg(F.count("*").alias("_n")))
         return p
 
     def near(p: DataFrame) -> DataFrame:
