@@ -89,7 +89,7 @@ _CLOSED = {
     "DT": "the a an this that these those every each another some any no all both",
     "PRP": "i you he she it we they me him us them himself herself itself themselves",
     "PRP$": "my your his its our their her",
-    "MD": "will would can could may might must shall should 'll 'd ca wo",
+    "MD": "will would can could may might must shall should 'll 'd ca wo cannot",
     "IN": "in on at by for of from with about against between into through during before after above below over under since until than like near because while if whether although though as without within toward towards upon across behind beyond per",
     "CC": "and or but nor yet",
     "TO": "to",
@@ -107,6 +107,12 @@ _CLOSED = {
     "VBN": "been gone done seen known given taken written spoken grown fallen drawn broken risen driven worn chosen eaten flown sung begun become made built sent",
     "NN": "war peace explosion attack crash meeting election strike trial fire flood earthquake storm death birth accident absence presence man woman door wall year month week day hour minute second morning evening night afternoon spring summer fall autumn winter order sentence document war time home support family fence agreement interview",
 }
+_CLOSED["VB"] += " maintain provide investigate calculate resume prefer seek acknowledge confirm indicate argue complain reduce increase develop produce create receive obtain acquire achieve defend protect improve establish represent replace recover repay resolve respond reveal search seize settle solve succeed suffer supply survive suspend talk teach tend threaten throw touch train transfer treat urge warn withdraw wonder worry admit accept accuse adopt advise affect afford anticipate apologize appoint approve arise arrive assume attempt avoid become blame borrow capture celebrate collapse combine compete concentrate conclude conduct convince convict deal defeat define demand depend deserve destroy die disappear discover dismiss eliminate emerge encourage enjoy ensure enter escape evacuate examine expand expire explain explode explore face fill finance finish follow forget free gain generate govern handle hang happen harm hire identify imagine impose inform insist invade invest invite involve join justify land launch learn limit link lower manage match merge negotiate notice object obey occupy occur oppose organize owe participate persuade pledge pour predict prepare pretend prohibit prove push realize rebuild recall recognize recommend refer reflect regard regret reject release rely renew repeat restore restrict retain retire return reverse review save select separate share shift shoot sign smoke speed spread steal strengthen stretch struggle submit supervise surrender surround swear tell terminate testify trust undermine undergo unite vote wage welcome yell use".replace(" become", "").replace(" tell", "")
+_CLOSED["VBD"] += " sold bought sought fought caught taught hit hurt shot shook swore stole struck sank swam threw tore undertook withdrew froze forgot forgave hid laid lay lent lit quit rang rode shut slid spun stuck swept swung woke wept bit blew bore bent bound bred burst cast clung crept dealt dug fed fled flung forbade ground hung knelt leapt sent shone shrank slept slit sped spilt spat split sprang strove"
+_CLOSED["VBN"] += " shaken sworn stolen struck sunk swum thrown torn undertaken withdrawn frozen forgotten forgiven hidden rung ridden woken bitten blown borne forbidden shrunk sprung striven shown proven beaten hit hurt shot sold sought fought caught taught"
+_CLOSED["NN"] += " anything everything something nothing thing king ring string wing ceiling spring trade result support referendum accusation outcome block turn drop bid due"
+_CLOSED["JJ"] += " willing such more enough lower higher unclear okay equal"
+_CLOSED["RB"] += " ever up down out away off forward back together however instead perhaps maybe"
 LEXICON: dict[str, str] = {}
 for _tag, _words in _CLOSED.items():
     for _w in _words.split():
@@ -114,7 +120,12 @@ for _tag, _words in _CLOSED.items():
 _MONTHS = "January February March April May June July August September October November December".split()
 _DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
 _IRREGULAR = {"was": "be", "were": "be", "is": "be", "are": "be", "am": "be", "been": "be", "being": "be", "'m": "be", "'re": "be", "has": "have", "had": "have", "'ve": "have", "having": "have", "did": "do", "does": "do", "done": "do", "said": "say", "went": "go", "gone": "go", "came": "come", "made": "make", "took": "take", "taken": "take", "got": "get", "saw": "see", "seen": "see", "knew": "know", "known": "know", "thought": "think", "gave": "give", "given": "give", "found": "find", "told": "tell", "became": "become", "left": "leave", "felt": "feel", "brought": "bring", "began": "begin", "begun": "begin", "kept": "keep", "held": "hold", "wrote": "write", "written": "write", "stood": "stand", "heard": "hear", "meant": "mean", "met": "meet", "ran": "run", "paid": "pay", "sat": "sit", "spoke": "speak", "spoken": "speak", "led": "lead", "grew": "grow", "grown": "grow", "lost": "lose", "fell": "fall", "fallen": "fall", "sent": "send", "built": "build", "understood": "understand", "drew": "draw", "drawn": "draw", "broke": "break", "broken": "break", "spent": "spend", "rose": "rise", "risen": "rise", "drove": "drive", "driven": "drive", "bought": "buy", "wore": "wear", "worn": "wear", "chose": "choose", "chosen": "choose", "slept": "sleep", "won": "win", "ate": "eat", "eaten": "eat", "flew": "fly", "flown": "fly", "sang": "sing", "sung": "sing"}
+_IRREGULAR |= {"sold": "sell", "sought": "seek", "fought": "fight", "caught": "catch", "taught": "teach", "shot": "shoot", "stole": "steal", "stolen": "steal", "struck": "strike", "threw": "throw", "thrown": "throw", "withdrew": "withdraw", "withdrawn": "withdraw", "swore": "swear", "sworn": "swear", "forgot": "forget", "forgotten": "forget", "hid": "hide", "hidden": "hide", "laid": "lay", "lent": "lend", "rode": "ride", "ridden": "ride", "shown": "show", "beaten": "beat", "blew": "blow", "blown": "blow", "dealt": "deal", "fed": "feed", "fled": "flee", "hung": "hang", "swept": "sweep", "woke": "wake", "shook": "shake", "shaken": "shake"}
 _VERB_STEMS = set(_CLOSED["VB"].split())
+#: Nouns first, but verbs after "to" or a modal.
+_NOUN_VERBS = set("attack strike order support fence block turn drop bid trade double like fire trial visit travel place ship name head face fund halt hope report plan offer question request cause guard risk set back center form start stop end hand help lead ring land fight vote test check hold call look talk walk watch work study research sample".split())
+#: Linking verbs: what looks like a past form after them is an adjective.
+_LINKING = {"become", "remain", "seem", "look", "feel", "stay"}
 
 
 def lemma(word: str, pos: str) -> str:
@@ -126,7 +137,7 @@ def lemma(word: str, pos: str) -> str:
             if w.endswith(end) and len(w) > len(end) + 1 and not (end == "s" and w.endswith("ss")) and (end in ("ies", "s", "es", "sses") or pos in ("VBG", "VBD", "VBN")):
                 stem = w[: -len(end)] + back
                 for guess in (stem, stem + "e", stem[:-1] if len(stem) > 2 and stem[-1:] == stem[-2:-1] else stem):
-                    if guess in _VERB_STEMS or LEXICON.get(guess) in ("NN", "VB"):
+                    if guess in _VERB_STEMS or guess in _NOUN_VERBS or LEXICON.get(guess) in ("NN", "VB"):
                         return guess
                 if end in ("es",) and stem[-1:] not in "sxzh":
                     return stem + "e"
@@ -158,7 +169,7 @@ def _guess(word: str, first: bool) -> str:
     if low.endswith("ing") and len(low) > 4:
         return "VBG"
     if low.endswith("ed") and len(low) > 3:
-        return "VBD"
+        return "JJ" if low.startswith("un") and len(low) > 6 and lemma(low, "VBD") not in _VERB_STEMS else "VBD"
     if re.search(r"(ous|ful|able|ible|ive|al|ic|less|ish|ary)$", low):
         return "JJ"
     if low.endswith("s") and not low.endswith("ss"):
@@ -180,11 +191,23 @@ def tag(tokens: list[Token]) -> list[Token]:
             back = [x for x in tokens[max(0, k - 3) : k] if x.sentence == t.sentence and x.pos != "RB"]
             if back and back[-1].lemma in ("be", "have", "get") and back[-1].pos[0] in "VM":
                 p = "VBN"
-        if p in ("VB", "VBP") and prev in ("NNS", "PRP", "NNPS", "WP"):
+        if p in ("VB", "VBP") and (prev in ("NNS", "PRP", "NNPS", "WP") or (before is not None and before.text.lower() in ("men", "women", "people", "children", "police") and prev)):
             p = "VBP"
         if p == "VB" and prev in ("DT", "PRP$", "JJ", "IN", "CD") and word not in ("be", "have"):
             p = "NN"
-        if p == "NN" and prev in ("TO", "MD") and word in _VERB_STEMS | {"attack", "strike", "order", "support", "fence"}:
+        lead = ""  # the tag before, adverbs passed over
+        if prev:
+            back = next((x for x in reversed(tokens[max(0, k - 3) : k]) if x.sentence == t.sentence and x.pos != "RB"), None)
+            lead = back.pos if back is not None else ""
+            if p in ("VB", "VBD") and back is not None and back.lemma == "have" and back.pos[0] == "V" and word in ("become", "come", "run", "overcome", "put", "cut", "set", "hit", "read"):
+                p = "VBN"
+            if p == "VBD" and back is not None and back.lemma in _LINKING and back.pos[0] == "V":
+                p = "JJ"
+        if p in ("NN", "IN", "JJ", "RB", "VBP") and lead == "MD" and word not in ("not", "n't") and not word.endswith("ly") and LEXICON.get(word) not in ("RB", "IN", "JJ", "CC") or (word == "like" and lead in ("MD", "NNS", "PRP") and (lead == "MD" or ahead == "to")):
+            p = "VB"
+        if p == "NN" and prev == "PRP" and ahead == "to" and not word.endswith("s"):
+            p = "VBP"
+        if p == "NN" and lead == "TO" and (word in _VERB_STEMS | _NOUN_VERBS or (ahead and _guess(ahead, False) in ("DT", "PRP$", "PRP", "WP", "WRB", "TO"))):
             p = "VB"
         if p == "VBG" and prev in ("DT", "PRP$", "JJ"):
             p = "NN"
@@ -194,7 +217,7 @@ def tag(tokens: list[Token]) -> list[Token]:
             p = "RB"
         if word == "her" and not (ahead and _guess(ahead, False)[:2] in ("NN", "JJ", "VB", "CD")):
             p = "PRP"
-        if word == "that" and ahead and _guess(ahead, False) in ("PRP", "DT", "PRP$", "NNS"):
+        if word == "that" and ahead and _guess(ahead, False) in ("PRP", "DT", "PRP$", "NNS", "NNP", "NNPS", "EX") and not (first and _guess(ahead, False) == "NNS"):
             p = "IN"
         if word == "'s":
             p = "POS" if ahead and _guess(ahead, False)[:2] in ("NN", "JJ") and prev[:1] == "N" else "VBZ"
@@ -229,6 +252,8 @@ def chunks(tokens: list[Token], terms: set[tuple[int, int]] = frozenset()) -> li
             continue
         found = None
         for name, (initial, inside, final) in (("ng", NOUN), ("vg", VERB)):
+            if name == "ng" and tokens[k].pos == "VBG" and tokens[k + 1].pos in ("PRP$", "DT"):
+                continue  # a gerund with its object
             if tokens[k].pos in initial:
                 j, last = k, k if tokens[k].pos in final else -1
                 while j + 1 < n and tokens[j + 1].pos in inside:
@@ -247,13 +272,13 @@ def chunks(tokens: list[Token], terms: set[tuple[int, int]] = frozenset()) -> li
         (a, s, e), (b, t, f) = out[i], out[i + 1]
         if a == "vg" and b == "ng" and e == t and e - s > 1 and tokens[e - 1].pos == "VBG" and tokens[e - 2].pos[:2] == "VB" and tokens[e - 2].lemma != "be" and tokens[t].pos[0] == "N":
             out[i], out[i + 1] = (a, s, e - 1), (b, e - 1, f)
-    return out
+    return [(n, s + a, s + b) for n, s, e in out for a, b in (sub_groups(tokens[s:e]) if n == "vg" else [(0, e - s)])]
 
 
 # Verb groups
 
-MODALS = {"will", "would", "can", "could", "may", "might", "must", "shall", "should", "ca", "wo", "'ll", "'d", "ought"}
-_MODAL_NAME = {"ca": "can", "'d": "would", "wo": "will", "'ll": "will"}
+MODALS = {"will", "would", "can", "could", "may", "might", "must", "shall", "should", "ca", "wo", "'ll", "'d", "ought", "cannot"}
+_MODAL_NAME = {"ca": "can", "cannot": "can", "'d": "would", "wo": "will", "'ll": "will"}
 _FUTURE = {"will", "'ll", "shall", "wo"}
 
 
@@ -269,7 +294,7 @@ class Verb:
 
 def verb_group(tokens: list[Token]) -> Verb | None:
     """Tense, aspect, modality and polarity of a verb group, read off its auxiliaries from left to right."""
-    negative = any(t.text.lower() in ("not", "n't", "never") for t in tokens)
+    negative = any(t.text.lower() in ("not", "n't", "never", "cannot") for t in tokens)
     only = any(t.text.lower() == "only" for t in tokens)
     core = [(k, t) for k, t in enumerate(tokens) if t.pos[:2] in ("VB", "MD", "TO")]
     verbs = [(k, t) for k, t in core if t.pos[:2] == "VB"]
@@ -334,7 +359,26 @@ _CLASSES = (
 )
 VERB_CLASS = {w: name for name, ws in _CLASSES for w in ws.split()}
 STATIVE_ADJECTIVES = set("able afraid anxious eager glad happy likely ready sure unable willing worried".split())
-EVENT_NOUNS = set("war attack explosion crash meeting election strike trial fire flood earthquake storm death birth accident negotiation talks battle fight murder arrest visit trip travel game race sale purchase merger takeover agreement announcement collapse bombing invasion killing presence crisis investigation hearing".split())
+EVENT_NOUNS = set("war attack explosion crash meeting election strike trial fire flood earthquake storm death birth accident negotiation talks battle fight murder arrest visit trip travel game race sale purchase merger takeover agreement announcement collapse bombing invasion killing presence crisis investigation hearing trade result support referendum accusation campaign interview conference embargo vote raid riot protest demonstration deployment withdrawal treaty ceremony wedding funeral rally tour mission operation rescue search evacuation drought famine hurricane accusation promise decision effort deal bid production growth decline increase reduction recession recovery inflation violence terrorism genocide massacre assassination shooting stabbing robbery theft ban boycott blockade invasion occupation siege surrender truce ceasefire summit debate discussion speech announcement launch landing flight voyage journey".split())
+#: Nouns that are events where they are definite only.
+DEFINITE_NOUNS = {"absence", "arrival", "departure", "return", "failure", "success", "loss", "growth"}
+_DEFINITE = {"the", "this", "that", "these", "those"}
+
+
+def definite(tokens: list[Token], s: int, h: int) -> bool:
+    """Whether a noun group that begins at s has a possessive or a definite determiner before its head."""
+    return any(t.pos in ("POS", "PRP$") or t.text.lower() in _DEFINITE for t in tokens[s:h])
+
+
+def is_event_noun(tokens: list[Token], s: int, h: int, nouns: set[str]) -> bool:
+    stem = strip_plural(tokens[h].text.lower())
+    return definite(tokens, s, h) if stem in DEFINITE_NOUNS else stem in nouns
+
+
+def sub_groups(tokens: list[Token]) -> list[tuple[int, int]]:
+    """A verb group in parts: a main verb ends one where another in -ing follows it."""
+    cuts = [k for k in range(1, len(tokens)) if tokens[k].pos == "VBG" and tokens[k - 1].pos[:2] == "VB" and tokens[k - 1].lemma not in ("be", "have")]
+    return list(zip([0, *cuts], [*cuts, len(tokens)]))
 
 
 def events(tokens: list[Token], groups: list[tuple[str, int, int]], nouns: set[str] = EVENT_NOUNS, taken: set[int] = frozenset()) -> list[dict]:
@@ -344,7 +388,7 @@ def events(tokens: list[Token], groups: list[tuple[str, int, int]], nouns: set[s
 
     def noun(s: int, e: int, needs: bool = True) -> None:
         h = e - 1
-        if tokens[h].pos[:2] == "NN" and strip_plural(tokens[h].text.lower()) in nouns and h not in taken and h not in out:
+        if tokens[h].pos[:2] == "NN" and is_event_noun(tokens, s, h, nouns) and h not in taken and h not in out:
             out[h] = {"token": h, "class": "OCCURRENCE", "tense": "NONE", "aspect": "NONE", "modality": "NONE", "polarity": "POS", "pos": "NOUN"}
 
     k = 0
@@ -356,6 +400,8 @@ def events(tokens: list[Token], groups: list[tuple[str, int, int]], nouns: set[s
                 e = groups[k + 1][2]
                 k += 1
             v = verb_group(tokens[s:e])
+            if v and s and tokens[s - 1].text.lower() == "never":
+                v.polarity = "NEG"
             if v:
                 h = s + v.head
                 t = tokens[h]
@@ -367,12 +413,15 @@ def events(tokens: list[Token], groups: list[tuple[str, int, int]], nouns: set[s
                 if t.lemma == "be" and not (t.text.lower() == "including" and v.tense == "NONE"):
                     if nxt < len(tokens) and tokens[nxt].pos[:2] == "JJ" and group is None:
                         out[nxt] = row | {"token": nxt, "class": "I_STATE" if tokens[nxt].text.lower() in STATIVE_ADJECTIVES else "STATE", "pos": "ADJECTIVE"}
-                    elif group and group[0] == "ng" and strip_plural(tokens[group[2] - 1].text.lower()) in nouns:
+                    elif group and group[0] == "ng" and is_event_noun(tokens, group[1], group[2] - 1, nouns):
                         out[group[2] - 1] = row | {"token": group[2] - 1, "class": "OCCURRENCE", "pos": "NOUN"}
                 elif t.text.lower() != "including" and h not in taken:
                     out[h] = row
+                    if t.lemma == "keep" and group and group[0] == "ng":
+                        nxt = group[2]
+                        group = in_chunk.get(nxt)
                     if t.lemma in ("become", "continue", "keep", "remain") and nxt < len(tokens) and tokens[nxt].pos[:2] == "JJ" and group is None:
-                        out[nxt] = row | {"token": nxt, "class": "STATE", "pos": "ADJECTIVE"}
+                        out[nxt] = row | {"token": nxt, "class": "STATE", "pos": "ADJECTIVE", "tense": "NONE", "aspect": "NONE"}
         else:
             noun(s, e)
         k += 1

@@ -20,8 +20,9 @@ _STOP = ("^", [".", ":", "?", "!"])
 PATTERNS: dict[str, list] = {
     "to_clause": [*_ADVERB, {"node": "vg", "event": True, "infinitive": True}],
     "object_to_clause": [*_ADVERB, _NG, "+", {"node": "vg", "event": True, "infinitive": True}],
-    "that_clause": ["(", {"text": ","}, "|", {"pos": "RB"}, ")", "*", {"text": "that"}, "(", {"node": "ng"}, "|", {"pos": ["IN", "RB", "JJ", "CC", "PRP", "DT"]}, ")", "*", _TENSED],
-    "bare_clause": [_NG, "+", "(", {"pos": "IN"}, _NG, ")", "*", _TENSED],
+    "that_clause": ["(", {"text": ","}, "|", {"pos": ["RB", "IN"]}, "|", {"node": "ng"}, ")", "*", {"text": "that"}, "(", {"node": "ng"}, "|", {"pos": ["IN", "RB", "JJ", "CC", "PRP", "DT"]}, ")", "*", _TENSED],
+    "bare_clause": [_ADVERB[0], "*", _NG, "+", "(", {"pos": ["IN", "CC", "RB"]}, "|", {"text": ","}, "|", _NG, ")", "*", _TENSED],
+    "object_clause": [_NG, "+", "(", {"pos": "IN"}, _NG, ")", "*", {"node": "vg", "event": True}],
     "quoted_clause": [{"text": [",", ":"]}, "?", {"text": ["``", '"', "`"]}, "+", "(", {"node": "ng"}, "|", {"pos": ["IN", "RB", "JJ", "PRP"]}, ")", "*", _TENSED],
     "if_clause": [{"text": ["if", "whether"]}, "(", {"node": "ng"}, "|", {"pos": ["IN", "RB"]}, ")", "*", _TENSED],
     "question_clause": [{"pos": ["WRB", "WP", "WDT"]}, "(", {"node": "ng"}, "|", {"pos": ["IN", "RB"]}, ")", "*", _EVENT],
@@ -33,11 +34,15 @@ PATTERNS: dict[str, list] = {
 }
 
 _FORWARD = {
-    ("MODAL", "to_clause object_to_clause noun_object that_clause"): "want hope expect plan intend wish desire need agree promise propose offer order ask request persuade decide try attempt seek like love hate prepare vow swear threaten urge advise allow help",
+    ("EVIDENTIAL", "object_clause that_clause"): "see hear watch",
+    ("MODAL", "object_to_clause"): "call force enable",
+    ("FACTIVE", "question_clause that_clause noun_object"): "investigate acknowledge discover",
+    ("FACTIVE", "noun_object ing_clause"): "welcome provide",
+    ("MODAL", "to_clause object_to_clause noun_object that_clause"): "want hope expect plan intend wish desire need agree promise propose offer order ask request persuade decide try attempt seek like love hate prepare vow swear threaten urge advise allow help call",
     ("FACTIVE", "ing_clause that_clause noun_object"): "regret know realize remember forget admit enjoy manage see watch hear notice celebrate cause",
     ("COUNTER_FACTIVE", "to_clause ing_clause prep_ing_clause noun_object prep_noun"): "decline refuse fail forget block prevent avoid reject cancel",
-    ("EVIDENTIAL", "that_clause bare_clause quoted_clause"): "say report tell announce state claim add explain declare note describe believe think suggest testify",
-    ("NEG_EVIDENTIAL", "that_clause bare_clause noun_object ing_clause"): "deny doubt dispute",
+    ("EVIDENTIAL", "that_clause bare_clause quoted_clause"): "say report tell confirm announce state claim add explain declare note describe believe think suggest testify",
+    ("NEG_EVIDENTIAL", "noun_object that_clause bare_clause ing_clause"): "deny doubt dispute",
     ("CONDITIONAL", "if_clause question_clause"): "ask wonder know decide",
 }
 _ALINK = {"INITIATES": "begin start initiate commence launch", "TERMINATES": "stop end halt quit cease abandon", "CULMINATES": "finish complete achieve", "CONTINUES": "continue keep maintain", "REINITIATES": "resume restart renew"}

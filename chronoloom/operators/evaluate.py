@@ -55,11 +55,11 @@ def status(b1: Column, e1: Column, b2: Column, e2: Column) -> Column:
     return F.when(b1.isNull(), "NO_MATCH_FP").when(b2.isNull(), "NO_MATCH_FN").when((b1 == b2) & (e1 == e2), "EXACT").when((b1 < e2) & (b2 < e1), "PARTIAL").otherwise("NO_MATCH")
 
 
-ALIGNED = "doc_id long, g_begin long, g_end long, s_begin long, s_end long"
+ALIGNED = "doc_id string, g_begin long, g_end long, s_begin long, s_end long"
 
 
 def _align(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def walk(doc_id: int, rows: pd.DataFrame) -> list[tuple]:
+    def walk(doc_id: str, rows: pd.DataFrame) -> list[tuple]:
         g = sorted({(b, e) for b, e, s in zip(rows["begin"], rows["end"], rows["side"]) if s == "g"})
         s = sorted({(b, e) for b, e, x in zip(rows["begin"], rows["end"], rows["side"]) if x == "s"})
         i = j = 0
@@ -86,15 +86,17 @@ def _align(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, held = both[both["doc_id"] != last], both[both["doc_id"] == last]
         out = [r for d, rows in done.groupby("doc_id", sort=False) for r in walk(d, rows)]
         if out:
-            yield pd.DataFrame(out, columns=names).astype("Int64")
+            yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[1:], "Int64"))
     if held is not None and len(held):
-        yield pd.DataFrame(walk(int(held["doc_id"].iloc[0]), held), columns=names).astype("Int64")
+        yield pd.DataFrame(walk(held["doc_id"].iloc[0], held), columns=names).astype(dict.fromkeys(names[1:], "Int64"))
 
 
 def align(gold: DataFrame, system: DataFrame) -> DataFrame:
     """Greedy alignment from left to right of the distinct spans of each document."""
-    both = gold.select("doc_id", "begin", "end", F.lit("g").alias("side")).union(system.select("doc_id", "begin", "end", F.lit("s").alias("side")))
-    return both.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(_align, ALIGNED)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id")  # rows without an id are one document
+    both = gold.select(key, "begin", "end", F.lit("g").alias("side")).union(system.select(key, "begin", "end", F.lit("s").alias("side")))
+    out = both.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(_align, ALIGNED)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit("")).cast("long"))
 
 
 def alignment_counts(aligned: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TAG = "name string, begin int, end int, attrs map<string,string>"
-DOCUMENT = f"file string, text string, metadata map<string,string>, source_tags array<struct<{TAG.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map')}>>, tarsqi_tags array<struct<{TAG.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map')}>>, comments map<int,string>, error string"
+DOCUMENT = f"file string, text string, metadata map<string,string>, source_tags array<struct<{TAG.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map')}>>, own_tags array<struct<{TAG.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map')}>>, comments map<int,string>, error string"
 
 
 def guess(text: Column) -> Column:
@@ -88,11 +88,11 @@ def parse_xml(content: str) -> dict:
     s = _Sax()
     s.parse(content)
     tags = sorted(s.tags, key=lambda t: t.pop("seq"))
-    return {"text": "".join(s.parts), "metadata": {}, "source_tags": tags, "tarsqi_tags": [], "comments": s.comments}
+    return {"text": "".join(s.parts), "metadata": {}, "source_tags": tags, "own_tags": [], "comments": s.comments}
 
 
 def parse_text(content: str) -> dict:
-    return {"text": content, "metadata": {}, "source_tags": [], "tarsqi_tags": [], "comments": {}}
+    return {"text": content, "metadata": {}, "source_tags": [], "own_tags": [], "comments": {}}
 
 
 def parse_ttk(content: str) -> dict:
@@ -101,9 +101,16 @@ def parse_ttk(content: str) -> dict:
     root = ElementTree.fromstring(content)
     number = lambda e, k: None if e.get(k) in (None, "", "-1", "None") else int(e.get(k))
 
-    def tags(name: str) -> list[dict]:
-        part = root.find(name)
-        return [{"name": e.tag, "begin": number(e, "begin"), "end": number(e, "end"), "attrs": {k: v for k, v in e.attrib.items() if k not in ("begin", "end")}} for e in (part if part is not None else [])]
+    def part(name: str):  # noqa: ANN202
+        return next((e for e in root if e.tag == name), [])
+
+    def tags(elements) -> list[dict]:  # noqa: ANN001
+        return [{"name": e.tag, "begin": number(e, "begin"), "end": number(e, "end"), "attrs": {k: v for k, v in e.attrib.items() if k not in ("begin", "end")}} for e in elements]
+
+    # the tags made here are in the element after the source's own, whatever its name
+    names = [e.tag for e in root]
+    after = names.index("source_tags") + 1 if "source_tags" in names else len(names)
+    own = root[after] if after < len(names) else []
 
     meta: dict[str, str] = {}
     for e in root.find("metadata") if root.find("metadata") is not None else []:
@@ -112,7 +119,7 @@ def parse_ttk(content: str) -> dict:
         else:
             meta[e.tag] = e.get("value") or (e.text or "")
     comments = {int(c.get("offset")): c.text or "" for c in root.iterfind("comments/comment")}
-    return {"text": root.findtext("text") or "", "metadata": meta, "source_tags": tags("source_tags"), "tarsqi_tags": tags("tarsqi_tags"), "comments": comments}
+    return {"text": root.findtext("text") or "", "metadata": meta, "source_tags": tags(part("source_tags")), "own_tags": tags(own), "comments": comments}
 
 
 def parse_lif(content: str) -> dict:
@@ -125,7 +132,7 @@ def parse_lif(content: str) -> dict:
             kind = str(a.get("@type", "")).rsplit("/", 1)[-1]
             attrs = {"id": a.get("id", ""), "view": view.get("id", "")} | {k: json.dumps(v) if isinstance(v, (dict, list)) else str(v) for k, v in (a.get("features") or {}).items()}
             tags.append({"name": kind, "begin": a.get("start"), "end": a.get("end"), "attrs": attrs})
-    return {"text": (o.get("text") or {}).get("@value", ""), "metadata": {k: str(v) for k, v in (o.get("metadata") or {}).items()}, "source_tags": tags, "tarsqi_tags": [], "comments": {}}
+    return {"text": (o.get("text") or {}).get("@value", ""), "metadata": {k: str(v) for k, v in (o.get("metadata") or {}).items()}, "source_tags": tags, "own_tags": [], "comments": {}}
 
 
 #: Formats and their parsers; more may be added.
@@ -142,7 +149,7 @@ def _kind(content: str) -> str:
 
 def _parse(batches: Iterator[pa.RecordBatch], kind: str | None) -> Iterator[pa.RecordBatch]:
     tag = pa.struct([("name", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string()))])
-    schema = pa.schema([("file", pa.string()), ("text", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("source_tags", pa.list_(tag)), ("tarsqi_tags", pa.list_(tag)), ("comments", pa.map_(pa.int32(), pa.string())), ("error", pa.string())])
+    schema = pa.schema([("file", pa.string()), ("text", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("source_tags", pa.list_(tag)), ("own_tags", pa.list_(tag)), ("comments", pa.map_(pa.int32(), pa.string())), ("error", pa.string())])
     for b in batches:
         rows = []
         for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -152,7 +159,7 @@ def _parse(batches: Iterator[pa.RecordBatch], kind: str | None) -> Iterator[pa.R
             except Exception as e:  # noqa: BLE001  a broken document is a row with its error
                 d, error = parse_text(content), f"{type(e).__name__}: {e}"
             show = lambda tags: [{**{k: t[k] for k in ("name", "begin", "end")}, "attrs": list(t["attrs"].items())} for t in tags]
-            rows.append({"file": name, "text": d["text"], "metadata": list(d["metadata"].items()), "source_tags": show(d["source_tags"]), "tarsqi_tags": show(d["tarsqi_tags"]), "comments": list(d["comments"].items()), "error": error})
+            rows.append({"file": name, "text": d["text"], "metadata": list(d["metadata"].items()), "source_tags": show(d["source_tags"]), "own_tags": show(d["own_tags"]), "comments": list(d["comments"].items()), "error": error})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 

@@ -35,7 +35,7 @@ def ttk_body(tags: DataFrame) -> DataFrame:
     return tags.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["line"]), "\n").alias("body"))
 
 
-def ttk(docs: DataFrame, source_tags: DataFrame, tags: DataFrame) -> DataFrame:
+def ttk(docs: DataFrame, source_tags: DataFrame, tags: DataFrame, own: str = "own_tags") -> DataFrame:
     """(doc_id, ttk): docs has doc_id, text, dct, and perhaps comments (map<int,string>) and steps (XML)."""
     d = docs.join(ttk_body(source_tags).withColumnRenamed("body", "source"), "doc_id", "left").join(ttk_body(tags), "doc_id", "left")
     text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -43,7 +43,7 @@ def ttk(docs: DataFrame, source_tags: DataFrame, tags: DataFrame) -> DataFrame:
     if "comments" in docs.columns:
         comments = F.coalesce(F.concat(F.lit("<comments>\n"), F.array_join(F.transform(F.array_sort(F.map_entries("comments")), lambda x: F.concat(F.lit('  <comment offset="'), x["key"].cast("string"), F.lit('">'), quoted(x["value"]), F.lit("</comment>"))), "\n"), F.lit("\n</comments>\n")), F.lit(""))
     steps = F.coalesce(F.col("steps"), F.lit("")) if "steps" in docs.columns else F.lit("")
-    return d.select("doc_id", F.concat(F.lit("<ttk>\n<text>"), text, F.lit("</text>\n"), comments, F.lit('<metadata>\n  <dct value="'), F.coalesce(F.col("dct").cast("string"), F.lit("")), F.lit('"/>\n'), steps, F.lit("</metadata>\n<source_tags>\n"), F.coalesce("source", F.lit("")), F.lit("\n</source_tags>\n<tarsqi_tags>\n"), F.coalesce("body", F.lit("")), F.lit("\n</tarsqi_tags>\n</ttk>\n")).alias("ttk"))
+    return d.select("doc_id", F.concat(F.lit("<ttk>\n<text>"), text, F.lit("</text>\n"), comments, F.lit('<metadata>\n  <dct value="'), F.coalesce(F.col("dct").cast("string"), F.lit("")), F.lit('"/>\n'), steps, F.lit("</metadata>\n<source_tags>\n"), F.coalesce("source", F.lit("")), F.lit(f"\n</source_tags>\n<{own}>\n"), F.coalesce("body", F.lit("")), F.lit(f"\n</{own}>\n</ttk>\n")).alias("ttk"))
 
 
 def processing_step(version: str, commit: str, timestamp: str, components: list[str]) -> str:

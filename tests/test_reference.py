@@ -139,7 +139,7 @@ def test_pipeline_and_round_trips(spark, tmp_path):
     own = annotate.annotate(docs)
     written = writers.ttk(docs, own.filter("false"), own).select(F.col("doc_id").cast("string").alias("file"), F.col("ttk").alias("content"))
     back = {r["file"]: r for r in readers.parse(written).collect()}
-    assert back["1"]["text"] == docs.first()["text"] and back["1"]["error"] is None and len(back["1"]["tarsqi_tags"]) == own.filter("doc_id = 1").count()
+    assert back["1"]["text"] == docs.first()["text"] and back["1"]["error"] is None and len(back["1"]["own_tags"]) == own.filter("doc_id = 1").count()
     broken = readers.parse(spark.createDataFrame([("x", "<a><b></a>")], "file string, content string")).first()
     assert broken["error"]
     assert writers.html_documents(docs, own).count() == 3 and writers.knowtator_documents(docs, own).count() == 3
