@@ -396,7 +396,7 @@ def events(tokens: list[Token], groups: list[tuple[str, int, int]], nouns: set[s
         name, s, e = groups[k]
         if name == "vg":
             # have to, be going to, used to run over several chunks that touch
-            while k + 1 < len(groups) and groups[k + 1][0] == "vg" and groups[k + 1][1] == e and tokens[e].pos == "TO" and tokens[e - 1].lemma in ("have", "go", "use"):
+            while k + 1 < len(groups) and groups[k + 1][0] == "vg" and groups[k + 1][1] == e and tokens[e].pos == "TO" and (tokens[e - 1].lemma in ("have", "go") or (tokens[e - 1].text.lower() == "used" and tokens[e - 1].pos == "VBD")):
                 e = groups[k + 1][2]
                 k += 1
             v = verb_group(tokens[s:e])
