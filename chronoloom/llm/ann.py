@@ -3,7 +3,7 @@
 Vectors get one more dimension that makes all norms equal, so that the largest inner
 product is the least Euclidean distance, and are rotated at random, so that any few
 coordinates estimate the whole distance. k-means on a bounded sample gives the lists, about
-4 * sqrt(n), and, where the sample is too small for so many, k-means on what its centroids leave
+sqrt(n), and, where the sample is too small for so many, k-means on what its centroids leave
 over divides each list again; every vector is in one. A query probes its nearest lists, as many as reached
 `recall` on the sample by brute force (checked on at most `tune` queries). Within a
 list, distances grow column block by column block: after each, a candidate whose
@@ -88,7 +88,7 @@ class Lists:
             return
         rng = np.random.default_rng(seed)
         x = self.grown(sample)
-        self.coarse = kmeans(x, max(1, min(len(x) // 8, int(4 * math.sqrt(n)))))
+        self.coarse = kmeans(x, max(1, min(len(x) // 8, int(math.sqrt(n)))))
         parts = int(math.sqrt(n)) // len(self.coarse)
         if parts > 1:
             self.fine = kmeans(x - self.coarse[nearest(x, self.coarse, 1)[:, 0]], parts)
@@ -301,7 +301,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         groups[r["d"], r["g"]] = Lists(first, r["shift"], r["most"], some, r["n"], k, recall, tune)
         first += groups[r["d"], r["g"]].count
     vectors_in = cut(slim.select("vec_id", "v", "d", "g").mapInArrow(lambda it: _assign(it, groups), "vec_id long, v array<double>, list int"), "lists")
-    held = {r["list"]: r["n"] for r in vectors_in.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list, 4 * sqrt(n) a group
+    held = {r["list"]: r["n"] for r in vectors_in.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list, sqrt(n) a group
     size = np.array([held.get(i, 0) for i in range(first)], np.int64)
     asked = slim.filter(queries).select("vec_id", "v", "d").dropDuplicates(["vec_id", "v"]).mapInArrow(lambda it: _probe(it, groups, size, k), "vec_id long, v array<double>, list int")
     asked = cut(asked, "probes")
