@@ -79,7 +79,7 @@ def plan(n: int, bits: int, threshold: float, miss: float = 1e-4) -> tuple[int,
     log = np.array([math.lgamma(k + 1) for k in range(bits + 1)])  # of factorials
     h = np.arange(bits + 1)  # Hamming distance of a pair at the threshold
     chance = np.exp(log[bits] - log - log[::-1] + h * math.log(p) + (bits - h) * math.log(1 - p))
-    width = min(bits, max(6, min(32, math.ceil(math.log2(max(2, n))) - 3)))
+    width = min(bits, max(6, min(32, math.ceil(math.log2(max(2, n))) - 1)))
     while width > 1 and chance[bits - width + 1 :].sum() > miss / 2:  # short codes: too often no substring agrees
         width -= 1
     never = chance[bits - width + 1 :].sum()
