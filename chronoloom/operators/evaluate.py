@@ -99,8 +99,10 @@ def align(gold: DataFrame, system: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit("")).cast("long"))
 
 
-def alignment_counts(aligned: DataFrame) -> DataFrame:
-    """Strict (exact) and relaxed (exact or partial) counts."""
+def alignment_counts(aligned: DataFrame, limit: int | None = None) -> DataFrame:
+    """Strict (exact) and relaxed (exact or partial) counts; with `limit`, of that many documents by their ids."""
+    if limit is not None:
+        aligned = aligned.join(aligned.select("doc_id").distinct().orderBy("doc_id").limit(limit), "doc_id", "left_semi")
     s = status(F.col("g_begin"), F.col("g_end"), F.col("s_begin"), F.col("s_end"))
     n = lambda *x: F.sum(F.col("status").isin(*x).cast("int")).cast("long")
     return aligned.withColumn("status", s).agg(n("EXACT").alias("exact"), n("PARTIAL").alias("partial"), n("NO_MATCH_FP").alias("fp"), n("NO_MATCH_FN").alias("fn"))
@@ -124,3 +126,19 @@ def trend(results: DataFrame) -> DataFrame:
 def report(counts: DataFrame) -> Column:
     del counts
     return F.format_string("tp=%d fp=%d fn=%d precision=%.2f recall=%.2f f-score=%.2f", "tp", "fp", "fn", "precision", "recall", "f")
+
+
+def slink_cases(docs: DataFrame, sentences: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
+    """A case a subordination link: doc_id, relation, syntax, b1, e1, b2, e2 (within the sentence, its white space made single) and the sentence.
+
+    docs: doc_id, text. sentences: doc_id, begin, end. events: doc_id, eiid, begin, end. links: doc_id, src, tgt, relation, syntax.
+    """
+    a = events.select("doc_id", F.col("eiid").alias("src"), F.col("begin").alias("p1"), F.col("end").alias("q1"))
+    z = events.select("doc_id", F.col("eiid").alias("tgt"), F.col("begin").alias("p2"), F.col("end").alias("q2"))
+    s = sentences.select("doc_id", F.col("begin").alias("sb"), F.col("end").alias("se"))
+    rows = links.join(a, ["doc_id", "src"]).join(z, ["doc_id", "tgt"]).join(s, "doc_id").filter("sb <= p1 and se >= p1").join(docs.select("doc_id", "text"), "doc_id")
+    part = lambda b, e: F.substring(F.col("text"), F.col(b) + 1, F.col(e) - F.col(b))
+    rows = rows.withColumn("sentence", F.trim(F.regexp_replace(part("sb", "se"), r"\s+", " "))).withColumn("w1", part("p1", "q1")).withColumn("w2", part("p2", "q2"))
+    at = lambda w: F.expr(f"position({w}, sentence) - 1")
+    rows = rows.withColumn("b1", at("w1")).withColumn("b2", at("w2")).filter("b1 >= 0 and b2 >= 0")
+    return rows.select("doc_id", "relation", "syntax", "b1", (F.col("b1") + F.length("w1")).alias("e1"), "b2", (F.col("b2") + F.length("w2")).alias("e2"), "sentence")

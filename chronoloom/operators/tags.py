@@ -63,6 +63,14 @@ def remove(tags: DataFrame, name: str) -> DataFrame:
     return tags.filter(F.col("name") != name)
 
 
+def import_tags(tags: DataFrame, source: DataFrame, name: str) -> DataFrame:
+    """Tags with those of one name from another table, in its order after one's own."""
+    last = tags.groupBy("doc_id").agg(F.max("seq").alias("_m"))
+    more = find(source, name).join(last, "doc_id", "left")
+    place = F.coalesce("_m", F.lit(-1)) + F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))
+    return tags.unionByName(more.withColumn("seq", place.cast("int")).select(*tags.columns))
+
+
 def number(tags: DataFrame, prefix: str, to: str = "id") -> DataFrame:
     """Identifiers prefix1, prefix2, ... in tag order within each document."""
     return tags.withColumn(to, F.concat(F.lit(prefix), F.row_number().over(W.partitionBy("doc_id").orderBy(*order()))))
@@ -77,7 +85,7 @@ def rename_reserved(attrs: Column) -> Column:
     keys = F.map_keys(attrs)
 
     def name(k: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(1), F.lit(9)), lambda n: ~F.array_contains(keys, F.concat(k, F.lit("_"), n.cast("string"))))
+        free = F.filter(F.sequence(F.lit(1), F.size(keys) + 1), lambda n: ~F.array_contains(keys, F.concat(k, F.lit("_"), n.cast("string"))))
         return F.when(k.isin("begin", "end"), F.concat(k, F.lit("_"), F.element_at(free, 1).cast("string"))).otherwise(k)
 
     return F.transform_keys(attrs, lambda k, _: name(k))

@@ -101,3 +101,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m == 1, word).otherwise("x").alias("text"), F.when(m.isin(0, 3) & (F.col("l_partkey") % 5 > 0), F.concat(F.lit("ei"), n)).alias("eiid"),
         F.when((m == 2) & (F.col("l_partkey") % 3 > 0), F.concat(F.lit("t"), n)).alias("tid"),
     )
+
+
+#: Trees: a document an order, a token a line item; sentences of four tokens, noun groups of two, an event on odd tokens of some parts.
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n").cast("int")
+    l = lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), n.alias("n"), (n * 10).alias("begin"), (n * 10 + 5).alias("end"), ((n % 2 == 1) & (F.col("l_partkey") % 3 == 0)).alias("event"), "l_returnflag")  # noqa: E741
+    attrs = lambda *kv: F.map_from_arrays(F.array(*[F.lit(k) for k, _ in kv]), F.array(*[v for _, v in kv]))
+    lex = l.select("doc_id", F.lit("lex").alias("name"), "begin", "end", "n", attrs(("text", F.concat("l_returnflag", F.col("n").cast("string")))).alias("attrs"))
+    ev = l.filter("event").select("doc_id", F.lit("EVENT").alias("name"), "begin", "end", "n", attrs(("eid", F.concat(F.lit("e"), F.col("n").cast("string")))).alias("attrs"))
+    none = F.create_map().cast("map<string,string>")
+    groups = [l.groupBy("doc_id", F.floor((F.col("n") - 1) / k).alias("g")).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("n").alias("n")).select("doc_id", F.lit(name).alias("name"), "begin", "end", "n", none.alias("attrs")) for name, k in (("s", 4), ("ng", 2))]
+    return lex.unionByName(ev).unionByName(groups[0]).unionByName(groups[1]).withColumnRenamed("n", "seq")

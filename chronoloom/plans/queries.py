@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import allen, calendar, dates
-from ..operators import annotate, closure, convert, evaluate, tags, tlinks, vectors
+from ..operators import annotate, closure, convert, evaluate, navigate, tags, tlinks, vectors
 from ..sources import readers, writers
 from . import fixtures as X
 
@@ -140,6 +140,173 @@ def r11_add_event_unless_there(s, d):
     return tags.add_events(e, more).select("doc_id", "eiid")
 
 
+# Walking trees
+
+_TREE_SQL = X.LINES_SQL + ", tk AS (SELECT l_orderkey AS doc_id, CAST(n AS INT) AS n, n % 2 = 1 AND l_partkey % 3 = 0 AS event, l_returnflag || n AS text FROM li)"
+
+
+def _nodes(s, d):
+    return tags.tree(X.trees(s, d))
+
+
+@query(f"WITH {_TREE_SQL} SELECT doc_id, n * 10 AS \"begin\", 's-ng' || CASE WHEN event THEN '-EVENT' ELSE '' END || '-lex' AS syntax FROM tk")
+def r06_syntax_paths(s, d):
+    return navigate.syntax(_nodes(s, d)).filter("name = 'lex'").select("doc_id", "begin", "syntax")
+
+
+@query(f"WITH {_TREE_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS leaves FROM tk GROUP BY doc_id")
+def r06_leaves(s, d):
+    return navigate.leaves(_nodes(s, d)).groupBy("doc_id").agg(F.count("*").alias("leaves"))
+
+
+@query(f"WITH {_TREE_SQL} SELECT doc_id, (n - 1) // 2 * 20 + 10 AS \"begin\", 'e' || n AS eid FROM tk WHERE event")
+def r07_embedded_events(s, d):
+    t = _nodes(s, d)
+    e = navigate.embedded(t, "EVENT").select("doc_id", "node", F.col("attrs")["eid"].alias("eid"))
+    return t.join(e, ["doc_id", "node"]).select("doc_id", F.col("begin").cast("long").alias("begin"), "eid")
+
+
+@query(f"WITH {_TREE_SQL} SELECT doc_id, (n - 1) // 4 AS sentence, string_agg('e' || n, ' ' ORDER BY n) AS events FROM tk WHERE event GROUP BY ALL")
+def r08_event_lists(s, d):
+    t = _nodes(s, d)
+    e = navigate.event_list(t)
+    top = t.select("doc_id", F.col("node").alias("top"), ((F.col("begin") / 10 - 1) / 4).cast("int").alias("sentence"))
+    return e.join(top, ["doc_id", "top"]).select("doc_id", "sentence", F.array_join(F.transform("events", lambda x: x["eid"]), " ").alias("events"))
+
+
+@query(f"""WITH {_TREE_SQL}, k AS (SELECT *, lead(event) OVER (PARTITION BY doc_id ORDER BY n) AS nx FROM tk)
+SELECT doc_id, n * 10 AS "begin", CASE WHEN nx IS NULL THEN NULL WHEN n % 4 = 0 THEN 's' WHEN n % 2 = 0 THEN 'ng' WHEN nx THEN 'EVENT' ELSE 'lex' END AS name, CASE WHEN nx IS NOT NULL THEN (n + 1) * 10 END AS at FROM k""")
+def r09_next_nodes(s, d):
+    t = _nodes(s, d)
+    top = t.filter("name <> 'none'").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), F.col("name").alias("_name"), F.col("begin").alias("_at"))
+    x = navigate.next_node(t).filter("name = 'lex'")
+    return x.join(top, (x["doc_id"] == top["_d"]) & (x["next_node"] == top["_n"]), "left").select("doc_id", "begin", F.col("_name").alias("name"), F.col("_at").alias("at"))
+
+
+@query(f"WITH {_TREE_SQL} SELECT doc_id, (n - 1) // 4 AS sentence, string_agg(text, ' ' ORDER BY n) AS words FROM tk GROUP BY doc_id, (n - 1) // 4")
+def r10_words(s, d):
+    t = _nodes(s, d)
+    top = t.select("doc_id", F.col("node").alias("top"), ((F.col("begin") / 10 - 1) / 4).cast("int").alias("sentence"))
+    return navigate.words(t, "s").join(top, ["doc_id", "top"]).select("doc_id", "sentence", F.array_join("words", " ").alias("words"))
+
+
+@query(f"WITH {_TREE_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(*) FILTER (WHERE event) AS BIGINT) AS marked FROM tk GROUP BY doc_id")
+def r04_event_markers(s, d):
+    return navigate.event_markers(_nodes(s, d)).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count("eid").alias("marked"))
+
+
+_POS = "string_split('JJ JJR NN VBD VBZ VB IN TO RB MD', ' ')[CAST(o_orderkey % 10 + 1 AS INT)]"
+_WORD = "string_split('walk was Has run be did say of', ' ')[CAST(o_orderkey % 8 + 1 AS INT)]"
+
+
+@query(f"""SELECT o_orderkey AS k, CASE WHEN {_POS} IN ('JJ', 'JJR') THEN 'AdjectiveToken' ELSE 'Token' END AS class, {_POS} IN ('VBD', 'VBZ', 'VB') AND {_WORD} IN ('walk', 'run', 'say', 'of') AS main, {_POS} = 'IN' AS preposition FROM orders""")
+def r13_r14_token_predicates(s, d):
+    k = F.col("o_orderkey")
+    pick = lambda ws, m: F.element_at(F.array(*map(F.lit, ws.split())), (k % m + 1).cast("int"))
+    pos, word = pick("JJ JJR NN VBD VBZ VB IN TO RB MD", 10), pick("walk was Has run be did say of", 8)
+    return X.read(s, d, "orders").select(k.alias("k"), navigate.token_class(pos).alias("class"), navigate.is_main_verb(word, pos).alias("main"), navigate.is_preposition(pos).alias("preposition"))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS k, list(CASE l_partkey % 4 WHEN 0 THEN ',' WHEN 1 THEN 'RB' WHEN 2 THEN 'RP' ELSE 'VB' END ORDER BY n) AS pos, list(CAST(n AS INT) ORDER BY n) AS items FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS n FROM lineitem) GROUP BY l_orderkey)
+SELECT k, array_to_string(CASE WHEN list_contains(pos, ',') THEN list_concat(items[1 : list_position(pos, ',') - 1], items[len(pos) - list_position(list_reverse(pos), ',') + 2 :]) ELSE items END, ' ') AS left_over, NOT list_contains(pos, 'VB') AS adverbs FROM x""")
+def r16_r17_sequences(s, d):
+    p = F.col("l_partkey") % 4
+    tag = F.when(p == 0, ",").when(p == 1, "RB").when(p == 2, "RP").otherwise("VB")
+    x = X.lines(s, d).groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("n", tag.alias("pos")))).alias("x"))
+    pos, items = F.transform("x", lambda r: r["pos"]), F.transform("x", lambda r: r["n"].cast("int"))
+    return x.select("k", F.array_join(navigate.without_interjections(pos, items), " ").alias("left_over"), navigate.adverbs_only(pos).alias("adverbs"))
+
+
+@query(f"WITH {X.EVENTS_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS tags, CAST(max(r) AS INT) AS last FROM (SELECT doc_id, CASE WHEN o THEN seq ELSE m + row_number() OVER (PARTITION BY doc_id, o ORDER BY seq) END AS r FROM (SELECT doc_id, seq, true AS o, 0 AS m FROM ev UNION ALL SELECT doc_id, seq, false, max(seq) OVER (PARTITION BY doc_id) FROM ev WHERE seq % 2 = 0 OR true QUALIFY seq % 2 = 0)) GROUP BY doc_id")
+def d07_import_tags(s, d):
+    e = X.events(s, d).select("doc_id", "name", "begin", "end", "seq")
+    return tags.import_tags(e, e.filter("seq % 2 = 0"), "EVENT").groupBy("doc_id").agg(F.count("*").alias("tags"), F.max("seq").alias("last"))
+
+
+# Renderers
+
+
+def _spaced(s, d):
+    """Tokens of conversations split at spaces: doc_id, sentence, begin, end, text."""
+    c = X.read(s, d, "conversations").filter("text is not null").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sentence"), F.posexplode(F.split("text", " ")).alias("k", "text"))
+    return c.filter("text <> ''").withColumn("begin", F.col("k")).withColumn("end", F.col("k") + F.length("text"))
+
+
+_SPACED_SQL = "tk AS (SELECT conv_id AS doc_id, turn AS sentence, k, text FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS k FROM conversations WHERE text IS NOT NULL) WHERE text <> '')"
+
+
+@query(f"""WITH {_SPACED_SQL}, l AS (SELECT doc_id, sentence, string_agg(text, ' ' ORDER BY k) AS x, string_agg(text, chr(10) ORDER BY k) AS y FROM tk GROUP BY ALL)
+SELECT doc_id, md5(string_agg(x || ' ' || chr(10), '' ORDER BY sentence)) AS lines, md5(string_agg('<s>' || chr(10) || y || chr(10), '' ORDER BY sentence)) AS vertical FROM l GROUP BY doc_id""")
+def p07_renderers(s, d):
+    t = _spaced(s, d)
+    return writers.sentence_lines(t).withColumn("lines", F.md5("lines")).join(writers.vertical(t).select("doc_id", F.md5("lines").alias("vertical")), "doc_id")
+
+
+@query(f"""WITH {_SPACED_SQL}, b AS (SELECT doc_id, sentence, -1 AS k, '<s>' AS text FROM tk GROUP BY doc_id, sentence UNION ALL SELECT * FROM tk) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sentence, k) AS INT) AS n, text FROM b""")
+def p07_pairs(s, d):
+    return writers.pairs(_spaced(s, d)).select("doc_id", "n", "text")
+
+
+@query("SELECT doc_id, coalesce(text, '') AS value FROM documents")
+def s25_source_text(s, d):
+    return writers.source_text(X.read(s, d, "documents"))
+
+
+@query("SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS n, trim(regexp_replace(text, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS sentence FROM conversations WHERE text IS NOT NULL AND trim(text) <> ''")
+def s21_sentence_dump(s, d):
+    c = X.read(s, d, "conversations").filter("text is not null and trim(text) <> ''")
+    one = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    docs = one.select("doc_id", F.array_join(F.transform("x", lambda t: t["text"]), "").alias("text"), "x")
+    ends = F.expr("transform(x, (t, i) -> aggregate(slice(x, 1, i + 1), 0, (a, y) -> a + length(y.text)))")
+    sent = docs.select("doc_id", F.posexplode(F.arrays_zip(F.col("x"), ends.alias("end"))).alias("k", "z")).select("doc_id", (F.col("z.end") - F.length("z.x.text")).alias("begin"), F.col("z.end").alias("end"))
+    return writers.sentence_dump(docs, sent)
+
+
+# Other annotation formats
+
+
+@query("SELECT o_orderkey AS doc_id, n AS name, b AS \"begin\", x AS rel FROM orders, (VALUES ('TIMEX3', 0, NULL), ('EVENT', 11, NULL), ('TLINK', NULL, 'BEFORE'), ('TLINK', NULL, 'CONTAINS')) AS v(n, b, x)")
+def k02_thyme_reader(s, d):
+    xml = "<data><annotations><entity><id>t1</id><span>0,10</span><type>DOCTIME</type><properties/></entity><entity><id>e1</id><span>11,17</span><type>EVENT</type><properties><DocTimeRel>BEFORE</DocTimeRel></properties></entity><entity><id>e2</id><span>18,20;22,24</span><type>EVENT</type><properties/></entity><relation><id>1@r</id><type>TLINK</type><properties><Source>t1</Source><Type>CONTAINS</Type><Target>e1</Target></properties></relation></annotations></data>"
+    docs = X.read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" seized at noon")).alias("text"), F.lit(xml).alias("content"))
+    return convert.read_thyme(docs).select("doc_id", "name", "begin", F.col("attrs")["relType"].alias("rel"))
+
+
+@query("SELECT o_orderkey AS doc_id, n AS name, b AS \"begin\", x AS rel, y AS class FROM orders, (VALUES ('EVENT', 3, NULL, 'OCCURRENCE'), ('TLINK', NULL, 'AFTER', NULL), ('TIMEX3', 10, NULL, NULL)) AS v(n, b, x, y)")
+def k03_knowtator_reader(s, d):
+    xml = '<annotations><annotation><mention id="m1"/><span start="3" end="9"/></annotation><annotation><mention id="m2"/><span start="10" end="14"/></annotation><classMention id="m1"><mentionClass id="Event"/><hasSlotMention id="x1"/><hasSlotMention id="x2"/></classMention><classMention id="m2"><mentionClass id="Timex3"/></classMention><stringSlotMention id="x1"><mentionSlot id="class"/><stringSlotMentionValue value="OCCURRENCE"/></stringSlotMention><complexSlotMention id="x2"><mentionSlot id="AFTER"/><complexSlotMentionValue value="m2"/></complexSlotMention></annotations>'
+    docs = X.read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("he walked 1998").alias("text"), F.lit(xml).alias("content"))
+    return convert.read_knowtator(docs).select("doc_id", "name", "begin", F.col("attrs")["relType"].alias("rel"), F.col("attrs")["class"].alias("class"))
+
+
+@query(f"WITH {X.EVENTS_SQL}, x AS (SELECT DISTINCT doc_id, b, e FROM ev), f AS (SELECT DISTINCT doc_id, b, e FROM ev WHERE seq % 3 > 0) SELECT x.doc_id, CAST(count(*) AS BIGINT) AS given, CAST(count(f.b) AS BIGINT) AS found, 100 * count(f.b) / count(*) AS percent FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.b = x.b AND f.e = x.e GROUP BY x.doc_id")
+def e26_imported_share(s, d):
+    e = X.events(s, d)
+    return convert.imported_share(e.filter("seq % 3 > 0"), e)
+
+
+@query("SELECT user_id, CAST(length(regexp_extract(x, '^v*(c|p)+')) AS INT) AS n, regexp_full_match(x, '[vc]*') AS whole FROM (SELECT user_id, string_agg(event_type[1:1], '' ORDER BY ts, event_id) AS x FROM events GROUP BY user_id)")
+def a02_string_patterns(s, d):
+    from ..functions import fsa
+
+    one, two = fsa.compile_regex("v*(c|p)+"), fsa.compile_regex("[vc]*")
+    x = X.read(s, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda r: F.left(r["event_type"], F.lit(1))), "").alias("x"))
+    longest, whole = F.udf(lambda t: one.longest(t), "int", useArrow=True), F.udf(lambda t: two.accepts(t), "boolean", useArrow=True)
+    return x.select("user_id", longest("x").alias("n"), whole("x").alias("whole"))
+
+
+@query(f"WITH {X.LINES_SQL} SELECT l_orderkey AS doc_id, strftime(l_shipdate, '%Y%m%d') AS dct FROM li WHERE n = 1")
+def s13_date_tag_creation_time(s, d):
+    t = X.lines(s, d).select(F.col("l_orderkey").alias("doc_id"), F.lit("DATE").alias("name"), F.col("n").alias("seq"), F.create_map(F.lit("value"), F.date_format("l_shipdate", "yyyyMMdd")).alias("attrs"))
+    return readers.date_tag_creation_time(t)
+
+
+@query("SELECT o_orderkey AS k, array_to_string(CASE WHEN o_orderkey % 2 = 0 THEN ['s' || o_orderkey, 't1', 't2'] ELSE ['t1', 't2'] END, ' ') AS steps FROM orders")
+def s16_processing_steps(s, d):
+    k = F.col("o_orderkey")
+    return X.read(s, d, "orders").select(k.alias("k"), F.array_join(readers.processing_steps(F.array(F.lit("t1"), F.lit("t2")), F.when(k % 2 == 0, F.array(F.concat(F.lit("s"), k)))), " ").alias("steps"))
+
+
 # Sources and sinks
 
 

@@ -168,9 +168,28 @@ def parse(contents: DataFrame, kind: str | None = None) -> DataFrame:
     return contents.select("file", "content").mapInArrow(lambda it: _parse(it, kind), DOCUMENT)
 
 
+def stdin(spark: SparkSession, stream=None) -> DataFrame:  # noqa: ANN001
+    """One document from a pipe, (file, content)."""
+    import sys
+
+    return spark.createDataFrame([("stdin", (stream or sys.stdin).read())], "file string, content string")
+
+
+def processing_steps(own: Column, source: Column) -> Column:
+    """The history of a document: the steps that its source brings, then its own."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(source, none), F.coalesce(own, none))
+
+
 # Creation times
 
 
+def date_tag_creation_time(tags: DataFrame) -> DataFrame:
+    """The value of a document's first DATE tag: doc_id, dct."""
+    t = tags.filter(F.col("name") == "DATE")
+    return t.groupBy("doc_id").agg(F.min_by(F.col("attrs")["value"], "seq").alias("dct"))
+
+
 def first_tag_text(text: Column, tags: Column, name: str) -> Column:
     """The text of the first source tag of a name, stripped; null without one."""
     t = F.try_element_at(F.filter(tags, lambda x: x["name"] == name), F.lit(1))

@@ -128,3 +128,59 @@ def knowtator(text: str, tags: list[dict]) -> str:
 
 def knowtator_documents(docs: DataFrame, tags: DataFrame) -> DataFrame:
     return _written(docs, tags, knowtator, "xml")
+
+
+# Tokenised text. `tokens`: doc_id, sentence, begin, end, text
+
+
+def _by_sentence(tokens: DataFrame, shown: Column, between: str) -> DataFrame:
+    one = tokens.groupBy("doc_id", "sentence").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", shown.alias("x")))), lambda t: t["x"]), between).alias("x"))
+    return one
+
+
+def _joined(sentences: DataFrame, line: Column, to: str) -> DataFrame:
+    return sentences.withColumn("_l", line).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence", "_l"))), lambda s: s["_l"]), "").alias(to))
+
+
+def sentence_lines(tokens: DataFrame) -> DataFrame:
+    """(doc_id, lines): a sentence a line, each token followed by a space."""
+    return _joined(_by_sentence(tokens, F.col("text"), " "), F.concat("x", F.lit(" \n")), "lines")
+
+
+def vertical(tokens: DataFrame) -> DataFrame:
+    """(doc_id, lines): <s> before each sentence, then a token a line."""
+    return _joined(_by_sentence(tokens, F.col("text"), "\n"), F.concat(F.lit("<s>\n"), "x", F.lit("\n")), "lines")
+
+
+def token_xml(tokens: DataFrame) -> DataFrame:
+    """(doc_id, lines): s elements around lex elements with their offsets."""
+    lex = F.concat(F.lit("  <lex begin='"), F.col("begin").cast("string"), F.lit("' end='"), F.col("end").cast("string"), F.lit("'>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</lex>\n"))
+    return _joined(_by_sentence(tokens, lex, ""), F.concat(F.lit("<s>\n"), "x", F.lit("</s>\n")), "lines")
+
+
+def pairs(tokens: DataFrame) -> DataFrame:
+    """Tokens as a tagger takes them, a row each in order: doc_id, n, text, begin, end; <s> without offsets opens each sentence."""
+    from pyspark.sql import Window as W
+
+    none = F.lit(None).cast("int")
+    opening = tokens.select("doc_id", "sentence").distinct().select("doc_id", "sentence", F.lit("<s>").alias("text"), none.alias("begin"), none.alias("end"))
+    both = opening.unionByName(tokens.select("doc_id", "sentence", "text", "begin", "end"))
+    return both.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("sentence", F.col("begin").asc_nulls_first()))).select("doc_id", "n", "text", "begin", "end")
+
+
+def sentence_dump(docs: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, n, sentence): the text of each sentence, white space made single spaces. docs: doc_id, text; sentences: doc_id, begin, end."""
+    from pyspark.sql import Window as W
+
+    s = sentences.select("doc_id", "begin", "end").withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("begin")))
+    return s.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "n", F.regexp_replace(F.trim(F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin"))), r"\s+", " ").alias("sentence"))
+
+
+def source_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, value): what a document's text file holds."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write the only string column of a table, a row a line: vectors, dumps, logs."""
+    lines.write.mode("errorifexists").text(path)
