@@ -166,3 +166,79 @@ def test_alignment_against_brute_force(spark):
 
 def test_rule_files():
     assert tlinks.parse_rules("# x\nruleNum=5-1\n  class=REPORTING\n  tense=(PAST|PRESENT)\n") == [{"ruleNum": "5-1", "class": ["REPORTING"], "tense": ["PAST", "PRESENT"]}]
+
+
+def test_rows_without_a_document_id(spark):
+    from chronoloom.operators import closure, evaluate
+
+    links = spark.createDataFrame([(None, "a", "b", "<", 1, 0), (None, "b", "c", "<", 2, 0), (7, "a", "b", "<", 1, 0)], "doc_id long, src string, tgt string, relations string, seq int, rank int")
+    got = {(r["doc_id"], r["src"], r["tgt"], r["relations"]) for r in closure.propagate(links).collect()}
+    assert (None, "a", "c", "<") in got and (7, "b", "a", ">") in got and len(got) == 8
+    spans = spark.createDataFrame([(None, 1, 5), (3, 1, 5)], "doc_id long, begin int, end int")
+    rows = evaluate.align(spans, spans.filter("doc_id is null")).collect()
+    assert sorted((str(r["doc_id"]), r["g_begin"], r["s_begin"]) for r in rows) == [("3", 1, None), ("None", 1, 1)]
+
+
+def test_alignment_counts_against_a_walk(spark):
+    import random
+
+    from chronoloom.operators import evaluate
+
+    rnd = random.Random(4)
+    spans = lambda: sorted({(a, a + rnd.randint(1, 6)) for a in rnd.sample(range(200), 25)})
+    gold, system = ({d: spans() for d in range(20)} for _ in range(2))
+    want = {"exact": 0, "partial": 0, "fp": 0, "fn": 0}
+    for d in gold:
+        g, s = list(gold[d]), list(system[d])
+        while g or s:
+            if g and s and g[0][0] < s[0][1] and s[0][0] < g[0][1]:
+                want["exact" if g.pop(0) == s.pop(0) else "partial"] += 1
+            elif not s or (g and g[0] < s[0]):
+                g.pop(0)
+                want["fn"] += 1
+            else:
+                s.pop(0)
+                want["fp"] += 1
+    frame = lambda x: spark.createDataFrame([(d, *b) for d, bs in x.items() for b in bs], "doc_id long, begin int, end int")
+    aligned = evaluate.align(frame(gold), frame(system))
+    assert evaluate.alignment_counts(aligned).first().asDict() == want
+    assert sum(evaluate.alignment_counts(aligned, limit=3).first()) < sum(want.values())
+
+
+def test_classifier_stage_needs_a_model(spark):
+    with pytest.raises(ValueError):
+        pipeline.classifier(spark.createDataFrame([], annotate.TAGS), pipeline.Options())
+
+
+SENTENCES = [
+    ("We are going to maintain our house.", {"maintain": ("FUTURE", "NONE")}),
+    ("Prices have become a burden.", {"become": ("PRESENT", "PERFECTIVE")}),
+    ("Residents became alarmed.", {"became": ("PAST", "NONE"), "alarmed": ("NONE", "NONE")}),
+    ("The rain continued unabated.", {"continued": ("PAST", "NONE"), "unabated": ("NONE", "NONE")}),
+    ("Shares will continue losing their value.", {"continue": ("FUTURE", "NONE"), "losing": ("PRESPART", "NONE")}),
+    ("He may calculate it.", {"calculate": ("NONE", "NONE")}),
+    ("They had to move.", {"move": ("PAST", "NONE")}),
+]
+
+
+@pytest.mark.parametrize("text, want", SENTENCES)
+def test_verbs_in_context(text, want):
+    got = {text[b:e]: (a["tense"], a["aspect"]) for name, b, e, a in annotate.annotate_text(text) if name == "EVENT"}
+    assert {k: got.get(k) for k in want} == want
+
+
+def test_nouns_that_are_events_when_definite():
+    events = lambda t: [t[b:e] for name, b, e, _ in annotate.annotate_text(t) if name == "EVENT"]
+    assert events("There was the absence of rain.") == ["absence"] and events("There was an absence of rain.") == []
+
+
+def test_standard_input_and_walks(spark):
+    import io
+
+    from chronoloom.operators import navigate
+
+    assert readers.stdin(spark, io.StringIO("some text")).first()["content"] == "some text"
+    rows = [(["he", ",", "I", "think", ",", "goes"], ["PRP", ",", "PRP", "VBP", ",", "VBZ"]), (["a", "b"], ["DT", "NN"]), ([], [])]
+    df = spark.createDataFrame(rows, "items array<string>, pos array<string>")
+    got = [r[0] for r in df.select(navigate.without_interjections(F.col("pos"), F.col("items"))).collect()]
+    assert got == [["he", "goes"], ["a", "b"], []]
