@@ -214,11 +214,12 @@ def forward(seq: np.ndarray, count: np.ndarray, chain: Chain, emit: np.ndarray)
     order, begin, active = _columns(count)
     total = np.zeros(len(count))
     a = None
+    table, back, first = np.ascontiguousarray(emit.T), np.ascontiguousarray(chain.move.T), chain.start[:, None]
     for t, k in enumerate(active.tolist()):
-        e = emit[seq[begin[:k] + t]]
-        a = e * chain.start if t == 0 else (a[:k] @ chain.move) * e
-        scale = a.sum(1)
-        a /= scale[:, None]
+        e = table[:, seq[begin[:k] + t]]
+        a = e * first if t == 0 else (back @ a[:, :k]) * e
+        scale = a.sum(0)
+        a /= scale
         total[:k] += np.log10(scale)
     out = np.empty(len(count))
     out[order] = total
@@ -226,9 +227,13 @@ def forward(seq: np.ndarray, count: np.ndarray, chain: Chain, emit: np.ndarray)
 
 
 def expected(seq: np.ndarray, count: np.ndarray, chain: Chain, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions of whole sequences, and their log10 likelihood."""
+    """Expected starts, transitions and emissions of whole sequences, and their log10 likelihood.
+
+    A row a state and a column a token, by step: all sequences of a batch go a step at a time.
+    """
     start, move, counts, likelihood = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(emit), STATES)), 0.0
-    table, a_move = emit.astype(np.float32), chain.move.astype(np.float32)
+    table, there = np.ascontiguousarray(emit.T, np.float32), chain.move.astype(np.float32)
+    back, first = np.ascontiguousarray(there.T), chain.start.astype(np.float32)[:, None]
     begins = np.cumsum(count) - count
     by_length = np.argsort(-count, kind="stable")
     # sequences of like lengths together, so many tokens at a time
@@ -236,32 +241,33 @@ def expected(seq: np.ndarray, count: np.ndarray, chain: Chain, emit: np.ndarray)
     for mine in np.split(by_length, np.flatnonzero(np.diff(part)) + 1) if len(count) else []:
         begin, sizes = begins[mine], count[mine]
         active = (len(mine) - np.searchsorted(np.sort(sizes), np.arange(int(sizes[0])), "right")).tolist()
-        alphas, scales, a = [], [], None
+        edge = np.concatenate([[0], np.cumsum(active)]).tolist()
+        spots = np.concatenate([seq[begin[:k] + t] for t, k in enumerate(active)]).astype(np.intp)
+        e = table[:, spots]
+        alpha, scale, a = np.empty_like(e), np.empty(len(spots), np.float32), None
         for t, k in enumerate(active):
-            e = table[seq[begin[:k] + t]]
-            a = e * chain.start.astype(np.float32) if t == 0 else (a[:k] @ a_move) * e
-            s = a.sum(1)
-            a /= s[:, None]
-            alphas.append(a)
-            scales.append(s)
-        likelihood += float(np.log10(np.concatenate(scales).astype(np.float64)).sum())
-        beta = np.ones((len(mine), STATES), np.float32)
-        spots, weights = [], []
+            lo, hi = edge[t], edge[t + 1]
+            x = first * e[:, lo:hi] if t == 0 else (back @ a[:, :k]) * e[:, lo:hi]
+            s = x.sum(0)
+            x /= s
+            alpha[:, lo:hi], scale[lo:hi], a = x, s, x
+        likelihood += float(np.log10(scale.astype(np.float64)).sum())
+        beta = np.ones((STATES, len(mine)), np.float32)
         for t in range(len(active) - 1, -1, -1):
-            k = active[t]
-            gamma = alphas[t] * beta[:k]
-            gamma /= gamma.sum(1, keepdims=True)
-            spot = seq[begin[:k] + t]
-            spots.append(spot)
-            weights.append(gamma)
+            lo, hi, k = edge[t], edge[t + 1], active[t]
+            here = alpha[:, lo:hi]
             if t:
-                e = table[spot] * beta[:k] / scales[t][:, None]
-                move += alphas[t - 1][:k].T @ e
-                beta[:k] = e @ a_move.T
-        start += gamma.sum(0)
-        spot, weight = np.concatenate(spots), np.concatenate(weights)
+                w = e[:, lo:hi] * beta[:, :k]
+                w /= scale[lo:hi]
+                move += alpha[:, edge[t - 1] : edge[t - 1] + k] @ w.T
+                here *= beta[:, :k]
+                beta[:, :k] = there @ w
+            else:
+                here *= beta[:, :k]
+        alpha /= alpha.sum(0)  # now what each state is expected to have emitted
+        start += alpha[:, : edge[1]].sum(1)
         for s in range(STATES):
-            counts[:, s] += np.bincount(spot, weight[:, s], len(emit))
+            counts[:, s] += np.bincount(spots, alpha[s], len(emit))
     return start, move * chain.move, counts, likelihood
 
 
