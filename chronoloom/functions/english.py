@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 PUNCT = set(".,!?'`\";:][(){}<>")
 ENDERS = set(".?!")
@@ -128,6 +129,7 @@ _NOUN_VERBS = set("attack strike order support fence block turn drop bid trade d
 _LINKING = {"become", "remain", "seem", "look", "feel", "stay"}
 
 
+@lru_cache(1 << 17)
 def lemma(word: str, pos: str) -> str:
     w = word.lower()
     if w in _IRREGULAR and pos[:1] in ("V", "M"):
@@ -150,6 +152,7 @@ def strip_plural(word: str) -> str:
     return word[:-2] if word.endswith("sses") else word[:-1] if word.endswith("s") and not word.endswith("ss") else word
 
 
+@lru_cache(1 << 17)
 def _guess(word: str, first: bool) -> str:
     low = word.lower()
     if word in _MONTHS or word in _DAYS:
