@@ -473,6 +473,63 @@ def n03_n40_n41_durations(s, d):
     return annotate.timexes(annotate.annotate(docs, ("GUTIME",))).select("doc_id", "type", "value")
 
 
+_O = "(SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS d, isodow(CAST(o_orderdate AS DATE)) AS w FROM orders)"
+
+
+def _times_of(s, d, sentences: list, n: int):
+    """Times in sentences (columns or strings), the order's date being the document's: doc_id, type, value, mod, every."""
+    forms = [x if not isinstance(x, str) else F.lit(x) for x in sentences]
+    o = X.read(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.element_at(F.array(*forms), (F.col("o_orderkey") % n + 1).cast("int")).alias("text"), F.col("o_orderdate").cast("date").alias("dct"))
+    a = F.col("attrs")
+    return annotate.of(annotate.annotate(o, ("GUTIME",)), "TIMEX3").select("doc_id", a["type"].alias("type"), a["value"].alias("value"), a["MOD"].alias("mod"), a["PERIODICITY"].alias("every"))
+
+
+@query(f"""SELECT doc_id, strftime(CASE doc_id % 4 WHEN 0 THEN d - to_days(CAST((w + 5) % 7 + 1 AS INT)) WHEN 1 THEN d + to_days(CAST((11 - w) % 7 + 1 AS INT)) WHEN 2 THEN d - to_days(CAST((w + 1) % 7 + 1 AS INT)) ELSE d + to_days(CAST((7 - w) % 7 + 1 AS INT)) END, '%Y%m%d') AS value FROM {_O}""")
+def n08_n23_n24_days_of_the_week(s, d):
+    return _times_of(s, d, ["It came on Monday.", "It will come on Friday.", "It came last Friday.", "It comes next Monday."], 4).select("doc_id", "value")
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN strftime(d - 1, '%Y%m%d') WHEN 1 THEN strftime(d, '%Y%m%d') || 'TNI' WHEN 2 THEN strftime(d - 1, '%Y%m%d') || 'TNI' WHEN 3 THEN strftime(d - 2, '%Y%m%d') WHEN 4 THEN strftime(date_trunc('month', d) - to_months(1), '%Y%m') WHEN 5 THEN CAST(year(d) + 1 AS VARCHAR)
+WHEN 6 THEN CASE WHEN isoyear(d) > year(d) THEN year(d) || 'W53' ELSE isoyear(d) || 'W' || lpad(CAST(weekofyear(d) AS VARCHAR), 2, '0') END ELSE CAST(year(d) + 2 AS VARCHAR) END AS value FROM {_O}""")
+def n09_n10_n12_n18_near_the_document(s, d):
+    return _times_of(s, d, ["It came yesterday.", "It came tonight.", "It came last night.", "It came the day before yesterday.", "It came last month.", "It comes next year.", "It came this week.", "It comes the year after next."], 8).select("doc_id", "value")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) AS INT) AS y FROM orders)
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN y || '1225' WHEN 1 THEN y || '0101' WHEN 2 THEN y || '1031' WHEN 3 THEN y || '0704'
+WHEN 4 THEN strftime(make_date(y, 11, 1) + to_days(CAST((11 - isodow(make_date(y, 11, 1))) % 7 + 21 AS INT)), '%Y%m%d') ELSE strftime(make_date(y, 9, 1) + to_days(CAST((8 - isodow(make_date(y, 9, 1))) % 7 AS INT)), '%Y%m%d') END AS value FROM o""")
+def n14_holidays(s, d):
+    y = F.concat(F.lit(" "), F.year("o_orderdate").cast("string"), F.lit("."))
+    return _times_of(s, d, [F.concat(F.lit(f"It came on {h}"), y) for h in ("Christmas", "New Year's Day", "Halloween", "Independence Day", "Thanksgiving", "Labor Day")], 6).select("doc_id", "value")
+
+
+@query("""SELECT o_orderkey AS doc_id, string_split('F1D F1W F1M F1Y F1M F1D F1W', ' ')[CAST(o_orderkey % 7 + 1 AS INT)] AS every FROM orders""")
+def n17_n28_sets(s, d):
+    return _times_of(s, d, ["It came every day.", "It came every week.", "It came each month.", "It came annually.", "It came monthly.", "It came daily.", "It came weekly."], 7).select("doc_id", "every")
+
+
+@query(f"""SELECT doc_id, 'TIME' AS type, strftime(d, '%Y%m%d') || CASE doc_id % 6 WHEN 0 THEN 'T' || (doc_id % 11 + 13) || '00' WHEN 1 THEN 'T0' || (doc_id % 9 + 1) || '30' WHEN 2 THEN 'T1200' WHEN 3 THEN 'T2400' WHEN 4 THEN 'T1330' ELSE 'T1430' END AS value FROM {_O}""")
+def n19_n29d_clock_times(s, d):
+    k = F.col("o_orderkey")
+    return _times_of(s, d, [F.concat(F.lit("It came at "), k % 11 + 1, F.lit(" pm.")), F.concat(F.lit("It came at "), k % 9 + 1, F.lit(":30 am.")), "It came at noon.", "It came at midnight.", "It came at 13:30.", "It came at 1430 hours."], 6).select("doc_id", "type", "value")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey % 9 + 10 AS VARCHAR) WHEN 1 THEN 'FUTURE_REF' WHEN 2 THEN 'PAST_REF' WHEN 3 THEN 'PRESENT_REF' WHEN 4 THEN '199' ELSE 'PRESENT_REF' END AS value FROM orders""")
+def n15_n16_n20_n27_references(s, d):
+    century = F.concat(F.lit("It came in the "), F.col("o_orderkey") % 9 + 11, F.lit("th century."))
+    return _times_of(s, d, [century, "It is the future.", "It was the past.", "It is now.", "It came in the nineties.", "It is currently here."], 6).select("doc_id", "value")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 9 + 2 AS n FROM orders)
+SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'P' || 7 * n || 'D' WHEN 1 THEN 'P' || n || 'Y' WHEN 2 THEN 'P' || n || 'D' WHEN 3 THEN 'PXM' WHEN 4 THEN 'P' || n || 'M' WHEN 5 THEN 'P10Y' WHEN 6 THEN 'P' || 7 * n || 'D' WHEN 7 THEN 'P' || n || 'Y' WHEN 8 THEN 'P' || 7 * n || 'D' ELSE 'P' || n || 'Y' END AS value,
+CASE doc_id % 10 WHEN 0 THEN 'MORE_THAN' WHEN 1 THEN 'EQUAL_OR_MORE' WHEN 2 THEN 'EQUAL_OR_LESS' WHEN 8 THEN 'APPROX' END AS mod FROM o""")
+def n03_n29e_duration_patterns(s, d):
+    n = (F.col("o_orderkey") % 9 + 2).cast("string")
+    say = lambda a, b: F.concat(F.lit("It took " + a), n, F.lit(b + "."))
+    forms = [say("more than ", " weeks"), say("at least ", " years"), say("no more than ", " days"), "It took a few months.", say("the last ", " months"), "It took a decade.", say("another ", " weeks"), say("the first ", " years"), say("about ", " weeks"), say("a ", "-year loan")]
+    return _times_of(s, d, forms, 10).select("doc_id", "value", "mod")
+
+
 def _orders(s, d):
     return X.read(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"))
 
