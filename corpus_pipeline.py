@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.3 or more; the others go."""
+    """Documents that the classifier scores at 0.3 or more; the others go.
+
+    Null and empty texts have no features and go or stay by the intercept; rows that repeat are scored alike; an empty table stays one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.train(docs, labels), 0.3)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that at least 10 documents hold; n_chars follows the text where there is such a column."""
+    """All documents, without the lines that at least 10 documents hold; n_chars follows the text where there is such a column.
+
+    A null text has no lines to lose and stays null; rows that repeat a doc_id with the same text are one document when lines are counted.
+    """
     out = linededup.apply(docs, linededup.keep_bitmaps(docs, min_docs=10, min_chars=1))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -42,7 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix: each as often as the schedule takes the block that holds its middle word.
 
     A document may come twice at most, and one whose block isn't taken, or without
-    words, not at all. Rows that agree in source, doc_id and size come equally often.
+    words (null and empty texts), not at all. A null source is a source of its own, the last one. Rows that agree in
+    source, doc_id and size come equally often.
     """
     rows, _, slots = mixing.plan(docs)
     middle = rows.filter("size > 0").selectExpr("s", "source", "doc_id", "size", "(start + size div 2) div 64 as block", "(start + size div 2) % 64 as at")
@@ -57,7 +64,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their decoding, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Token ids and their decoding, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null text counts as empty: no ids, and the digests of nothing. Rows that repeat are encoded each.
+    """
     return bpe.report(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
