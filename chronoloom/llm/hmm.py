@@ -336,11 +336,13 @@ def _score(left: pa.Table, right: pa.Table, chain: Chain) -> pa.Table:
     return pa.Table.from_arrays(columns, schema=_RESULT)
 
 
-def _parted(df: DataFrame, key: str, parts: int, tag: str) -> tuple[DataFrame, str]:
-    """Written in `parts` parts by key, so that a meeting on that key doesn't move it; (table, its name)."""
+def _parted(df: DataFrame, key: str, parts: int, tag: str) -> DataFrame:
+    """Written in `parts` parts by key, so that a meeting on that key doesn't move it. The catalog forgets its name at once; the files stay for the session."""
     name = f"chronoloom_{tag}_{uuid.uuid4().hex}"
     df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", shared(df.sparkSession, tag)).mode("overwrite").saveAsTable(name)
-    return df.sparkSession.table(name), name
+    out = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    return out
 
 
 def _with(f: Callable, chain: Chain) -> Callable:
@@ -359,8 +361,8 @@ def score(docs: DataFrame, held_out=None, tolerance: float = TOLERANCE) -> DataF
     packed = cut(slim.mapInArrow(lambda it: _pack(it, buckets), PACKED), "packed")
     words = packed.filter(F.col("kind") == WORDS).repartition(min(buckets, max(1, size // (8 << 20))), "bucket").sortWithinPartitions("bucket", "chunk")
     members = words.mapInArrow(_members, MEMBERS + ", shares binary")
-    members, members_name = _parted(members, "bucket", buckets, "members")
-    texts, texts_name = _parted(packed.filter(F.col("kind") == TEXTS).select("chunk", "a", "b", "ids"), "chunk", chunks, "texts")
+    members = _parted(members, "bucket", buckets, "members")
+    texts = _parted(packed.filter(F.col("kind") == TEXTS).select("chunk", "a", "b", "ids"), "chunk", chunks, "texts")
     drop(packed)
     n, v = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     chain = Chain(n, v)
