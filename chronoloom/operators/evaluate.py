@@ -142,3 +142,21 @@ def slink_cases(docs: DataFrame, sentences: DataFrame, events: DataFrame, links:
     at = lambda w: F.expr(f"position({w}, sentence) - 1")
     rows = rows.withColumn("b1", at("w1")).withColumn("b2", at("w2")).filter("b1 >= 0 and b2 >= 0")
     return rows.select("doc_id", "relation", "syntax", "b1", (F.col("b1") + F.length("w1")).alias("e1"), "b2", (F.col("b2") + F.length("w2")).alias("e2"), "sentence")
+
+
+def html_rows(table: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, html): a table row for each row of a table, its cells being these columns as text; null is an empty cell. Write them between HEAD and TAIL."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = [F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in columns]
+    return table.select(F.col(columns[0]).alias("row"), F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
+
+
+HEAD, TAIL = "<html><body><table>", "</table></body></html>"
+
+
+def graph_html(edges: DataFrame) -> DataFrame:
+    """(doc_id, html): a document's graph of links as a page with a row an edge: source, relations, target, where it comes from."""
+    safe = lambda c: F.replace(F.replace(F.col(c), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    line = F.concat(F.lit("<tr><td>"), "src", F.lit("</td><td>"), safe("relations"), F.lit("</td><td>"), "tgt", F.lit("</td><td>"), "source", F.lit("</td></tr>"))
+    out = edges.withColumn("_l", line).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "tgt", "_l"))), lambda x: x["_l"]), "").alias("_b"))
+    return out.select("doc_id", F.concat(F.lit(HEAD), "_b", F.lit(TAIL)).alias("html"))

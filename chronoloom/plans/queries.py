@@ -883,6 +883,11 @@ def m01_confidence(s, d):
     return X.read(s, d, "orders").select(k.alias("k"), closure.confidence(origin).alias("trust"))
 
 
+@query(f"""WITH {_CHAIN_SQL} SELECT a.doc_id, '<html><body><table>' || string_agg('<tr><td>' || a.id || '</td><td>' || CASE WHEN a.n < b.n THEN '&lt;' ELSE '&gt;' END || '</td><td>' || b.id || '</td><td>' || CASE WHEN b.n = a.n + 1 THEN 'user' WHEN b.n = a.n - 1 THEN 'user-inverted' ELSE 'closure' END || '</td></tr>', '' ORDER BY a.id, b.id) || '</table></body></html>' AS html FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.n <> b.n GROUP BY a.doc_id""")
+def m14_graph_pages(s, d):
+    return evaluate.graph_html(closure.propagate(_chain(s, d)))
+
+
 # Conversion and evaluation
 
 
@@ -958,6 +963,11 @@ def x13_trend(s, d):
     return evaluate.trend(runs.select("identifier", "r.run", "r.result"))
 
 
+@query("""SELECT 'c' || o_orderkey AS row, '<tr><td>c' || o_orderkey || '</td><td>' || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '+' END || '</td><td>' || CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE '+' END || '</td></tr>' AS html FROM orders""")
+def x13_trend_rows(s, d):
+    return evaluate.html_rows(x13_trend(s, d), ["identifier", "2015", "2020"])
+
+
 @query("""WITH o AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y') AS y FROM orders), l AS (
 SELECT doc_id, 'ei2' AS src, 't1' AS tgt, 'IS_INCLUDED' AS relation FROM o UNION ALL SELECT doc_id, 'ei3', 'ei4', 'AFTER' FROM o UNION ALL SELECT doc_id, 'ei4', 'ei5', 'BEFORE' FROM o UNION ALL SELECT doc_id, 'ei5', 't2', 'BEFORE' FROM o
 UNION ALL SELECT doc_id, 't1', 't2', CASE WHEN y < '1996' THEN 'BEFORE' WHEN y > '1996' THEN 'AFTER' ELSE 'IS_INCLUDED' END FROM o)

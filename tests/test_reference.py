@@ -242,3 +242,10 @@ def test_standard_input_and_walks(spark):
     df = spark.createDataFrame(rows, "items array<string>, pos array<string>")
     got = [r[0] for r in df.select(navigate.without_interjections(F.col("pos"), F.col("items"))).collect()]
     assert got == [["he", "goes"], ["a", "b"], []]
+
+
+def test_automaton_as_graphviz_and_string_patterns():
+    text = fsa.dot(fsa.compile_pattern(["a", "*", "b"]))
+    assert text.startswith("digraph") and "doublecircle" in text and 'label="b"' in text
+    r = fsa.compile_regex("ab*")
+    assert (r.accepts("abb"), r.longest("abbc"), r.shortest("abbc"), r.longest("c")) == (True, 3, 1, 0)
