@@ -70,13 +70,14 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, how
 
     A hot key is split: its left rows get one of as many salts as it has parts of HOT
     of all rows, and its right row comes once a salt. Of the hot keys, 1/HOT at
-    most, only key and number of parts are broadcast.
+    most, only key and number of parts are broadcast. `right` itself grows with the data and is
+    never broadcast, however small it is here, so that plans are alike at every size.
     """
     least = max(HOT_ROWS, int(rows * HOT))
     values = [c for c in right.columns if c not in (key, n)]
     if rows <= least:  # no key can be hot
         plain = right.select(F.col(key).alias("_rk"), *[F.col(c).alias(f"_v_{c}") for c in values])
-        return left.join(plain, left[key] == plain["_rk"], how).select(*left.columns, *[F.col(f"_v_{c}").alias(c) for c in values])
+        return left.join(plain.hint("merge"), left[key] == plain["_rk"], how).select(*left.columns, *[F.col(f"_v_{c}").alias(c) for c in values])
     hot = F.broadcast((right if counts is None else counts).filter(F.col(n) > least).select(F.col(key).alias("_hk"), F.ceil(F.col(n) / least).cast("int").alias("_parts")))
     by_row = F.xxhash64(*[F.col(c) for c in left.columns])
     out = left.join(hot, left[key] == F.col("_hk"), "left")
@@ -85,7 +86,7 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, how
     out = out.withColumn("_ls", salt).drop("_hk", "_parts")
     split = right.join(hot, right[key] == F.col("_hk"), "left").withColumn("_rs", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
     split = split.select(F.col(key).alias("_rk"), "_rs", *[F.col(c).alias(f"_v_{c}") for c in values])
-    out = out.join(split, (out[key] == split["_rk"]) & (out["_ls"] == split["_rs"]), how)
+    out = out.join(split.hint("merge"), (out[key] == split["_rk"]) & (out["_ls"] == split["_rs"]), how)
     return out.select(*left.columns, *[F.col(f"_v_{c}").alias(c) for c in values])
 
 
