@@ -4,13 +4,16 @@
    rotation are learnt that bring the sample close to the corners of a hypercube, so
    that bits are balanced; CODES independently initialised rotations give one code of
    CODES * d bits.
-2. The code is read as a multi-index: TABLES substrings of `width` bits each, and
-   vectors that agree in a whole substring share a bucket of its table. `width` grows
-   with the logarithm of the number of vectors and TABLES with it, so that a pair at
-   the threshold is missed with a probability of about `miss`.
-3. Buckets are compared by Hamming distance of the full codes, block against block
-   where a bucket is large; members with a near partner go on. A pair belongs to
-   the first table in which it meets and is looked at there alone.
+2. A multi-index finds candidates: vectors that agree in all symbols that a table reads
+   share a bucket of it. A symbol is the strongest of up to STRONG coordinates, with its sign,
+   after a random rotation, which a pair at the threshold shares more often than as many
+   bits of a code; vectors of fewer than SHORT components use the bits of the code. The
+   symbols a table grow with the logarithm of the number of vectors and the tables with them,
+   so that a pair at the threshold is missed with a probability of about `miss`.
+3. Buckets are compared by Hamming distance of the codes, block against block
+   where a bucket is too large for one task; members with a near partner go on. A pair belongs to
+   the first table in which it meets and is looked at there alone. Tables are worked off in
+   rounds, so that what lies on disk at once stays in proportion to the vectors.
 4. Those members are reranked with their original vectors, in double precision:
    degrees are counted where blocks meet, and for components each block gives a spanning forest,
    not its pairs.
@@ -34,11 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import components, cut, hot_join
+from ._spark import HOT, HOT_ROWS, components, cut, drop, hot_join
 
 SAMPLE = 10_000
 CODES = 4
-BLOCK = 1024
+SYMBOLS = 96
+STRONG = 64  # coordinates a symbol is chosen from, at most: it fits a byte
+SHORT = 16
+CROWD = 32  # vectors that may share a bucket by chance
+ROUND_BYTES = 1 << 30  # of bucket entries that a round of tables may always shuffle, and 1.5 times the vectors' bytes
 FEW = 64  # vectors of one length that are compared without codes
 RERANKED = "cid long, degree long, root long"
 SLACK = 5.0
@@ -73,13 +80,42 @@ def learn(sample: np.ndarray, codes: int = CODES, rounds: int = 20, seed: int =
     return np.concatenate(out, axis=1)
 
 
-def plan(n: int, bits: int, threshold: float, miss: float = 1e-4) -> tuple[int, int]:
-    """(bits of a substring, tables) for n vectors: pairs at the threshold are missed with probability `miss`, averaged over their Hamming distance as of independent bits."""
-    p = math.acos(threshold) / math.pi
+def rotations(d: int, seed: int = 13) -> np.ndarray:
+    """SYMBOLS random sets of orthonormal directions: (SYMBOLS, d, min(d, STRONG))."""
+    rng = np.random.default_rng(seed)
+    return np.stack([np.linalg.qr(rng.standard_normal((d, min(d, STRONG))))[0] for _ in range(SYMBOLS)]).astype(np.float32)
+
+
+def strongest(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """A byte a rotation: which coordinate is the largest in size, and its sign."""
+    out = np.empty((len(x), len(turns)), np.uint8)
+    x, rows = x.astype(np.float32), np.arange(len(x))
+    for k, r in enumerate(turns):
+        y = x @ r
+        at = np.abs(y).argmax(1)
+        out[:, k] = 2 * at + (y[rows, at] > 0)
+    return out
+
+
+def symbol_differs(d: int, threshold: float, samples: int = 50_000, seed: int = 17) -> float:
+    """How often a symbol of two vectors of this cosine differs, as sampled with independent coordinates."""
+    m, rng = min(d, STRONG), np.random.default_rng(seed)
+    x = rng.standard_normal((samples, m))
+    y = threshold * x + math.sqrt(1 - threshold * threshold) * rng.standard_normal((samples, m))
+    one = np.eye(m)[None]
+    return float((strongest(x, one) != strongest(y, one)).mean())
+
+
+def plan(n: int, bits: int, threshold: float, miss: float = 1e-4, differs: float | None = None, width: int | None = None) -> tuple[int, int]:
+    """(bits of a substring, tables) for n vectors: pairs at the threshold are missed with probability `miss`, averaged over their Hamming distance as of independent bits.
+
+    `differs`: how often a bit (or another symbol) of such a pair differs, if not as a sign does; `width`: the longest substring, if not by n.
+    """
+    p = math.acos(threshold) / math.pi if differs is None else differs
     log = np.array([math.lgamma(k + 1) for k in range(bits + 1)])  # of factorials
     h = np.arange(bits + 1)  # Hamming distance of a pair at the threshold
     chance = np.exp(log[bits] - log - log[::-1] + h * math.log(p) + (bits - h) * math.log(1 - p))
-    width = min(bits, max(6, min(32, math.ceil(math.log2(max(2, n))) - 1)))
+    width = min(bits, max(6, min(32, math.ceil(math.log2(max(2, n))) - 1)) if width is None else width)
     while width > 1 and chance[bits - width + 1 :].sum() > miss / 2:  # short codes: too often no substring agrees
         width -= 1
     never = chance[bits - width + 1 :].sum()
@@ -106,6 +142,14 @@ def substrings(bits: int, width: int, tables: int, seed: int = 11) -> np.ndarray
     return np.stack(rows[:tables])
 
 
+def index(n: int, d: int, bits: int, threshold: float, miss: float = 1e-4) -> tuple[np.ndarray | None, np.ndarray]:
+    """(rotations, or None where bits are the symbols; which symbols each table reads) for n vectors of d components."""
+    if d < SHORT:
+        return None, substrings(bits, *plan(n, bits, threshold, miss))
+    width = next(k for k in range(1, 7) if k == 6 or n <= CROWD * (2 * min(d, STRONG)) ** k)
+    return rotations(d), substrings(SYMBOLS, *plan(n, SYMBOLS, threshold, miss, symbol_differs(d, threshold), width))
+
+
 def most_differing(bits: int, threshold: float) -> int:
     """Hamming distance that a pair at the threshold keeps below, but for SLACK standard deviations (of independent codes of d bits)."""
     p = math.acos(threshold) / math.pi
@@ -116,63 +160,110 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def keys(symbols: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """(tables, rows): the symbols that a table reads as one number; bits of 0 and 1 take one bit each."""
+    shift = U64(1 if tables.shape[1] > 6 else 8)
+    out = np.zeros((len(tables), len(symbols)), U64)
+    for k, t in enumerate(tables):
+        for c in t:
+            out[k] = (out[k] << shift) | symbols[:, c]
+    return out
+
+
+@T.tidy
+def _encode(batches: Iterator[pa.RecordBatch], projection: np.ndarray, turns: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Class and code: the bits of the ITQ code, then the symbols that tables read, a byte each."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 10_000):
+            part = b.slice(lo, 10_000)
+            x = unit(_matrix(part.column(1)))
+            bits = x @ projection >= 0
+            code = np.concatenate([np.packbits(bits, axis=1), bits if turns is None else strongest(x, turns)], axis=1).astype(np.uint8)
+            yield pa.record_batch([part.column(0), pa.array([c.tobytes() for c in code], pa.binary())], ["cid", "code"])
+
+
+def _coded(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ITQ codes as 64-bit words, and the symbols, of a column of codes."""
+    code = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    size = -(-bits // 8)
+    wide = np.zeros((len(code), -(-size // 8) * 8), np.uint8)
+    wide[:, :size] = code[:, :size]
+    return wide.view(U64), code[:, size:]
+
+
 @T.tidy
-def _encode(batches: Iterator[pa.RecordBatch], d: int, projection: np.ndarray, tables: np.ndarray) -> Iterator[pa.RecordBatch]:
-    weight = U64(1) << np.arange(tables.shape[1], dtype=U64)
+def _entries(batches: Iterator[pa.RecordBatch], bits: int, tables: np.ndarray, number: list[int]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        if not b.num_rows:
-            continue
-        bits = unit(_matrix(b.column(1))) @ projection >= 0
-        keys = np.stack([bits[:, t] @ weight | (U64(k) << U64(32)) for k, t in enumerate(tables)], axis=1)
-        packed = np.packbits(bits, axis=1)
-        yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["cid", "code", "keys"])
+        if b.num_rows:
+            k = keys(_coded(b.column(1), bits)[1], tables[number])
+            bucket = T.mix(T.mix(k) + np.array(number, U64)[:, None])  # a hash may only add members that are told apart later
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(list(np.ascontiguousarray(bucket.T).view(np.int64)), pa.list_(pa.int64()))], ["cid", "code", "buckets"])
+
+
+def _met(symbols: np.ndarray, table: np.ndarray, tables: np.ndarray):  # noqa: ANN202
+    """Which pairs (i, j) of rows are of one table, agree there and in no table before."""
+    of = functools.cache(lambda k: keys(symbols, tables[k : k + 1])[0])
+
+    def first(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for t in np.unique(table[i]).tolist():
+            live = np.flatnonzero((table[i] == t) & (table[j] == t))
+            live = live[of(t)[i[live]] == of(t)[j[live]]]
+            for k in range(t):
+                if not len(live):
+                    break
+                live = live[of(k)[i[live]] != of(k)[j[live]]]
+            out.append(live)
+        return np.concatenate(out)
+
+    return first
+
+
+def _pairs(start: np.ndarray, size: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i < j) within runs, about `most` or a row's at a time."""
+    row, place = T.ragged(size)
+    last = np.repeat(start + size, size)
+    here = np.repeat(start, size) + place
+    count = last - here - 1
+    here, count = here[count > 0], count[count > 0]
+    ends = np.cumsum(count)
+    lo = 0
+    while lo < len(here):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        r, k = T.ragged(count[lo:hi])
+        i = here[lo:hi][r]
+        yield i, i + 1 + k
+        lo = hi
 
 
 @T.tidy
-def _codes(batches: Iterator[pa.RecordBatch], projection_tables: np.ndarray, far: int) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch], bits: int, tables: np.ndarray, far: int) -> Iterator[pa.RecordBatch]:
     """Members of a bucket's block pair that have a partner within the Hamming distance whose first table this is."""
-    for t in T.whole_runs(batches, ["key"], 5_000):
-        key, table, side, cid = (t[c].combine_chunks().to_numpy() for c in ("key", "t", "side", "cid"))
-        code = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(key), -1)
+    for t in T.whole_runs(batches, ["key"], 20_000):
+        key, table, side = (t[c].combine_chunks().to_numpy() for c in ("key", "t", "side"))
+        code, symbols = _coded(t["code"].combine_chunks(), bits)
+        first = _met(symbols, table, tables)
         cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-        wide = np.zeros((len(code), -(-code.shape[1] // 8) * 8), np.uint8)
-        wide[:, : code.shape[1]] = code
-        wide = wide.view(U64)
-        bits = np.unpackbits(code, axis=1)
         go = np.zeros(len(key), bool)
-        # small runs all at once: pairs of rows at each distance within runs
-        run = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        longest = int(np.diff(cuts).max())
-        for gap in range(1, longest):
-            i = np.flatnonzero(run[gap:] == run[:-gap])
-            if not len(i):
-                break
-            j = i + gap
-            meet = (side[i] == 2) | (side[i] != side[j])
-            i, j = i[meet], j[meet]
-            near = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= far
+        for i, j in _pairs(cuts[:-1], np.diff(cuts)):
+            near = np.bitwise_count(code[i, 0] ^ code[j, 0]).astype(np.int32)
+            for w in range(1, code.shape[1]):
+                near += np.bitwise_count(code[i, w] ^ code[j, w])
+            near = (near <= far) & ((side[i] == 2) | (side[i] != side[j]))
             i, j = i[near], j[near]
-            if len(i):
-                for s in range(0, len(i), 20_000):
-                    a, c = i[s : s + 20_000], j[s : s + 20_000]
-                    differ = bits[a] != bits[c]
-                    first = np.full(len(a), -1)
-                    for k in range(int(table[a].max()) + 1):
-                        fresh = (first < 0) & ~differ[:, projection_tables[k]].any(axis=1)
-                        first[fresh] = k
-                    mine = first == table[a]
-                    go[a[mine]] = go[c[mine]] = True
+            mine = first(i, j)
+            go[i[mine]] = go[j[mine]] = True
         if go.any():
             yield pa.record_batch([t[c].combine_chunks().filter(pa.array(go)) for c in ("key", "t", "side", "cid", "code")], ["key", "t", "side", "cid", "code"])
 
 
 @T.tidy
-def _rerank(batches: Iterator[pa.RecordBatch], tables: np.ndarray | None, threshold: float) -> Iterator[pa.RecordBatch]:
+def _rerank(batches: Iterator[pa.RecordBatch], bits: int, tables: np.ndarray | None, threshold: float) -> Iterator[pa.RecordBatch]:
     """Within a bucket's block pair: each member's number of linked vectors, and its root in the block's forest."""
     for t in T.whole_runs(batches, ["key"], 2_000):
         key, table, side, cid, copies = (t[c].combine_chunks().to_numpy() for c in ("key", "t", "side", "cid", "copies"))
         vectors = t["v"].combine_chunks()
-        codes = t["code"].combine_chunks()
+        first = None if tables is None else _met(_coded(t["code"].combine_chunks(), bits)[1], table, tables)
         cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
         degree = np.zeros(len(key), np.int64)
         root = np.arange(len(key))
@@ -185,25 +276,21 @@ def _rerank(batches: Iterator[pa.RecordBatch], tables: np.ndarray | None, thresh
 
         for s, e in zip(cuts[:-1], cuts[1:]):
             v = unit(_matrix(vectors.slice(s, e - s)))  # a run's vectors have one length
-            link = v @ v.T >= threshold
-            link &= (side[s:e, None] == 2) | (side[s:e, None] != side[None, s:e])
-            i, j = np.nonzero(np.triu(link, 1))
-            if not len(i):
-                continue
-            i, j = i + s, j + s
-            mine = np.ones(len(i), bool)
-            bits = np.unpackbits(np.frombuffer(b"".join(codes.slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1), axis=1)
-            for p in range(0, len(i) if table[s] else 0, 20_000):
-                differ = bits[i[p : p + 20_000] - s] != bits[j[p : p + 20_000] - s]
-                for k in range(int(table[s])):
-                    mine[p : p + 20_000] &= differ[:, tables[k]].any(axis=1)
-            i, j = i[mine], j[mine]
-            np.add.at(degree, i, copies[j])
-            np.add.at(degree, j, copies[i])
-            for x, y in zip(i.tolist(), j.tolist()):
-                x, y = top(x), top(y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
+            for lo in range(s, e, 512):
+                hi = min(e, lo + 512)
+                link = np.triu(v[lo - s : hi - s] @ v[lo - s :].T >= threshold, 1)
+                link &= (side[lo:hi, None] == 2) | (side[lo:hi, None] != side[None, lo:e])
+                i, j = np.nonzero(link)
+                i, j = i + lo, j + lo
+                if first is not None and len(i):
+                    mine = first(i, j)
+                    i, j = i[mine], j[mine]
+                np.add.at(degree, i, copies[j])
+                np.add.at(degree, j, copies[i])
+                for x, y in zip(i.tolist(), j.tolist()):
+                    x, y = top(x), top(y)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
         some = np.flatnonzero(degree > 0)
         if len(some):
             yield pa.record_batch([pa.array(cid[some]), pa.array(degree[some]), pa.array(cid[[top(i) for i in some.tolist()]])], ["cid", "degree", "root"])
@@ -211,19 +298,21 @@ def _rerank(batches: Iterator[pa.RecordBatch], tables: np.ndarray | None, thresh
 
 def links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, miss: float = 1e-4) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
-    slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    slim = cut(slim.withColumn("ok", valid(F.col("v")) & F.col("vec_id").isNotNull()), "vectors")
-    slim = slim.withColumn("k", F.when(F.col("ok"), F.struct(F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(3), "v").alias("k2"), F.size("v").alias("d"))))
+    kept_type = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kept_type).alias("v"))
+    whole = whole.withColumn("ok", valid(F.col("v")) & F.col("vec_id").isNotNull())
+    whole = whole.withColumn("k", F.when(F.col("ok"), F.struct(F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(3), "v").alias("k2"), F.size("v").alias("d"))))
+    slim = cut(whole.select("vec_id", "ok", "k"), "vectors")
     rows = slim.count()
     # equal vectors (by 128 bits) are one class, whose number is fixed by writing it
-    classes = slim.filter("ok").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = whole.filter("ok").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = cut(classes.withColumn("d", F.col("k.d")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     counted = classes.groupBy("d").count()  # one row a length
     sizes = [r["d"] for r in counted.filter(F.col("count") > FEW).collect()]
     # lengths with few vectors: all of one against each other
     here = classes.join(F.broadcast(counted.filter(F.col("count").between(2, FEW)).select("d")), "d")
     few = here.select(F.xxhash64("d").alias("key"), F.lit(0).alias("t"), F.lit(2).alias("side"), "cid", F.lit(b"\0").alias("code"), "v", "copies")
-    done = few.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(lambda it: _rerank(it, None, threshold), RERANKED)
+    done = few.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(lambda it: _rerank(it, 0, None, threshold), RERANKED)
     parts = [cut(done, "reranked")]
     for d in sizes:
         here = classes.filter(F.col("d") == d)
@@ -231,21 +320,36 @@ def links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
         taken = here.orderBy("k").limit(sample).select("v").toPandas()["v"]  # at most `sample` rows
         projection = learn(np.array(taken.tolist()))
         bits = projection.shape[1]
-        width, count = plan(n, bits, threshold, miss)
-        tables, far = substrings(bits, width, count), most_differing(bits, threshold)
-        coded = cut(here.select("cid", "v").mapInArrow(lambda it, d=d, p=projection, t=tables: _encode(it, d, p, t), "cid long, code binary, keys array<long>"), "codes")
-        entry = coded.select("cid", F.posexplode("keys").alias("t", "bucket"))
-        size = entry.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-        entry = hot_join(entry, size.withColumn("n", F.col("m")), "bucket", "n", max(1, n) * count, "inner")
-        # a large bucket is cut in blocks, and its members go to each pair of blocks that has their own
-        entry = entry.withColumn("blocks", F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)")).withColumn("mine", F.expr("cast(pmod(xxhash64(cid, bucket), blocks) as int)"))
-        entry = entry.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        entry = entry.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "t", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "cid")
-        entry = entry.join(coded.select("cid", "code"), "cid")
-        near = entry.repartition("key").sortWithinPartitions("key", "side", "cid").select("key", "t", "side", "cid", "code").mapInArrow(lambda it, t=tables, f=far: _codes(it, t, f), "key long, t int, side int, cid long, code binary")
-        near = cut(near, "near").join(here.select("cid", "v", "copies"), "cid")
-        done = near.repartition("key").sortWithinPartitions("key", "side", "cid").mapInArrow(lambda it, t=tables: _rerank(it, t, threshold), RERANKED)
-        parts.append(cut(done, "reranked"))
+        turns, tables = index(n, d, bits, threshold, miss)
+        count, far = len(tables), most_differing(bits, threshold)
+        coded = cut(here.select("cid", "v").mapInArrow(lambda it, p=projection, t=turns: _encode(it, p, t), "cid long, code binary"), "codes")
+        entry_bytes = 40 + bits // 8 + (SYMBOLS if turns is not None else bits)
+        each = max(1, int(max(ROUND_BYTES, 1.5 * 4 * d * n) / (entry_bytes * max(1, n))))  # tables a round
+        # a bucket that is too large for one task is cut in blocks, and its members go to each pair of blocks that has their own;
+        # how many blocks is told from a sample of the vectors, which decides about nothing else
+        large = max(HOT_ROWS, int(n * count * HOT))
+        one_in = max(1, large // 600)
+        for lo in range(0, count, each):
+            number = list(range(lo, min(count, lo + each)))
+            read = lambda it, b=bits, t=tables, m=number: _entries(it, b, t, m)
+            if n > large:
+                some = coded.filter(F.pmod(F.xxhash64("cid"), F.lit(one_in)) == 0).mapInArrow(read, "cid long, code binary, buckets array<long>")
+                some = some.select(F.explode("buckets").alias("_b")).groupBy("_b").agg((F.count("*") * one_in).alias("m")).filter(F.col("m") > large)
+                some = F.broadcast(some.select("_b", F.ceil(F.col("m") / (large // 4)).cast("int").alias("blocks")))  # 1/HOT at most
+            entry = coded.mapInArrow(read, "cid long, code binary, buckets array<long>").select("cid", "code", F.posexplode("buckets").alias("t", "bucket")).withColumn("t", F.col("t") + lo)
+            if n > large:
+                entry = entry.join(some, entry["bucket"] == some["_b"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+                entry = entry.withColumn("mine", F.expr("cast(pmod(xxhash64(cid, bucket), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+                entry = entry.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "t", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "cid", "code")
+            else:
+                entry = entry.select(F.col("bucket").alias("key"), "t", F.lit(2).alias("side"), "cid", "code")
+            near = entry.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it, b=bits, t=tables, f=far: _codes(it, b, t, f), "key long, t int, side int, cid long, code binary")
+            near = cut(near, "near")
+            met = near.join(here.select("cid", "v", "copies"), "cid")
+            done = met.repartition("key").sortWithinPartitions("key", "side", "cid").mapInArrow(lambda it, b=bits, t=tables: _rerank(it, b, t, threshold), RERANKED)
+            parts.append(cut(done, "reranked"))
+            drop(near)
+        drop(coded)
     reranked = functools.reduce(DataFrame.union, parts)
     degrees = reranked.groupBy("cid").agg(F.sum("degree").alias("degree"))
     out = hot_join(slim.select("vec_id", "k"), classes.select("k", "cid", "rep", "copies", F.col("copies").alias("n")), "k", "n", rows)

@@ -676,6 +676,37 @@ def test_itq_of_extreme_vectors_and_two_lengths(spark):
     assert (out[104]["n_links"], out[105]["component_id"], out[106]["n_links"]) == (1, 104, 0)
 
 
+def test_itq_index_of_long_vectors_is_small_and_misses_as_planned():
+    from chronoloom.llm import itq
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((5_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)  # at the threshold
+    turns = itq.rotations(64)
+    same = itq.strongest(x, turns) == itq.strongest(y, turns)
+    for n, most in ((50_000, 60), (14_000_000, 200)):  # substrings of bits: 181 and 1,354
+        _, tables = itq.index(n, 64, 256, 0.9)
+        assert len(tables) <= most
+        assert 1 - np.any([same[:, t].all(axis=1) for t in tables], axis=0).mean() < 7e-4
+
+
+def test_itq_rounds_of_tables_and_crowded_buckets(spark, monkeypatch):
+    from chronoloom.llm import itq
+
+    monkeypatch.setattr(itq, "HOT_ROWS", 20)
+    monkeypatch.setattr(itq, "ROUND_BYTES", 152 * 160 * 40)  # two rounds
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.standard_normal((60, 32)), rng.standard_normal(32) + 0.25 * rng.standard_normal((100, 32))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    out = {r["vec_id"]: r["n_links"] for r in itq.links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert 1000 < link.sum() < 9900 and out == {k: int(link[k].sum()) for k in range(len(x))}
+
+
 # 9 line dedup
 
 
