@@ -45,6 +45,7 @@ ROWS, BANDS = 3, 42
 SKETCH_BITS = 1024
 SLACK = 5.0
 BLOCK = 1024
+FILTER_BITS = 26  # log2 of the size of a filter, at most: 8 MB
 _rng = np.random.default_rng(20_240_607)
 _MUL = (_rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64) | U64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
@@ -145,8 +146,11 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 @T.tidy
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, seen: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of the texts that may be asked for: those whose place in the filter, the first bits of their hash, is set."""
     for b in batches:
+        at = b.column(2).to_numpy().view(U64) >> U64(64 - bits)
+        b = b.filter(pa.array((seen[at >> U64(6)] >> (at & U64(63)) & U64(1)).astype(bool)))
         data_all, at_all = T.bytes_of(b.column(1))
         for lo, hi in T.slices(at_all):
             row, h = shingles(data_all[at_all[lo] : at_all[hi]], at_all[lo : hi + 1] - at_all[lo], width)
@@ -252,14 +256,20 @@ def links(docs: DataFrame, percent: int = 70, width: int = 5) -> tuple[DataFrame
     def confirm(p: DataFrame) -> DataFrame:
         """Links among pairs, on the full sets of those classes that are in a pair."""
         p = cut(p.select("a", "b"), "asked")
-        needed = p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
-        # texts of these documents only
-        texts = text.join(needed, text["doc_id"] == needed["id"]).select("id", "text")
-        sets = texts.mapInArrow(lambda it: _sets(it, width), "id long, hashes binary")
-        sets = cut(sets.filter("length(hashes) > 0").distinct(), "sets")
+        needed = cut(p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct(), "needed")
+        # a filter of bounded size lets the texts of all these documents pass and few others, which the join then
+        # drops: only sets of those are shuffled, neither all texts nor all sets
+        bits = min(FILTER_BITS, max(10, (16 * needed.count()).bit_length()))
+        place = needed.select(F.shiftrightunsigned(F.xxhash64("id"), 64 - bits).alias("at"))
+        words = place.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()  # 2**20 at most
+        seen = np.zeros((1 << bits) // 64, np.int64)
+        seen[words["word"].to_numpy()] = words["bits"].to_numpy()
+        seen = seen.view(U64)
+        sets = text.withColumn("h", F.xxhash64("doc_id")).mapInArrow(lambda it: _sets(it, width, seen, bits), "id long, hashes binary").filter("length(hashes) > 0")
+        sets = cut(sets.join(needed.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id")).select("id", "hashes").distinct(), "sets")
         both = beside(p, sets, p.count()).select("a", "b", "a_hashes", "b_hashes")
         out = cut(both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long").distinct(), "links")
-        drop(p, sets)
+        drop(p, needed, sets)
         return out
 
     candidates = cut(near(pairs), "pairs")

@@ -174,6 +174,36 @@ def test_near_dedup_edge_cases(odd, none):
     assert minhash.report(none).count() == 0
 
 
+def test_minhash_shuffles_no_texts_to_confirm_links(spark, monkeypatch):
+    from chronoloom.llm import minhash
+
+    plans, cut = [], minhash.cut
+
+    def seen(df, tag):
+        if tag == "sets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return cut(df, tag)
+
+    monkeypatch.setattr(minhash, "cut", seen)
+    monkeypatch.setattr(minhash, "FILTER_BITS", 10)  # others pass as well, and are dropped
+    own = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(30)]
+    docs = spark.createDataFrame([*enumerate(own), (100, own[3] + " more"), (101, own[8] + " else")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash.report(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {k: k for k in range(30)} | {100: 3, 101: 8}
+    deep = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for lines in plans:
+        at = next(k for k, x in enumerate(lines) if "MapInArrow" in x)
+        below = lines[at + 1 :]
+        below = below[: next((k for k, x in enumerate(below) if deep(x) <= deep(lines[at])), len(below))]
+        assert below and not any("Exchange" in x for x in below)
+    assert plans
+
+
 def test_odd_sketch_estimates_similarity():
     from chronoloom.llm import _text as T
     from chronoloom.llm import minhash
