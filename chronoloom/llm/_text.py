@@ -32,20 +32,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: A worker's blocks from this size on, such as whole batches, are the system's again as soon as they are freed.
+LARGE_BYTES = 4 << 20
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3
+
+
+def _libc(call: str, *a: int) -> None:
+    try:
+        getattr(ctypes.CDLL("libc.so.6"), call)(*a)
+    except (OSError, AttributeError):
+        pass
+
+
+@functools.cache
+def _lean() -> None:
+    """Arrow takes memory from the C library, which keeps no large blocks: the batch of a task that ended would stay with its worker."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    _libc("mallopt", _M_MMAP_THRESHOLD, LARGE_BYTES)
+    _libc("mallopt", _M_TRIM_THRESHOLD, 2 * LARGE_BYTES)
+
+
 def tidy(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A generator that gives memory back when a task ends: workers wait for the next one beside others."""
 
     @functools.wraps(f)
     def g(*a, **k):  # noqa: ANN002, ANN003, ANN202
+        _lean()
         try:
             yield from f(*a, **k)
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass
+            _libc("malloc_trim", 0)
 
     return g
 

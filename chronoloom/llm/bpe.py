@@ -59,6 +59,29 @@ def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | Non
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
+def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1 and so on, `size` of them, for each begin in turn."""
+    before = np.cumsum(size, dtype=np.int64) - size
+    out = np.repeat(begin - before, size)
+    out += np.arange(len(out))
+    return out
+
+
+class Pool:
+    """Strings by number, to be put together many at once."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.lengths = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(strings), np.uint8)
+
+    def join(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the strings of all ids, offsets in them of the places `at` in `ids`)."""
+        n = self.lengths[ids]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.bytes[gather(self.starts[ids], n)], total[at]
+
+
 class Bpe:
     """Encoder and decoder for one rank file and split pattern."""
 
@@ -73,19 +96,13 @@ class Bpe:
         self.tokenizer = Tokenizer(models.BPE(vocab={show(t): r for t, r in ranks.items()}, merges=[(show(a), show(b)) for a, b in pairs], ignore_merges=True))
         self.model = self.tokenizer.model
         self.shown_bytes = {b: ord(c) for b, c in char.items()}
-        self.known: dict[bytes, int] = {}  # bytes of a piece: its number; emptied when full
-        self.flat, self.filled = np.zeros(1 << 16, np.int32), 0
-        self.begin: list[int] = []
-        self.size: list[int] = []
-        self.shown: list[str] = []
+        self.forget()
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token_bytes[r] = t
-        self.decimal = [str(i) for i in range(len(self.token_bytes))]
-        self.lengths = np.array([len(t) for t in self.token_bytes], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.pool = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        self.text_of = Pool(self.token_bytes)
+        self.decimal_of = Pool([b"%d," % i for i in range(len(self.token_bytes))])
 
     def encode_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """(ids, character offsets of each id) by the library."""
@@ -97,27 +114,28 @@ class Bpe:
         some = [k for k, x in enumerate(ids) if x is None]
         for k, e in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)):
             ids[k] = e.ids
-        decimal, grown = self.decimal, self.filled + sum(map(len, ids))
+        sizes = [len(x) for x in ids]
+        grown, n = self.filled + sum(sizes), len(self.known)
         if grown > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(grown, np.int32)])
-        for raw, x in zip(names, ids):
-            self.known[raw] = len(self.begin)
-            self.begin.append(self.filled)
-            self.size.append(len(x))
-            self.flat[self.filled : self.filled + len(x)] = x
-            self.filled += len(x)
-            self.shown.append(",".join([decimal[i] for i in x]))
+            self.flat = np.concatenate([self.flat[: self.filled], np.zeros(grown, np.int32)])
+        if n + len(ids) > len(self.size):
+            self.begin, self.size = (np.concatenate([x[:n], np.zeros(n + len(ids), np.int64)]) for x in (self.begin, self.size))
+        self.flat[self.filled : grown] = [i for x in ids for i in x]
+        self.size[n : n + len(ids)] = sizes
+        self.begin[n : n + len(ids)] = self.filled + np.cumsum(sizes) - sizes
+        self.known.update(zip(names, range(n, n + len(ids))))
+        self.filled = grown
 
     def forget(self) -> None:
-        self.known = {}
-        self.flat, self.filled = np.zeros(1 << 16, np.int32), 0
-        self.begin, self.size, self.shown = [], [], []
+        self.known: dict[bytes, int] = {}  # bytes of a piece: its number; emptied when full
+        self.flat, self.filled = np.zeros(1 << 16, np.int32), 0  # ids of all pieces
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)  # by number: where a piece's ids begin, how many they are
 
-    def encode_slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces of a slice of texts: (row of each piece, where its ids begin in `flat`, how many they are, its number in `shown`)."""
+    def encode_slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of a slice of texts: (row of each piece, where its ids begin in `flat`, how many they are)."""
         start, end, row, plain = pieces(data, at)
         if not len(start):
-            return (row,) * 4
+            return (row,) * 3
         if len(self.known) > MOST_KNOWN or self.filled > MOST_IDS:
             self.forget()
         _, first, which = np.unique(T.hashes(data, start, end), return_index=True, return_inverse=True)
@@ -139,22 +157,21 @@ class Bpe:
             simple = plain[first].tolist()
             self._learn([names[k] for k in new], [None if simple[k] else names[k].decode() for k in new], [seen[begins[k] : ends[k]] if simple[k] else None for k in new])
         place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        begin, size = np.asarray(self.begin, np.int64)[place], np.asarray(self.size, np.int64)[place]
-        return row, begin[which], size[which], place[which]
+        return row, self.begin[place][which], self.size[place][which]
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of the slice in order, offsets of the texts in them)."""
-        row, begin, size, _ = self.encode_slice(data, at)
-        _, k = T.ragged(size)
+        row, begin, size = self.encode_slice(data, at)
         per_row = np.bincount(row, size, len(at) - 1).astype(np.int64)
-        return self.flat[np.repeat(begin, size) + k], np.concatenate([[0], np.cumsum(per_row)])
+        return self.flat[gather(begin, size)], np.concatenate([[0], np.cumsum(per_row)])
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all texts, offsets of the texts in them)."""
-        n = self.lengths[ids]
-        _, k = T.ragged(n)
-        total = np.concatenate([[0], np.cumsum(n)])
-        return self.pool[np.repeat(self.starts[ids], n) + k], total[at]
+        return self.text_of.join(ids, at)
+
+    def decimals(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in decimal, a comma after each, offsets of the texts in them)."""
+        return self.decimal_of.join(ids, at)
 
 
 class Decoder:
@@ -167,6 +184,8 @@ class Decoder:
         return self.held.decode(b"".join(self.bpe.token_bytes[i] for i in ids), last)
 
 
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 18
 #: Pieces that an encoder remembers before it starts afresh.
 MOST_KNOWN = 250_000
 #: Ids of such pieces before it does (long pieces have many).
@@ -258,22 +277,16 @@ def _report(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
     bpe = load(path, pattern)
     for b in batches:
         data_all, at_all = T.bytes_of(b.column(1))
-        for lo, hi in T.slices(at_all):
-            data, at = data_all[at_all[lo] : at_all[hi]], at_all[lo : hi + 1] - at_all[lo]
-            row, begin, size, place = bpe.encode_slice(data, at)
-            shown = bpe.shown
-            edge = np.searchsorted(row, np.arange(hi - lo + 1))
-            n_tokens, ids_sha, decoded_sha = [], [], []
-            for r in range(hi - lo):
-                mine = slice(edge[r], edge[r + 1])
-                ids_sha.append(hashlib.sha256(",".join([shown[i] for i in place[mine].tolist()]).encode()).hexdigest())
-                _, k = T.ragged(size[mine])
-                ids = bpe.flat[np.repeat(begin[mine], size[mine]) + k]
-                out, _ = bpe.decode(ids, np.array([0, len(ids)]))
-                n_tokens.append(len(ids))
-                decoded_sha.append(hashlib.sha256(out.tobytes()).hexdigest())
+        for lo, hi in T.slices(at_all, SLICE_BYTES):
+            ids, at = bpe.encode(data_all[at_all[lo] : at_all[hi]], at_all[lo : hi + 1] - at_all[lo])
+            shown, shown_at = bpe.decimals(ids, at)
+            ids_sha = [hashlib.sha256(shown[i : max(i, j - 1)]).hexdigest() for i, j in zip(shown_at[:-1].tolist(), shown_at[1:].tolist())]
+            del shown
+            out, out_at = bpe.decode(ids, at)
+            decoded_sha = [hashlib.sha256(out[i:j]).hexdigest() for i, j in zip(out_at[:-1].tolist(), out_at[1:].tolist())]
+            n_tokens = np.diff(at)
             yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    bpe.forget()
+    load.cache_clear()  # a worker that waits keeps no vocabulary: reading it again takes half a second
 
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -243,16 +243,26 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", te
     return out.select("row", "keep", "n_dropped")
 
 
+@T.tidy
+def _shorten(batches: Iterator[pa.RecordBatch], at_text: int) -> Iterator[pa.RecordBatch]:
+    """All columns but the last, which is the bitmap, texts being shortened to what it keeps."""
+    for b in batches:
+        text = b.column(at_text)
+        _, size = T.bytes_of(text)
+        for lo, hi in T.slices(size):
+            some = [x.slice(lo, hi - lo) for x in b.columns[:-1]]
+            keep = b.column(b.num_columns - 1).slice(lo, hi - lo).to_pylist()
+            if any(k is not None for k in keep):
+                some[at_text] = pa.array([t if k is None else kept_text(t, k) for t, k in zip(some[at_text].to_pylist(), keep)], text.type)
+            yield pa.record_batch(some, b.schema.names[:-1])
+
+
 def apply(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with its texts shortened to the lines kept; all columns and rows stay."""
 
-    @F.pandas_udf("string")
-    def shorten(text, keep):  # noqa: ANN001, ANN202
-        return text.combine(keep, kept_text)
-
     joined = with_bitmaps(docs, bitmaps, id_col, text_col)
-    new = F.when(F.col("keep").isNull(), F.col("row")[text_col]).otherwise(shorten(F.col("row")[text_col], F.col("keep")))
-    return joined.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    at = docs.columns.index(text_col)
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("keep").alias("_keep")).mapInArrow(lambda it: _shorten(it, at), docs.schema)
 
 
 @T.tidy

@@ -177,14 +177,12 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def _far(a, b):  # noqa: ANN001, ANN202
     """Differing bits of two sketch columns."""
 
-    @F.pandas_udf("int")
-    def count(x, y):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    @F.arrow_udf("int")
+    def count(x: pa.Array, y: pa.Array) -> pa.Array:
         if not len(x):
-            return pd.Series([], dtype="int32")
-        p, q = (np.frombuffer(b"".join(v), U64).reshape(len(x), -1) for v in (x, y))
-        return pd.Series(np.bitwise_count(p ^ q).sum(1).astype(np.int32))
+            return pa.array([], pa.int32())
+        p, q = (np.frombuffer(b"".join(v.to_pylist()), U64).reshape(len(x), -1) for v in (x, y))
+        return pa.array(np.bitwise_count(p ^ q).sum(1).astype(np.int32))
 
     return count(a, b)
 

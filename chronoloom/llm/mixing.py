@@ -94,7 +94,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: f
     goal = targets(sizes, weight, share, most)
     words = [math.floor(g + 0.5) for g in goal]
     need = [slots_needed(n, w, block) for n, w in zip(sizes, words)]
-    sources = spark.createDataFrame([(r["source"], k, r["size"], float(goal[k]), words[k], need[k]) for k, r in enumerate(table)], "source string, s int, source_size long, target double, goal long, need long")
+    # from Arrow, as a list of tuples goes through Python workers of its own kind, which then wait beside the others
+    columns = [("source", pa.string(), [r["source"] for r in table]), ("s", pa.int32(), range(len(table))), ("source_size", pa.int64(), sizes), ("target", pa.float64(), map(float, goal)), ("goal", pa.int64(), words), ("need", pa.int64(), need)]
+    sources = spark.createDataFrame(pa.table({k: pa.array(list(x), t) for k, t, x in columns}))
     rows = small.join(F.broadcast(sources.drop("goal", "need").withColumnRenamed("source", "_source")), small["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
 
     # prefix sums over (source, bucket of the shuffle order)

@@ -432,6 +432,37 @@ def test_bpe_on_random_strings(encoding):
     assert [raw[i:j].tobytes().decode() for i, j in zip(cut[:-1], cut[1:])] == texts
 
 
+def test_bpe_worker_stays_small(encoding):
+    """Two batches of words that hardly repeat: what is remembered and worked with at once stays under 80 MB (128 before)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from chronoloom.llm import bpe
+
+    path, pattern, enc = encoding
+    bpe.load(path, pattern)
+    texts = [" ".join(f"{'abcdefghij'[k % 10]}{np.base_repr(k * 7919 + i * 104729, 36).lower()}" for i in range(200)) for k in range(1200)]
+    batches = [pa.record_batch([pa.array(range(600)), pa.array(texts[s : s + 600])], ["doc_id", "text"]) for s in (0, 600)]
+    tracemalloc.start()
+    try:
+        out = [r for x in bpe._report(iter(batches), path, pattern) for r in x.to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r["ids_sha256"] for r in out[::100]] == [hashlib.sha256(",".join(map(str, enc.encode_ordinary(t))).encode()).hexdigest() for t in texts[::100]]
+    assert most < 80e6
+    assert bpe.load.cache_info().currsize == 0  # a worker that waits for its next task has no vocabulary
+
+
+def test_no_python_workers_of_another_kind(spark, sf):
+    """The table of sources reaches the plan without a Python RDD, whose workers would stay beside the others."""
+    from chronoloom.llm import mixing
+
+    rows = mixing.plan(spark.read.parquet(f"{sf}/documents.parquet"))[2]
+    assert "ExistingRDD" not in rows._jdf.queryExecution().toString()
+
+
 def test_bpe_offsets_and_split_characters(encoding):
     from chronoloom.llm import bpe
 
