@@ -52,12 +52,13 @@ def _lean() -> None:
     _libc("mallopt", _M_TRIM_THRESHOLD, 2 * LARGE_BYTES)
 
 
-def tidy(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """A generator that gives memory back when a task ends: workers wait for the next one beside others."""
+def tidy(f: Callable[..., Iterator], lean: bool = True) -> Callable[..., Iterator]:
+    """A generator that gives memory back when a task ends: workers wait for the next one beside others. `lean`: large blocks go at once, which takes time where many come and go."""
 
     @functools.wraps(f)
     def g(*a, **k):  # noqa: ANN002, ANN003, ANN202
-        _lean()
+        if lean:
+            _lean()
         try:
             yield from f(*a, **k)
         finally:

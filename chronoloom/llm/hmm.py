@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ U64 = T.U64
 STATES, SMOOTH, TOLERANCE = 6, 100.0, 1e-3
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
 TOKENS_AT_ONCE = 400_000
+SCALE_EVERY = 4  # steps; each takes a sum down by 1e-7 or so at worst, and single precision ends at 1e-38
 SHARE, COUNT = 2, 3  # bytes of a share and of an expected count
 END = np.array([-7_046_029_254_386_353_131], np.int64).view(U64)  # the end token's hash
 
@@ -104,7 +106,7 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([blank | r for r in rows], schema=_PACKED)
 
 
-@T.tidy
+@partial(T.tidy, lean=False)
 def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """A TEXTS row a chunk (a: numbers of tokens, held out; b: words) and a WORDS row a bucket (a: hashes, b: counts to learn from, numbers in the chunk)."""
     from pyspark import TaskContext
@@ -154,7 +156,7 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
 MEMBERS = "bucket int, chunk long, which binary, total binary, rank binary, n long, v long"
 
 
-@T.tidy
+@partial(T.tidy, lean=False)
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket and chunk: the number in the bucket's vocabulary of each of the chunk's words, their totals and numbers in the chunk; with a bucket's first chunk its N and V."""
     for t in T.whole_runs(batches, ["bucket"]):
@@ -229,41 +231,54 @@ def forward(seq: np.ndarray, count: np.ndarray, chain: Chain, emit: np.ndarray)
 def expected(seq: np.ndarray, count: np.ndarray, chain: Chain, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, transitions and emissions of whole sequences, and their log10 likelihood.
 
-    A row a state and a column a token, by step: all sequences of a batch go a step at a time.
+    A row a state and a column a token, by step: all sequences of a batch go a step at a time. Emissions are
+    relative to a word's largest one, so sums need scaling only every SCALE_EVERY steps.
     """
-    start, move, counts, likelihood = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(emit), STATES)), 0.0
-    table, there = np.ascontiguousarray(emit.T, np.float32), chain.move.astype(np.float32)
+    top = emit.max(1)
+    start, move, counts = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(emit), STATES))
+    likelihood = float(np.bincount(seq, minlength=len(emit)) @ np.log10(top))
+    table, there = np.ascontiguousarray((emit / top[:, None]).T, np.float32), chain.move.astype(np.float32)
     back, first = np.ascontiguousarray(there.T), chain.start.astype(np.float32)[:, None]
+    count = count[count > 0]
     begins = np.cumsum(count) - count
     by_length = np.argsort(-count, kind="stable")
     # sequences of like lengths together, so many tokens at a time
     part = (np.cumsum(count[by_length]) - 1) // TOKENS_AT_ONCE
     for mine in np.split(by_length, np.flatnonzero(np.diff(part)) + 1) if len(count) else []:
         begin, sizes = begins[mine], count[mine]
-        active = (len(mine) - np.searchsorted(np.sort(sizes), np.arange(int(sizes[0])), "right")).tolist()
-        edge = np.concatenate([[0], np.cumsum(active)]).tolist()
-        spots = np.concatenate([seq[begin[:k] + t] for t, k in enumerate(active)]).astype(np.intp)
-        e = table[:, spots]
-        alpha, scale, a = np.empty_like(e), np.empty(len(spots), np.float32), None
+        active = len(mine) - np.searchsorted(np.sort(sizes), np.arange(int(sizes[0])), "right")
+        step, k = T.ragged(active)
+        spots = seq[begin[k] + step].astype(np.intp)
+        active, edge = active.tolist(), np.concatenate([[0], np.cumsum(active)])
+        last = edge[sizes - 1] + np.arange(len(mine))
+        edge = edge.tolist()
+        e = np.take(table, spots, 1)
+        alpha, scales, a = np.empty_like(e), {}, None
         for t, k in enumerate(active):
-            lo, hi = edge[t], edge[t + 1]
-            x = first * e[:, lo:hi] if t == 0 else (back @ a[:, :k]) * e[:, lo:hi]
-            s = x.sum(0)
-            x /= s
-            alpha[:, lo:hi], scale[lo:hi], a = x, s, x
-        likelihood += float(np.log10(scale.astype(np.float64)).sum())
-        beta = np.ones((STATES, len(mine)), np.float32)
-        for t in range(len(active) - 1, -1, -1):
-            lo, hi, k = edge[t], edge[t + 1], active[t]
-            here = alpha[:, lo:hi]
+            x, here = alpha[:, edge[t] : edge[t + 1]], e[:, edge[t] : edge[t + 1]]
             if t:
-                w = e[:, lo:hi] * beta[:, :k]
-                w /= scale[lo:hi]
-                move += alpha[:, edge[t - 1] : edge[t - 1] + k] @ w.T
-                here *= beta[:, :k]
-                beta[:, :k] = there @ w
+                np.matmul(back, a[:, :k], out=x)
+                x *= here
             else:
-                here *= beta[:, :k]
+                np.multiply(first, here, out=x)
+            if t % SCALE_EVERY == SCALE_EVERY - 1:
+                scales[t] = x.sum(0)
+                x /= scales[t]
+            a = x
+        rest = alpha[:, last].sum(0)
+        likelihood += float(np.log10(np.concatenate([rest, *scales.values()]).astype(np.float64)).sum())
+        beta = np.empty((STATES, len(mine)), np.float32)
+        beta[:] = 1 / rest
+        for t in range(len(active) - 1, 0, -1):
+            lo, hi, k = edge[t], edge[t + 1], active[t]
+            b, w = beta[:, :k], e[:, lo:hi]
+            w *= b
+            if t in scales:
+                w /= scales[t]
+            move += alpha[:, edge[t - 1] : edge[t - 1] + k] @ w.T
+            alpha[:, lo:hi] *= b
+            np.matmul(there, w, out=b)
+        alpha[:, : edge[1]] *= beta
         alpha /= alpha.sum(0)  # now what each state is expected to have emitted
         start += alpha[:, : edge[1]].sum(1)
         for s in range(STATES):

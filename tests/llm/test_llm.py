@@ -587,6 +587,40 @@ def test_forward_is_exact_and_training_raises_the_likelihood():
     assert hmm.forward(train, sizes, chain, emit).sum() > before
 
 
+def test_expected_counts_of_rare_words_and_long_texts():
+    """Against plain double precision, with words too rare for single precision and steps between the scalings that nearly every path dies in."""
+    from chronoloom.llm import hmm
+
+    rng = np.random.default_rng(2)
+    chain, S = hmm.Chain(10**9, 40), hmm.STATES
+    chain.move = np.where(np.eye(S) > 0, 1 - 1e-6, 1e-6 / (S - 1))
+    emit = np.full((40, S), 1e-7)
+    emit[np.arange(40), rng.integers(0, S, 40)] = 1
+    emit *= 10.0 ** -rng.integers(0, 60, 40)[:, None]
+    count = np.array([700, 1, 2, 0, 5, 4, 43])
+    seq = rng.integers(0, 40, count.sum())
+    start, move, counts, likelihood = np.zeros(S), np.zeros((S, S)), np.zeros((40, S)), 0.0
+    for x in np.split(seq, np.cumsum(count)[:-1]):
+        a, z = [], []
+        for k, w in enumerate(x):
+            f = (chain.start if k == 0 else a[-1] @ chain.move) * emit[w]
+            z.append(f.sum())
+            a.append(f / f.sum())
+        likelihood += np.log10(z).sum()
+        b = np.ones(S)
+        for k in range(len(x) - 1, -1, -1):
+            counts[x[k]] += a[k] * b
+            if k:
+                move += np.outer(a[k - 1], emit[x[k]] * b / z[k]) * chain.move
+                b = chain.move @ (emit[x[k]] * b / z[k])
+            else:
+                start += a[k] * b
+    got = hmm.expected(seq, count, chain, emit)
+    assert got[3] == pytest.approx(likelihood, rel=1e-5)
+    for mine, want in zip(got, (start, move, counts)):
+        assert np.allclose(mine, want, rtol=1e-3, atol=1e-3)
+
+
 def test_language_model_against_a_plain_one(spark, sf):
     """The whole of it without chunks, buckets or packing: one array of words, double precision."""
     from chronoloom.llm import _text as T
