@@ -249,3 +249,11 @@ def test_automaton_as_graphviz_and_string_patterns():
     assert text.startswith("digraph") and "doublecircle" in text and 'label="b"' in text
     r = fsa.compile_regex("ab*")
     assert (r.accepts("abb"), r.longest("abbc"), r.shortest("abbc"), r.longest("c")) == (True, 3, 1, 0)
+
+
+def test_columns_of_masks_agree_with_python_and_stay_short(spark):
+    m = spark.range(8192).select(F.col("id").cast("int").alias("m"))
+    for r in m.select("m", allen.show_col(F.col("m")).alias("s"), allen.inverse_col(F.col("m")).alias("i")).collect():
+        assert (r["s"], r["i"]) == (allen.show(r["m"]), allen.inverse(r["m"]))
+    plan = str(allen.show_col(allen.inverse_col(F.col("m"))))
+    assert "lambda" not in plan and plan.count("m &") <= 40  # lambdas aren't compiled, and each copy of m is worked out again
