@@ -257,3 +257,21 @@ def test_columns_of_masks_agree_with_python_and_stay_short(spark):
         assert (r["s"], r["i"]) == (allen.show(r["m"]), allen.inverse(r["m"]))
     plan = str(allen.show_col(allen.inverse_col(F.col("m"))))
     assert "lambda" not in plan and plan.count("m &") <= 40  # lambdas aren't compiled, and each copy of m is worked out again
+
+
+def test_rules_left_out_would_find_nothing(monkeypatch):
+    words = "1998 1998-03-04 T14:30 3/4/98 4.3.1998 Monday, March twenty-first 5th of May mid-July ides Christmas Thanksgiving summer fourth quarter 3 pm 14h30 1430 hours half past ten to three o'clock a.m. in the morning noon the day before yesterday ago two later last week next Friday this every each annually past few months years weekend five-year-old more than another straight several 1990s '80s nineties 20th century '96 future now once upon a time may fall".split()
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))) for _ in range(1500)]
+    some = [timex._found(t, date(1996, 5, 5)) for t in texts]
+    monkeypatch.setattr(timex, "_fitting", lambda low: timex._RULES)
+    assert some == [timex._found(t, date(1996, 5, 5)) for t in texts]
+
+
+def test_letters_that_only_look_like_ascii_without_case():
+    assert timex.find("It came on ſunday, in 1996.", None)[-1].value == "1996"  # was a KeyError
+
+
+def test_a_table_in_one_file_is_annotated_by_all_cores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(None).cast("date").alias("dct")).coalesce(1)
+    assert annotate.annotate(docs, ("GUTIME",)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
