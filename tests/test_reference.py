@@ -275,3 +275,11 @@ def test_letters_that_only_look_like_ascii_without_case():
 def test_a_table_in_one_file_is_annotated_by_all_cores(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(None).cast("date").alias("dct")).coalesce(1)
     assert annotate.annotate(docs, ("GUTIME",)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_written_documents_stay_over_all_cores(spark):
+    docs = spark.createDataFrame([(k, f"It came on March {k}, 1996.") for k in range(1, 25)], "doc_id long, text string").withColumn("dct", F.lit(None).cast("date"))
+    t = annotate.annotate(docs, ("GUTIME",))
+    for out in (writers.lif_documents(docs, t), writers.ttk(docs, t.filter("false"), t)):  # were put into one partition, or broadcast
+        assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and out.count() == 24
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
