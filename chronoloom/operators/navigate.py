@@ -2,34 +2,58 @@
 
 A tree is the result of `tags.tree`: a row a node with doc_id, node (its place in
 pre-order), parent, name, begin, end, attrs. It is never deeper than `tags.LEVEL` has
-levels and chunks nest, so climbing takes DEPTH joins on (doc_id, node).
+levels and chunks nest. A parent comes before its children, so what a node takes from
+those above it is known when it comes: one pass over a document's nodes in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from . import tags
 
-DEPTH = 6
 
 
-def climb(nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """Each node with `path`: itself and its ancestors up to the top, as structs of node and these columns."""
-    row = F.struct("node", *columns)
-    up = nodes.select("doc_id", F.col("node").alias("_n"), F.col("parent").alias("_p"), row.alias("_r"))
-    out = nodes.withColumn("path", F.array(row)).withColumn("_at", F.col("parent"))
-    for _ in range(DEPTH):
-        out = out.join(up.withColumnRenamed("doc_id", "_d"), (F.col("doc_id") == F.col("_d")) & (F.col("_at") == F.col("_n")), "left")
-        out = out.withColumn("path", F.when(F.col("_r").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_r")))).withColumn("_at", F.col("_p")).drop("_d", "_n", "_p", "_r")
-    return out.drop("_at")
+def _by_document(nodes: DataFrame, columns: list[str], fields: list[StructField], f: Callable[..., list[list]]) -> DataFrame:
+    """Nodes with more columns: `f` of the lists of a document's columns, in the order of its nodes, and whether it has an id.
+
+    One pass over the sorted nodes: a document is in one task, and its columns named here are in memory together.
+    """
+    arrow = [to_arrow_type(x.dataType) for x in fields]
+
+    def walk(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, *lists = (tags.values(b.column(b.schema.get_field_index(c))) for c in ("doc_id", *columns))
+        out, k = [[] for _ in arrow], 0
+        while k < len(ids):
+            j = k + 1
+            while j < len(ids) and ids[j] == ids[k]:
+                j += 1
+            for c, more in zip(out, f(ids[k] is not None, *[x[k:j] for x in lists])):
+                c += more
+            k = j
+        return pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(out, arrow)]], names=[*b.schema.names, *[x.name for x in fields]])
+
+    rows = nodes.repartition(tags.partitions(nodes), "doc_id").sortWithinPartitions("doc_id", "node")
+    return rows.mapInArrow(lambda it: tags.in_groups(it, ("doc_id",), walk), StructType([*nodes.schema.fields, *fields]))
+
+
+def _syntax(known: bool, nodes: list[int], parents: list[int | None], names: list[str]) -> list[list]:
+    out: dict[int, str] = {}  # parents come first
+    for n, p, name in zip(nodes, parents, names):
+        out[n] = f"{out[p]}-{name}" if known and p in out else name
+    return [list(out.values())]
 
 
 def syntax(nodes: DataFrame) -> DataFrame:
     """Nodes with `syntax`: the names from the top down to the node, joined by hyphens."""
-    return climb(nodes, ["name"]).withColumn("syntax", F.array_join(F.reverse(F.transform("path", lambda x: x["name"])), "-")).drop("path")
+    return _by_document(nodes, ["node", "parent", "name"], [StructField("syntax", StringType())], _syntax)
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
@@ -39,8 +63,12 @@ def preorder(nodes: DataFrame) -> DataFrame:
 
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes that no node has as its parent."""
-    inner = nodes.filter("parent is not null").select("doc_id", F.col("parent").alias("node")).distinct()
-    return nodes.join(inner, ["doc_id", "node"], "left_anti")
+
+    def inner(known: bool, nodes: list[int], parents: list[int | None]) -> list[list]:
+        above = set(parents) if known else ()
+        return [[n in above for n in nodes]]
+
+    return _by_document(nodes, ["node", "parent"], [StructField("_inner", BooleanType())], inner).filter("not _inner").drop("_inner")
 
 
 def under(nodes: DataFrame, top: str, name: str) -> DataFrame:
@@ -64,13 +92,23 @@ def event_list(nodes: DataFrame) -> DataFrame:
     return e.groupBy("doc_id", "top").agg(F.array_sort(F.collect_list(item)).alias("events"))  # a sentence's
 
 
-def next_node(nodes: DataFrame) -> DataFrame:
-    """Nodes with `next_node`: the next sibling, or that of the nearest ancestor that has one; null at the right edge."""
-    w = W.partitionBy("doc_id", "parent").orderBy("node")
-    sibling = nodes.withColumn("sibling", F.lead("node").over(w))
-    out = climb(sibling, ["sibling"])
-    first = F.filter("path", lambda x: x["sibling"].isNotNull())
-    return out.withColumn("next_node", F.try_element_at(first, F.lit(1))["sibling"]).drop("path", "sibling")
+def _next(known: bool, nodes: list[int], parents: list[int | None], *carried: list) -> list[list]:
+    sibling: dict[int, int | None] = {}
+    after: dict[int | None, int] = {}
+    for n, p in zip(reversed(nodes), reversed(parents)):
+        sibling[n] = after.get(p)
+        after[p] = n
+    out: dict[int, int | None] = {}  # parents come first
+    for n, p in zip(nodes, parents):
+        out[n] = sibling[n] if sibling[n] is not None or not known else out.get(p)
+    place = {n: k for k, n in enumerate(nodes)}
+    return [list(out.values()), *[[None if x is None else c[place[x]] for x in out.values()] for c in carried]]
+
+
+def next_node(nodes: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Nodes with `next_node`: the next sibling, or that of the nearest ancestor that has one; null at the right edge. `carry`: columns of that node, renamed next_..."""
+    more = [StructField(f"next_{c}", nodes.schema[c].dataType) for c in carry or []]
+    return _by_document(nodes, ["node", "parent", *(carry or [])], [StructField("next_node", IntegerType()), *more], _next)
 
 
 def words(nodes: DataFrame, top: str) -> DataFrame:
@@ -81,10 +119,19 @@ def words(nodes: DataFrame, top: str) -> DataFrame:
 
 def event_markers(nodes: DataFrame, top: str = "s") -> DataFrame:
     """Tokens with the last event that covers them: doc_id, node, eid (null: none)."""
-    lex = nodes.filter("name = 'lex'")
-    e = nodes.filter("name = 'EVENT'")
-    hit = tags.within(e, lex, ["node"], ["node", "attrs"]).groupBy("doc_id", "node").agg(F.max_by(F.col("o_attrs")["eid"], "o_node").alias("eid"))
-    return lex.join(hit, ["doc_id", "node"], "left").select("doc_id", "node", "eid")
+
+    def mark(known: bool, nodes: list[int], names: list[str], begins: list[int], ends: list[int | None], eids: list[str | None]) -> list[list]:
+        out, opened = [], []  # events that the next token may lie in, the last one first
+        for name, b, e, eid in zip(names, begins, ends, eids):
+            opened = [x for x in opened if x[0] >= b]
+            if name == "EVENT" and e is not None:
+                opened.insert(0, (e, eid))
+            out.append(next((x for end, x in opened if e is not None and end >= e), None) if known and name == "lex" else None)
+        return [out]
+
+    rows = nodes.filter(F.col("name").isin("lex", "EVENT")).select("doc_id", "node", "name", "begin", "end", F.col("attrs")["eid"].alias("_eid"))
+    out = _by_document(rows, ["node", "name", "begin", "end", "_eid"], [StructField("eid", StringType())], mark)
+    return out.filter("name = 'lex'").select("doc_id", "node", "eid")
 
 
 # Predicates

@@ -6,9 +6,15 @@ comparing all tags of a document with all elements.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
+from .annotate import partitions
 
 BIN = 256
 
@@ -130,17 +136,92 @@ def tree(tags: DataFrame) -> DataFrame:
     Adds node (place in the order of the document) and parent (its node, null at the top), depth-first order as
     sort order, and `orphan`: it crosses a tag that came before it in the order of levels.
     """
-    w = W.partitionBy("doc_id").orderBy(F.col("begin"), F.col("end").desc(), F.col("level").desc(), F.col("seq"))
-    t = tags.filter(F.col("begin").isNotNull()).withColumn("level", level(F.col("name"))).filter("level is not null")
-    t = t.withColumn("node", F.row_number().over(w).cast("int"))
-    o = t.select("doc_id", F.col("node").alias("p"), F.col("begin").alias("pb"), F.col("end").alias("pe"), F.col("level").alias("pl"))
-    o = o.filter("pl > 1").withColumn("bin", F.explode(F.sequence(F.floor(F.col("pb") / BIN), F.floor(F.col("pe") / BIN))))
-    i = t.withColumn("bin", F.floor(F.col("begin") / BIN))
-    up = i.join(o, ["doc_id", "bin"]).filter("p <> node and pl > level and pb <= begin and pe >= begin")
-    inside = (F.col("pb") <= F.col("begin")) & (F.col("pe") >= F.col("end"))
-    cross = (F.col("pb") < F.col("end")) & (F.col("pe") > F.col("begin")) & ~inside
-    best = up.groupBy("doc_id", "node").agg(F.min_by(F.when(inside, F.col("p")), F.when(inside, F.struct(F.col("pe") - F.col("pb"), F.col("pl"), F.col("p")))).alias("parent"), F.max(cross.cast("int")).alias("x"))
-    return t.join(best, ["doc_id", "node"], "left").withColumn("orphan", F.coalesce(F.col("x") == 1, F.lit(False))).drop("x", "level")
+    t = tags.filter(F.col("begin").isNotNull()).withColumn("_level", level(F.col("name"))).filter("_level is not null")
+    t = t.repartition(partitions(t), "doc_id").sortWithinPartitions("doc_id", "begin", F.col("end").desc(), F.col("_level").desc(), "seq")
+    added = [StructField("node", IntegerType()), StructField("parent", IntegerType()), StructField("orphan", BooleanType())]
+    out = t.mapInArrow(_parents, StructType([*t.schema.fields, *added]))
+    return out.select("doc_id", "node", *[c for c in tags.columns if c != "doc_id"], "parent", "orphan")
+
+
+def _parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tags in order with their place, parent and whether they cross another: those that may hold the next one stay open."""
+    doc, place, opened = None, 0, []  # opened: end, level, begin, place
+
+    def walk(b: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal doc, place, opened
+        ids, begins, ends, levels = (values(b.column(b.schema.get_field_index(c))) for c in ("doc_id", "begin", "end", "_level"))
+        nodes, parents, orphans = [], [], []
+        k, n = 0, len(ids)
+        while k < n:
+            d, at = ids[k], begins[k]
+            if d != doc:
+                doc, place, opened = d, 0, []
+            elif opened:
+                opened = [x for x in opened if x[0] >= at]
+            j = k
+            while j < n and begins[j] == at and ids[j] == d:  # tags that begin together may hold or cross each other
+                place += 1
+                nodes.append(place)
+                if levels[j] > 1 and ends[j] is not None and ends[j] >= at and d is not None:
+                    opened.append((ends[j], levels[j], at, place))
+                j += 1
+            for i in range(k, j):
+                e, lv, best, cross = ends[i], levels[i], None, False
+                if e is not None:
+                    for pe, pl, pb, p in opened:
+                        if pl > lv:
+                            if pe >= e:
+                                if best is None or (pe - pb, pl, p) < best:
+                                    best = (pe - pb, pl, p)
+                            elif pe > at:
+                                cross = True
+                parents.append(best and best[2])
+                orphans.append(cross)
+            k = j
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int32()), pa.array(parents, pa.int32()), pa.array(orphans, pa.bool_())], names=[*b.schema.names, "node", "parent", "orphan"])
+
+    return in_groups(batches, ("doc_id", "begin"), walk)
+
+
+def values(a: pa.Array) -> list:
+    """A column as a list, by way of NumPy, which takes a tenth of the time."""
+    if pa.types.is_string(a.type) or (not a.null_count and pa.types.is_integer(a.type)):
+        return a.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_integer(a.type):
+        return [None if gone else x for gone, x in zip(a.is_null().to_numpy(zero_copy_only=False).tolist(), a.fill_null(0).to_numpy().tolist())]
+    return a.to_pylist()
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`f` of batches that never end within a group of rows with equal keys; the rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(b.schema.get_field_index(c)) for c in keys]
+        last = [c[-1].as_py() for c in columns]
+        cut = b.num_rows
+        if [c[0].as_py() for c in columns] == last:
+            cut = 0
+        else:
+            lists = [values(c) for c in columns]
+            while all(v[cut - 1] == x for v, x in zip(lists, last)):
+                cut -= 1
+        if held:
+            first = [held[-1].column(b.schema.get_field_index(c))[-1].as_py() for c in keys]
+            if cut == 0 and first == last:
+                held.append(b)
+                continue
+        if cut or held:
+            yield f(_one([*held, b.slice(0, cut)]))
+        held = [b.slice(cut)]
+    if held:
+        yield f(_one(held))
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    batches = [b for b in batches if b.num_rows]
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def children(nodes: DataFrame) -> DataFrame:

@@ -105,11 +105,16 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Trees: a document an order, a token a line item; sentences of four tokens, noun groups of two, an event on odd tokens of some parts.
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
     n = F.col("n").cast("int")
-    l = lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), n.alias("n"), (n * 10).alias("begin"), (n * 10 + 5).alias("end"), ((n % 2 == 1) & (F.col("l_partkey") % 3 == 0)).alias("event"), "l_returnflag")  # noqa: E741
+    last = F.count("*").over(W.partitionBy("l_orderkey")).cast("int")  # lines are numbered from 1 without gaps
+    l = lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), n.alias("n"), last.alias("last"), ((n % 2 == 1) & (F.col("l_partkey") % 3 == 0)).alias("event"), "l_returnflag")  # noqa: E741
+    n = F.col("n")
     attrs = lambda *kv: F.map_from_arrays(F.array(*[F.lit(k) for k, _ in kv]), F.array(*[v for _, v in kv]))
-    lex = l.select("doc_id", F.lit("lex").alias("name"), "begin", "end", "n", attrs(("text", F.concat("l_returnflag", F.col("n").cast("string")))).alias("attrs"))
-    ev = l.filter("event").select("doc_id", F.lit("EVENT").alias("name"), "begin", "end", "n", attrs(("eid", F.concat(F.lit("e"), F.col("n").cast("string")))).alias("attrs"))
+    node = lambda name, to, a: F.struct(F.lit(name).alias("name"), (n * 10).alias("begin"), (to * 10 + 5).alias("end"), n.alias("seq"), a.alias("attrs"))
     none = F.create_map().cast("map<string,string>")
-    groups = [l.groupBy("doc_id", F.floor((F.col("n") - 1) / k).alias("g")).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("n").alias("n")).select("doc_id", F.lit(name).alias("name"), "begin", "end", "n", none.alias("attrs")) for name, k in (("s", 4), ("ng", 2))]
-    return lex.unionByName(ev).unionByName(groups[0]).unionByName(groups[1]).withColumnRenamed("n", "seq")
+    lex = node("lex", n, attrs(("text", F.concat("l_returnflag", n.cast("string")))))
+    ev = F.when(F.col("event"), node("EVENT", n, attrs(("eid", F.concat(F.lit("e"), n.cast("string"))))))
+    groups = [F.when((n - 1) % k == 0, node(name, F.least(n + (k - 1), F.col("last")), none)) for name, k in (("s", 4), ("ng", 2))]
+    return l.select("doc_id", F.explode(F.array(lex, ev, *groups)).alias("x")).filter("x is not null").select("doc_id", "x.*")

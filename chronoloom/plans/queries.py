@@ -145,18 +145,18 @@ def r11_add_event_unless_there(s, d):
 _TREE_SQL = X.LINES_SQL + ", tk AS (SELECT l_orderkey AS doc_id, CAST(n AS INT) AS n, n % 2 = 1 AND l_partkey % 3 = 0 AS event, l_returnflag || n AS text FROM li)"
 
 
-def _nodes(s, d):
-    return tags.tree(X.trees(s, d))
+def _nodes(s, d, attrs=True):
+    return tags.tree(X.trees(s, d) if attrs else X.trees(s, d).drop("attrs"))
 
 
 @query(f"WITH {_TREE_SQL} SELECT doc_id, n * 10 AS \"begin\", 's-ng' || CASE WHEN event THEN '-EVENT' ELSE '' END || '-lex' AS syntax FROM tk")
 def r06_syntax_paths(s, d):
-    return navigate.syntax(_nodes(s, d)).filter("name = 'lex'").select("doc_id", "begin", "syntax")
+    return navigate.syntax(_nodes(s, d, False)).filter("name = 'lex'").select("doc_id", "begin", "syntax")
 
 
 @query(f"WITH {_TREE_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS leaves FROM tk GROUP BY doc_id")
 def r06_leaves(s, d):
-    return navigate.leaves(_nodes(s, d)).groupBy("doc_id").agg(F.count("*").alias("leaves"))
+    return navigate.leaves(_nodes(s, d, False)).groupBy("doc_id").agg(F.count("*").alias("leaves"))
 
 
 @query(f"WITH {_TREE_SQL} SELECT doc_id, (n - 1) // 2 * 20 + 10 AS \"begin\", 'e' || n AS eid FROM tk WHERE event")
@@ -177,10 +177,8 @@ def r08_event_lists(s, d):
 @query(f"""WITH {_TREE_SQL}, k AS (SELECT *, lead(event) OVER (PARTITION BY doc_id ORDER BY n) AS nx FROM tk)
 SELECT doc_id, n * 10 AS "begin", CASE WHEN nx IS NULL THEN NULL WHEN n % 4 = 0 THEN 's' WHEN n % 2 = 0 THEN 'ng' WHEN nx THEN 'EVENT' ELSE 'lex' END AS name, CASE WHEN nx IS NOT NULL THEN (n + 1) * 10 END AS at FROM k""")
 def r09_next_nodes(s, d):
-    t = _nodes(s, d)
-    top = t.filter("name <> 'none'").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), F.col("name").alias("_name"), F.col("begin").alias("_at"))
-    x = navigate.next_node(t).filter("name = 'lex'")
-    return x.join(top, (x["doc_id"] == top["_d"]) & (x["next_node"] == top["_n"]), "left").select("doc_id", "begin", F.col("_name").alias("name"), F.col("_at").alias("at"))
+    x = navigate.next_node(_nodes(s, d, False), ["name", "begin"]).filter("name = 'lex'")
+    return x.select("doc_id", "begin", F.col("next_name").alias("name"), F.col("next_begin").alias("at"))
 
 
 @query(f"WITH {_TREE_SQL} SELECT doc_id, (n - 1) // 4 AS sentence, string_agg(text, ' ' ORDER BY n) AS words FROM tk GROUP BY doc_id, (n - 1) // 4")

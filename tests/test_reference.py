@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import allen, dates, fsa, numbers, timex
 from chronoloom.functions import english as E
-from chronoloom.operators import annotate, closure, evaluate, tlinks
+from chronoloom.operators import annotate, closure, evaluate, navigate, tags, tlinks
 from chronoloom.plans import pipeline, queries
 from chronoloom.sources import readers, writers
 
@@ -283,3 +283,35 @@ def test_written_documents_stay_over_all_cores(spark):
     for out in (writers.lif_documents(docs, t), writers.ttk(docs, t.filter("false"), t)):  # were put into one partition, or broadcast
         assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and out.count() == 24
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_and_walks_against_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(d, name, b, b + rnd.choice([0, 1, 3, 5, 40, 400]) if rnd.random() > 0.05 else None, k) for d in (1, 2, 3) for k in range(40) for name, b in [(rnd.choice(["s", "ng", "vg", "EVENT", "lex", "docelement", "x"]), rnd.choice([0, 5, 6, 7, 300, 301]))]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # documents and groups go over batches
+    try:
+        t = tags.tree(spark.createDataFrame(rows, "doc_id long, name string, begin int, end int, seq int"))
+        got = navigate.next_node(navigate.syntax(t)).join(navigate.leaves(t).select("doc_id", "node", F.lit(True).alias("leaf")), ["doc_id", "node"], "left").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == sum(r[1] != "x" for r in rows)
+    for d in (1, 2, 3):
+        mine = sorted((r for r in rows if r[0] == d and r[1] != "x"), key=lambda r: (r[2], -r[3] if r[3] is not None else 1, -tags.LEVEL[r[1]], r[4]))
+        nodes = {k: (r[2], r[3], tags.LEVEL[r[1]], r[1]) for k, r in enumerate(mine, 1)}
+        parent, orphan = {}, {}
+        for k, (b, e, lv, _) in nodes.items():
+            near = [(p, x) for p, x in nodes.items() if x[2] > lv and x[1] is not None and x[0] <= b <= x[1] and e is not None]
+            parent[k] = min(((x[1] - x[0], x[2], p) for p, x in near if x[1] >= e), default=(None,))[-1]
+            orphan[k] = any(x[1] < e and x[1] > b for _, x in near)
+        after = {k: min((j for j in nodes if j > k and parent[j] == parent[k]), default=None) for k in nodes}
+        for r in (r for r in got if r["doc_id"] == d):
+            path, k, nxt = [], r["node"], None
+            while k is not None:
+                path, nxt, k = [nodes[k][3], *path], nxt or after[k], parent[k]
+            assert (r["parent"], r["orphan"], r["syntax"], r["next_node"], bool(r["leaf"])) == (parent[r["node"]], orphan[r["node"]], "-".join(path), nxt, r["node"] not in parent.values())
+        assert (d, len(nodes)) == (d, sum(r["doc_id"] == d for r in got))
+
+
+def test_a_walk_over_a_tree_shuffles_once(spark, sf):
+    plan = queries.QUERIES["r09_next_nodes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5  # were thirty and more
