@@ -315,3 +315,16 @@ def test_trees_and_walks_against_brute_force(spark):
 def test_a_walk_over_a_tree_shuffles_once(spark, sf):
     plan = queries.QUERIES["r09_next_nodes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 5  # were thirty and more
+
+
+def test_closure_over_batches_and_without_pandas(spark):
+    rows = [(d, f"e{k}", f"e{k + 1}", "<", k, 0) for d in (1, 2, None) for k in range(6)] + [(2, "e3", "e1", "<", 9, 1)]
+    links = spark.createDataFrame(rows, "doc_id long, src string, tgt string, relations string, seq int, rank int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # documents go over batches
+    try:
+        out = closure.propagate(links)
+        got = {(r["doc_id"], r["src"], r["tgt"]): r["relations"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(d, f"e{a}", f"e{b}"): "<" if a < b else ">" for d in (1, 2, None) for a in range(7) for b in range(7) if a != b}
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()  # a frame and a sort a document took most of the time
